@@ -9,18 +9,18 @@ _BLOCK = 256
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
-def find(text: Column, pattern: str, group: str = "", when: Column | None = None) -> Column:
+def find(text: Column, pattern: str, when: Column | None = None) -> Column:
     """Leftmost non-overlapping matches as (start, end, text) in code points; none for null text.
 
     Texts between matches and matches alternate, so running sums of their
     lengths are the places. ``when`` is a cheap test that holds for each text
     with a match.
     """
-    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    spans = _once(both, lambda x: _placed(x["between"], x["found"]))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spans = _once(found, lambda f: F.when(F.size(f) > 0, _placed(F.split(text, pattern, -1), f)))
     none = F.array().cast(SPAN)
     test = text.isNotNull() if when is None else text.isNotNull() & when
-    return F.when(test, spans).otherwise(none)
+    return F.coalesce(F.when(test, spans), none)
 
 
 def _once(value: Column, use) -> Column:
@@ -29,8 +29,9 @@ def _once(value: Column, use) -> Column:
 
 
 def _placed(between: Column, found: Column) -> Column:
-    lengths = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.length(m))
-    return _once(F.struct(between.alias("between"), found.alias("found"), lengths.alias("lengths")), _sums)
+    both = F.struct(between.alias("between"), found.alias("found"))
+    lengths = lambda x: F.transform(x["found"], lambda m, i: F.length(F.get(x["between"], i)) + F.length(m))
+    return _once(both, lambda x: _once(F.struct(x["between"].alias("between"), x["found"].alias("found"), lengths(x).alias("lengths")), _sums))
 
 
 def _sums(x: Column) -> Column:
@@ -66,6 +67,8 @@ def luhn(number: Column) -> Column:
 
 def digest(kinds: list[tuple[str, Column]]) -> Column:
     """``kind:start:end`` of all spans by start, then kind as listed, comma-joined."""
-    listed = [F.transform(spans, lambda s, k=k, kind=kind: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind"))) for k, (kind, spans) in enumerate(kinds)]
-    ordered = F.array_sort(F.concat(*listed))
+    def listed(k: int, kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    ordered = F.array_sort(F.concat(*(listed(k, kind, spans) for k, (kind, spans) in enumerate(kinds))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
