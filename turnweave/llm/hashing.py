@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text handled at once; a longer document makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +51,7 @@ class RangeHash:
     """Hashes of any byte range of ``data``, by prefix sums of a polynomial."""
 
     def __init__(self, data: np.ndarray, fold: bool = False, seed: int = 1):
-        size = 1 << max(20, int(len(data) + 1).bit_length())
+        size = 1 << max(18, int(len(data) + 1).bit_length())
         power, self._inverse = _powers(size)
         self._sums = np.empty(len(data) + 1, dtype=np.uint64)
         self._sums[0] = 0

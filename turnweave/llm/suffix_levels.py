@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .hashing import RangeHash, Texts, mix, signed, sliding_min, texts
+from .hashing import BASE, RangeHash, Texts, mix, signed, sliding_min, texts
 from .scratch import Scratch
 
 WIDTH = 50
@@ -43,8 +43,8 @@ class Anchors:
 
     def __init__(self, t: Texts, width: int, gram: int):
         self.hashes = RangeHash(t.data)
-        grams = mix(self.hashes.fixed(gram))
-        least = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
+        grams = self.hashes.fixed(gram)
+        least = sliding_min((grams * BASE & ~_LOW) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
         at = (least & _LOW).astype(np.int64)
         start = np.arange(len(at))
         text = t.of(start)
@@ -55,7 +55,7 @@ class Anchors:
         i = np.flatnonzero(new)
         self.text, self.at, self.first = text[i], at[i], start[i]
         self.last = start[np.append(i[1:], len(start)) - 1] if len(i) else start
-        self.gram = grams[self.at]
+        self.gram = mix(grams[self.at])
         span = self.hashes.raw(self.first, self.last + width)
         self.context = mix(span + (self.at - self.first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -231,28 +231,31 @@ class SuffixLevels:
         self.levels: list[tuple[int, str, DataFrame]] = []
         self._count = 0
 
-    def append(self, batch: DataFrame, doc: str, text: str) -> DataFrame:
-        """Index a batch; its ids are larger than those of all batches before."""
+    def append(self, batch: DataFrame, doc: str, text: str, last: bool = False) -> DataFrame:
+        """Compare a batch, whose ids are larger than those of all batches before, and index it unless it is the last."""
         self._merge()
         suffixes = batch.select(F.col(doc).cast("long"), F.col(text)).where(F.col(doc).isNotNull())
         rows = suffixes.mapInArrow(_suffixes(self.width, self.gram), "gram long, context long, doc long").withColumn("new", F.lit(True))
         for _, _, level in self.levels:
             rows = rows.unionByName(level.withColumn("new", F.lit(False)))
-        of_gram = W.partitionBy("gram").orderBy("context")
-        whole, peers = of_gram.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), of_gram.rangeBetween(0, 0)
+        whole = W.partitionBy("gram").orderBy("context").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         rows = rows.withColumns({
-            "first": F.min("doc").over(peers), "old": F.max(~F.col("new")).over(peers),
-            "shared": F.min("doc").over(whole) < F.max("doc").over(whole),
-            "differ": F.min("context").over(whole) != F.max("context").over(whole), "touched": F.max("new").over(whole),
+            "shared": (F.min("doc").over(whole) < F.max("doc").over(whole)) & F.max("new").over(whole),
+            "differ": F.min("context").over(whole) != F.max("context").over(whole),
         })
+        if last:
+            rows = rows.where("shared")
+        peers = W.partitionBy("gram", "context")
+        rows = rows.withColumns({"first": F.min("doc").over(peers), "old": F.max(~F.col("new")).over(peers)})
         again = F.col("new") & (F.col("doc") > F.col("first"))
-        unsure = (F.col("doc") == F.col("first")) & F.col("shared") & F.col("differ") & F.col("touched")
-        adds = F.col("new") & ~F.col("old") & (F.col("doc") == F.col("first"))
+        unsure = (F.col("doc") == F.col("first")) & F.col("shared") & F.col("differ")
+        adds = F.lit(not last) & F.col("new") & ~F.col("old") & (F.col("doc") == F.col("first"))
         scan = rows.where(again | unsure | adds).select("gram", "context", "doc", again.alias("again"), unsure.alias("unsure"), adds.alias("adds"))
         label = f"batch-{self._count}"
         self._count += 1
         scan = self.scratch.keep(scan, label)
-        self.levels.append((0, label, scan.where("adds").select("gram", "context", "doc")))
+        if not last:
+            self.levels.append((0, label, scan.where("adds").select("gram", "context", "doc")))
         return scan.where("again or unsure").select("doc", "gram", "context", F.when(F.col("again"), -1).otherwise(0).cast("long").alias("mask"))
 
     def _merge(self) -> None:
@@ -268,7 +271,7 @@ def _listed(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc").agg(F.collect_list(F.struct("gram", "context", "mask")).alias("hits"))
 
 
-def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 3, hot: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 2, hot: int = HOT_CONTEXTS) -> DataFrame:
     """Remove each byte that a ``width``-byte string covers which also starts in a document of smaller id.
 
     Returns doc, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes left.
@@ -286,18 +289,21 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
             inside &= F.col("doc") > bounds[i - 1]
         if i < len(bounds):
             inside &= F.col("doc") <= bounds[i]
-        found = index.append(rows.where(inside), "doc", "text")
+        found = index.append(rows.where(inside), "doc", "text", last=i == len(bounds))
         hits = found if hits is None else hits.unionByName(found)
+    hits = scratch.keep(hits, "hits")
+    scratch.drop(*(f"{kind}-{i}" for kind in ("batch", "level") for i in range(index._count)))
     whole, unsure = hits.where("mask = -1"), hits.where("mask = 0").select("doc", "gram", "context").distinct()
     frequent = unsure.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(1).cast("long").alias("mask"))
     unsure = unsure.join(frequent, "gram", "left").fillna(0, ["mask"])
-    contexts = rows.join(_listed(unsure), "doc").select("doc", "text", "hits").mapInArrow(_contexts(width, gram), "gram long, context long, doc long, hot boolean, bytes binary")
-    contexts = scratch.keep(contexts.distinct(), "contexts")
+    # Both joins read the texts as dealt out once by id.
+    known = rows.where("doc is not null")
+    contexts = known.join(_listed(unsure), "doc").select("doc", "text", "hits").mapInArrow(_contexts(width, gram), "gram long, context long, doc long, hot boolean, bytes binary")
     cold = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(width), "doc long, gram long, context long, mask long")
     windows = contexts.where("hot").mapInArrow(_exploded(width), "doc long, gram long, context long, mask long, window long")
     least = windows.groupBy("gram", "window").agg(F.min("doc").alias("least"))
     warm = windows.join(least, ["gram", "window"]).where("doc > least").groupBy("doc", "gram", "context").agg(F.bit_or("mask").alias("mask"))
-    masks = scratch.keep(_listed(whole.unionByName(cold).unionByName(warm)), "masks")
-    scratch.drop("contexts", *(f"batch-{i}" for i in range(index._count)), *(f"level-{i}" for i in range(index._count)))
-    out = rows.join(masks, "doc", "left").select("doc", "text", "hits").mapInArrow(_cut(width, gram), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    masks = _listed(whole.unionByName(cold).unionByName(warm))
+    out = known.join(masks, "doc", "left").unionByName(rows.where("doc is null").withColumn("hits", F.lit(None).cast(masks.schema["hits"].dataType)))
+    out = out.select("doc", "text", "hits").mapInArrow(_cut(width, gram), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc", doc)
