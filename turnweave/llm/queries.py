@@ -23,6 +23,13 @@ def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digests, find_pii
+
+    found = find_pii(_documents(spark, sf_dir))
+    return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
+
+
 _FAIR_MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
