@@ -30,6 +30,19 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
 
 
+def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_index import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
+def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_links import digests, find_secrets
+
+    found = find_secrets(_documents(spark, sf_dir))
+    return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
+
+
 _FAIR_MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
