@@ -30,6 +30,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bag_minhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
+
+
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_index import scan_licenses
 
