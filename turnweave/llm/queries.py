@@ -36,6 +36,12 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
 
+def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_index import scan_licenses
 
