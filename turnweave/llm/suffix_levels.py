@@ -296,14 +296,15 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     whole, unsure = hits.where("mask = -1"), hits.where("mask = 0").select("doc", "gram", "context").distinct()
     frequent = unsure.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(1).cast("long").alias("mask"))
     unsure = unsure.join(frequent, "gram", "left").fillna(0, ["mask"])
-    # Both joins read the texts as dealt out once by id.
     known = rows.where("doc is not null")
     contexts = known.join(_listed(unsure), "doc").select("doc", "text", "hits").mapInArrow(_contexts(width, gram), "gram long, context long, doc long, hot boolean, bytes binary")
+    contexts = scratch.keep(contexts, "contexts")
     cold = contexts.where("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(width), "doc long, gram long, context long, mask long")
     windows = contexts.where("hot").mapInArrow(_exploded(width), "doc long, gram long, context long, mask long, window long")
     least = windows.groupBy("gram", "window").agg(F.min("doc").alias("least"))
     warm = windows.join(least, ["gram", "window"]).where("doc > least").groupBy("doc", "gram", "context").agg(F.bit_or("mask").alias("mask"))
-    masks = _listed(whole.unionByName(cold).unionByName(warm))
+    masks = scratch.keep(_listed(whole.unionByName(cold).unionByName(warm)), "masks")
+    scratch.drop("hits", "contexts")
     out = known.join(masks, "doc", "left").unionByName(rows.where("doc is null").withColumn("hits", F.lit(None).cast(masks.schema["hits"].dataType)))
     out = out.select("doc", "text", "hits").mapInArrow(_cut(width, gram), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc", doc)
