@@ -11,6 +11,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import fuzzy_passages
+
+    return fuzzy_passages(_documents(spark, sf_dir))
+
+
 def op2_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_levels import remove_repeats
 
@@ -23,6 +29,12 @@ def op3_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .edit_match import find_leaks
+
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digests, find_pii
 
@@ -42,6 +54,13 @@ def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .site_bayes import keep_good
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(_documents(spark, sf_dir), labels, carry=["doc_id", "source", "lang"])
+
+
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_index import scan_licenses
 
