@@ -3,14 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from turnweave.llm.bag_minhash import near_duplicates
+from turnweave.llm.edit_match import without_leaks
+from turnweave.llm.fair_mix import fair_mix
+from turnweave.llm.pii import find_pii, redact
+from turnweave.llm.scratch import Scratch
+from turnweave.llm.site_bayes import keep_good
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id."""
+    return near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no test item is found."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    found = find_pii(docs).withColumn("text", redact(F.col("text"), F.col("spans")))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with how often each is taken and where it stands in the order."""
+    return fair_mix(docs).where("copies > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "finish")
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("personal_data", personal_data), ("mix", mix)]
 #: The stages fit models and probe signatures, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's documents are a table in the shared folder before the next begins."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "corpus-pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ twice as many further centres, until every pair across components is compared.
 
 Defined results: equal texts are one class; texts without words are classes of
 their own unless equal; null text is left alone as a class of its own; null ids
-keep a null class; repeated rows share their class; an empty table gives none.
+keep a null class; of rows that share an id one is kept; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     known = read.where("doc is not null and text is not null").withColumn("same", F.md5("text"))
     signed_ = scratch.keep(known.select("doc", "text", "same").mapInArrow(_sign(size, bands, rows), "doc long, same string, bands array<long>"), "signatures")
     member = scratch.keep(signed_.groupBy("same").agg(F.min("doc").alias("text_id")).join(signed_.select("doc", "same"), "same").select("doc", "text_id").distinct(), "members")
+    repeats = not signed_.groupBy("doc").count().where("count > 1").isEmpty()
     keys = signed_.join(member.where("doc = text_id").select("doc"), "doc", "left_semi").select("doc", F.explode("bands").alias("key")).distinct()
     buckets = scratch.keep(_shared(keys), "buckets-0")
     scratch.drop("signatures")
@@ -178,7 +179,11 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     classes = scratch.keep(member.groupBy("doc").agg(F.min(component).alias("class_id")), "classes")
     out = docs.withColumns({"_doc": F.col(doc).cast("long"), "_text": F.col(text).isNotNull()}).join(classes.withColumnRenamed("doc", "_doc"), "_doc", "left")
     out = out.withColumn("class_id", F.when(F.col("_text"), F.col("class_id")).otherwise(F.col("_doc")))
-    return out.withColumn("kept", F.coalesce(F.col("class_id") == F.col("_doc"), F.lit(True))).drop("_doc", "_text")
+    kept = F.coalesce(F.col("class_id") == F.col("_doc"), F.lit(True))
+    if repeats:
+        copy = F.row_number().over(W.partitionBy("_doc", F.when(F.col("_doc").isNull(), F.rand(1))).orderBy("_text"))
+        kept = kept & ((copy == 1) | F.col("_doc").isNull())
+    return out.withColumn("kept", kept).drop("_doc", "_text")
 
 
 def _shared(keys: DataFrame) -> DataFrame:

@@ -197,13 +197,14 @@ def digests(found: DataFrame) -> dict[str, Column]:
     return {f"n_{k}": F.size(c).cast("long") for k, c in base} | {"base_sha256": F.sha2(digest(base), 256), "spans": digest([(k, F.col("spans")[k]) for k in KINDS])}
 
 
-def redact(found: DataFrame, text: str = "text") -> Column:
-    """The text with each span replaced by its kind in brackets; null stays null."""
+def redact(text: Column, spans: Column) -> Column:
+    """The text with each span of ``find_pii`` replaced by its kind in brackets; null stays null."""
+
     def tagged(kind: str) -> Column:
-        return F.transform(F.col("spans")[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
+        return F.transform(spans[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    spans = F.array_sort(F.concat(*map(tagged, KINDS)))
-    t = F.col(text).cast("string")
+    listed = F.array_sort(F.concat(*map(tagged, KINDS)))
+    t = text.cast("string")
 
     def build(x: Column) -> Column:
         ends = F.transform(x, lambda s: s["end"])
@@ -211,4 +212,4 @@ def redact(found: DataFrame, text: str = "text") -> Column:
         pieces = F.transform(x, lambda s, i: F.when(s["start"] >= upto(i), F.concat(F.substring(t, upto(i) + 1, s["start"] - upto(i)), s["tag"])).otherwise(""))
         return F.concat(F.array_join(pieces, ""), F.substring(t, F.array_max(ends) + 1, F.length(t)))
 
-    return F.when(t.isNotNull() & (F.size(spans) > 0), F.transform(F.array(spans), build)[0]).otherwise(t)
+    return F.when(t.isNotNull() & (F.size(listed) > 0), F.transform(F.array(listed), build)[0]).otherwise(t)
