@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import status, transcripts
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return transcripts.QUERIES | status.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return transcripts.SQL | status.SQL
