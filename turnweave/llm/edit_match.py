@@ -10,7 +10,8 @@ Test items are a small stated set; they go to the executors in blocks of at
 most ``BLOCK`` characters, and each block scans the texts once.
 
 Defined results: null or wordless texts and items match nothing; items of equal
-text match each for itself; repeated rows match each; empty tables give none.
+text match each for itself; repeated rows match each; where both tables call their id alike, the item's is
+called ``item``; empty tables give none.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         found = over(part) if found is None else found.unionByName(over(part))
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
-    return found.withColumnsRenamed({"doc": doc, "item": item})
+    return found.withColumnsRenamed({"doc": doc, "item": item if item != doc else "item"})
 
 
 def _arrow(kind: str) -> pa.DataType:

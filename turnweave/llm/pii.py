@@ -10,7 +10,8 @@ labelled candidates are good. The trees become one
 SQL expression, so that one pass over the texts finds, scores and redacts.
 
 Defined results: null text is empty; repeated rows count each; a sample without
-both kinds of labels fits no model and adds nothing; an empty table gives none.
+both kinds of labels fits no model and adds nothing; columns named ``base`` and
+``spans`` are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 from .spans import SPAN, digits, digest, find, luhn
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns. A run is entered only at its begin or where the last match ended, which finds the same matches faster.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+#: Fixed patterns. A run is entered only at its begin or where the last match ended, which finds the same matches
+#: faster; possessive repeats match the same too, and run on long texts without recursion.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates: the same things as people also write them.
 WIDE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}",
     "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+|00|\()?[0-9][0-9 ().\/-]{7,18}[0-9](?![0-9])",

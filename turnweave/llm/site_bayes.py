@@ -10,7 +10,8 @@ times the odds that its path has over the global odds.
 
 Defined results: null text is empty; null host or path is a site of its own;
 repeated rows count each; of repeated labels the worst holds; labels of one kind
-only, or none, fit no classifier and keep all; an empty table gives none.
+only, or none, fit no classifier and keep all; columns named like those added are
+replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 
 
 def _logits(docs: DataFrame, model: Classifier, text: str) -> DataFrame:
-    """``docs`` with ``logit``, the document's own evidence."""
+    """``docs`` with ``_logit``, the document's own evidence."""
     at = docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.weights, model.middle, model.scale, model.prior))
 
@@ -156,9 +157,9 @@ def _logits(docs: DataFrame, model: Classifier, text: str) -> DataFrame:
         for b in batches:
             parts = [known.logit(*_features(t)) for t in texts(b.column(at))]
             values = pa.array(np.concatenate(parts) if parts else np.empty(0))
-            yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, "logit"])
+            yield pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, "_logit"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("logit", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_logit", T.DoubleType())]))
 
 
 def sites(scored: DataFrame) -> DataFrame:
@@ -189,13 +190,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
 
     ``carry``: columns of ``docs`` to return, all unless given.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("p_doc", "p_site", "posterior")]
     model = fit(docs, labels, doc, text, sample)
     if model is None:
         return docs.select(*carry, *(F.lit(1.0).alias(c) for c in ("p_doc", "p_site", "posterior")))
     scratch = Scratch(docs.sparkSession, "site-bayes")
     own = docs.select(F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), *carry)
-    scored = _logits(own.select("_host", "_path", "_text"), model, "_text").select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("logit")))).alias("p"))
+    scored = _logits(own.select("_host", "_path", "_text"), model, "_text").select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_logit")))).alias("p"))
     site = scratch.keep(sites(scratch.keep(scored, "scored")), "sites")
     site = site.withColumnsRenamed({"host": "_s_host", "path": "_s_path", "p_site": "_p_site", "p_all": "_p_all"})
     near = F.broadcast(site) if site.count() <= FEW_SITES else site
@@ -203,6 +204,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     odds = lambda p: F.log(p / (1 - p))
     bound = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
     out = _logits(joined, model, "_text")
-    posterior = 1 / (1 + F.exp(-(F.col("logit") + odds(bound(F.col("_p_site"))) - odds(bound(F.col("_p_all"))))))
-    out = out.withColumn("p_doc", 1 / (1 + F.exp(-F.col("logit")))).withColumn("posterior", posterior)
+    posterior = 1 / (1 + F.exp(-(F.col("_logit") + odds(bound(F.col("_p_site"))) - odds(bound(F.col("_p_all"))))))
+    out = out.withColumn("p_doc", 1 / (1 + F.exp(-F.col("_logit")))).withColumn("posterior", posterior)
     return out.where(F.col("posterior") >= threshold).select(*carry, "p_doc", F.col("_p_site").alias("p_site"), "posterior")
