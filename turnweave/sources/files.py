@@ -68,7 +68,7 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def env(spark: SparkSession, path: str) -> DataFrame:
-    """KEY=VALUE lines; a comment goes where the value isn't quoted."""
+    """KEY=VALUE lines; a comment goes where the value isn't quoted. Spark skips files whose names begin with a dot."""
     rows = spark.read.text(path).select(F.regexp_extract("value", r"^\s*([A-Za-z_]\w*)\s*=", 1).alias("key"), F.regexp_extract("value", r"^[^=]*=(.*)$", 1).alias("value")).where("key != ''")
     plain = F.trim("value")
     return rows.select("key", F.when(plain.rlike("^[\"']"), plain).otherwise(F.trim(F.regexp_replace(plain, r"\s#.*$", ""))).alias("value"))
