@@ -84,3 +84,8 @@ def language_rows() -> list[tuple[str, str]]:
     """(spelling, code) for each code, name and alias."""
     pairs = [tuple(x.split(None, 1)) for x in f"{LANGUAGES},{ALIASES}".replace("\n", " ").split(",") if x.strip()]
     return [(code, code) for code in dict.fromkeys(c for c, _ in pairs)] + [(name.strip(), code) for code, name in pairs]
+
+
+def coerced(value: Column, allowed: list[str], default: str) -> Column:
+    """The value if it is one of those allowed, else the default."""
+    return F.when(value.isin(allowed), value).otherwise(F.lit(default))

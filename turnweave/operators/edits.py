@@ -125,3 +125,19 @@ def latest(events: DataFrame, key: list[str], order: str, value: str, drop: Colu
     """Upserts as a fold: the last value of each key; keys whose last value ``drop`` holds for are gone."""
     last = events.groupBy(*key).agg(F.max_by(value, order).alias(value))
     return last if drop is None else last.where(~drop)
+
+
+def enrol(keys: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A new speaker's key and name for each recording; a name that is taken, whatever its case, raises.
+
+    keys: recording_id, speaker; names: recording_id, speaker, name; wanted: recording_id, name.
+    """
+    from ..functions.texts import speaker_label
+    from .turns import next_speaker_key
+
+    known = keys.select("recording_id", "speaker").unionByName(names.select("recording_id", "speaker")).distinct()
+    labels = known.select("recording_id", F.lower(speaker_label(F.col("speaker"))).alias("taken"))
+    taken = labels.unionByName(names.select("recording_id", F.lower("name").alias("taken"))).distinct().withColumn("clash", F.lit(True))
+    both = wanted.withColumn("taken", F.lower("name")).join(taken, ["recording_id", "taken"], "left").join(next_speaker_key(known), "recording_id", "left")
+    name = F.when(F.col("clash"), F.raise_error(F.concat(F.lit("name taken: "), F.col("name")))).otherwise(F.col("name"))
+    return both.select("recording_id", F.coalesce("speaker", F.lit("SPEAKER_00")).alias("speaker"), name.alias("name"))
