@@ -11,16 +11,20 @@ with the probability of their weighted Jaccard similarity.
 
 Bands of places propose links. In a band's bucket one text is the centre and
 the others are compared with it, so a group of copies makes as many pairs as it
-has members. Buckets whose members still lie in different components go on with
-twice as many further centres, until every pair across components is compared.
+has members. The centre is the text whose buckets hold most texts: among copies
+of one text that is the text itself, which all copies resemble. In buckets whose
+members then still lie in different components, all texts are compared in tiles
+of bounded size, and a tile gives no more links than join its components.
 
 Defined results: equal texts are one class; texts without words are classes of
 their own unless equal; null text is left alone as a class of its own; null ids
-keep a null class; of rows that share an id one is kept; an empty table gives none.
+keep a null class; of rows that share an id one is kept; columns
+named like those added are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +39,10 @@ from .scratch import Scratch
 
 SIZE = 5
 SIMILARITY = 0.8
-#: 25 bands of 5 places find a pair of similarity 0.8 with probability 0.99995.
-BANDS, ROWS = 25, 5
+#: 25 bands of 6 places find a pair of similarity 0.8 with probability 0.9995.
+BANDS, ROWS = 25, 6
+#: Texts of one side of a tile.
+TILE = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,13 +109,15 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
+def _bag(column: pa.Array, size: int) -> list[np.ndarray]:
+    """Text, shingle and copies of each different shingle of all texts."""
+    parts = [(rows.start + text, shingle, copies) for rows, text, shingle, copies, _ in bags(column, size)]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, dtype=k) for k in (np.int64, np.uint64, np.int64)]
+
+
 def _overlap(size: int, similarity: float):
     """Of pairs (a, b, text_a, text_b) those whose weighted Jaccard similarity is high enough."""
 
-    def bag(column: pa.Array):
-        parts = [(rows.start + text, shingle, copies) for rows, text, shingle, copies, _ in bags(column, size)]
-        return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, dtype=np.int64)] * 3
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # Pairs come sorted by a, whose text is then read once.
@@ -118,8 +126,8 @@ def _overlap(size: int, similarity: float):
             new[1:] = a[1:] != a[:-1]
             head = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            ta, sa, ca = bag(b.column(2).take(pa.array(head)))
-            tb, sb, cb = bag(b.column(3))
+            ta, sa, ca = _bag(b.column(2).take(pa.array(head)), size)
+            tb, sb, cb = _bag(b.column(3), size)
             total_a, total_b = np.bincount(ta, ca, len(head)), np.bincount(tb, cb, len(a))
             key_a = mix(sa + ta.astype(np.uint64) * _STEP)
             key_b = mix(sb + group[tb].astype(np.uint64) * _STEP)
@@ -134,6 +142,100 @@ def _overlap(size: int, similarity: float):
     return run
 
 
+def _similar(row: np.ndarray, shingle: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarity of rows ``left`` with rows ``right``: a shingle's copies count as shingles of their own."""
+    part = np.repeat(np.arange(len(row)), copies)
+    copy = np.arange(len(part)) - np.repeat(np.cumsum(copies) - copies, copies)
+    row, shingle = row[part], mix(shingle[part] + copy.astype(np.uint64) * _STEP)
+    total = np.bincount(row, minlength=n).astype(np.float64)
+    _, column, uses = np.unique(shingle, return_inverse=True, return_counts=True)
+    common = uses > 1
+    number = np.cumsum(common) - 1
+    use = common[column]
+    row, column = row[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)))
+    width = 4096
+    for first in range(0, int(common.sum()), width):
+        i, j = np.searchsorted(column, [first, first + width])
+        block = np.zeros((n, width), dtype=np.float32)
+        block[row[i:j], column[i:j] - first] = 1
+        both += block[left] @ block[right].T
+    return both / np.maximum(total[left][:, None] + total[right][None, :] - both, 1)
+
+
+def _joins(size: int, similarity: float):
+    """Links (a, b) that join the components of a tile, from tiles in a row.
+
+    Rows (key, i, j, side, doc, component, text): tile i, j of bucket key holds block i on side 0 and block j on side 1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            t = _joined(rest, b)
+            if t is None or not len(t):
+                continue
+            tile = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            new = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(axis=0)))
+            ends = np.append(new[1:], len(t))
+            whole = len(new) if b is None else len(new) - 1
+            doc, of, side = (t.column(c).to_numpy() for c in ("doc", "component", "side"))
+            last = int(ends[whole - 1]) if whole else 0
+            text, shingle, copies = _bag(t.column("text").slice(0, last).combine_chunks(), size)
+            at = np.searchsorted(text, np.arange(last + 1))
+            found = []
+            for start, end in zip(new[:whole], ends[:whole]):
+                mine = of[start:end]
+                if (mine == mine[0]).all():
+                    continue
+                i, j = at[start], at[end]
+                same = tile[1, start] == tile[2, start]
+                left = np.arange(end - start) if same else np.flatnonzero(side[start:end] == 0)
+                right = left if same else np.flatnonzero(side[start:end] == 1)
+                alike = _similar(text[i:j] - start, shingle[i:j], copies[i:j], left, right, end - start) >= similarity - 1e-9
+                x, y = np.nonzero(alike & (mine[left][:, None] != mine[right][None, :]))
+                if not len(x):
+                    continue
+                x, y = left[x], right[y]
+                _, one = np.unique(np.stack([mine[x], mine[y]]), axis=1, return_index=True)
+                head = {c: c for c in mine}
+
+                def top(c):
+                    while head[c] != c:  # noqa: B023
+                        c = head[c]  # noqa: B023
+                    return c
+
+                for k in one:
+                    p, q = top(mine[x[k]]), top(mine[y[k]])
+                    if p != q:
+                        head[max(p, q)] = min(p, q)
+                        found.append((doc[start + x[k]], doc[start + y[k]]))
+            rest = None if b is None else t.slice(int(new[whole]))
+            if found:
+                a, z = np.array(found, dtype=np.int64).T
+                yield pa.record_batch([pa.array(a), pa.array(z)], names=["a", "b"])
+
+    return run
+
+
+def _joined(rest: pa.Table | None, b: pa.RecordBatch | None) -> pa.Table | None:
+    parts = ([rest] if rest is not None else []) + ([pa.Table.from_batches([b])] if b is not None else [])
+    return pa.concat_tables(parts) if parts else None
+
+
+def _tiles(buckets: DataFrame, labels: DataFrame, texts_: DataFrame, tile: int) -> DataFrame:
+    """The texts of buckets that hold several components, dealt out to tiles."""
+    rows = buckets.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("low != high").select("key", "tiles")
+    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    # Each block is a side of a tile with every block, and both sides of its own.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "component")
+    return rows.join(texts_, "doc").select("key", "i", "j", "side", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (doc, class_id, kept) for each row of ``docs``: the smallest id of its class, and whether it is that one."""
     spark = docs.sparkSession
@@ -144,40 +246,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     member = scratch.keep(signed_.groupBy("same").agg(F.min("doc").alias("text_id")).join(signed_.select("doc", "same"), "same").select("doc", "text_id").distinct(), "members")
     repeats = not signed_.groupBy("doc").count().where("count > 1").isEmpty()
     keys = signed_.join(member.where("doc = text_id").select("doc"), "doc", "left_semi").select("doc", F.explode("bands").alias("key")).distinct()
-    buckets = scratch.keep(_shared(keys), "buckets-0")
-    scratch.drop("signatures")
-    texts_ = known.select("doc", "text")
-    links = tried = labels = None
-    turn, centres = 0, 1
-    while not buckets.isEmpty():
-        if centres == 1:
-            middle = buckets.groupBy("key").agg(F.min("doc").alias("a"))
-        else:
-            place = F.row_number().over(W.partitionBy("key").orderBy("doc"))
-            middle = buckets.withColumn("place", place).where(F.col("place") <= centres).select("key", F.col("doc").alias("a"))
-        pairs = buckets.join(middle, "key").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).where("a != b").distinct()
-        if labels is not None:
-            of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))  # noqa: B023, E731
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        first = pairs.join(texts_.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
-        whole = first.join(texts_.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-        found = scratch.keep(whole.mapInArrow(_overlap(size, similarity), "a long, b long, similarity double").distinct(), f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, scratch, f"components-{turn}")
-        rest = buckets.join(middle.withColumnsRenamed({"a": "doc"}), ["key", "doc"], "left_anti")
-        of_doc = labels.select(F.col("node").alias("doc"), "component")
-        rest = rest.join(of_doc, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        turn, centres = turn + 1, centres * 2
-        buckets = scratch.keep(rest.join(mixed, "key", "left_semi").select("key", "doc"), f"buckets-{turn}")
-        scratch.drop(f"buckets-{turn - 1}")
-    member = member if labels is None else member.join(labels.withColumnsRenamed({"node": "text_id"}), "text_id", "left")
-    component = F.col("text_id") if labels is None else F.coalesce("component", "text_id")
-    classes = scratch.keep(member.groupBy("doc").agg(F.min(component).alias("class_id")), "classes")
-    out = docs.withColumns({"_doc": F.col(doc).cast("long"), "_text": F.col(text).isNotNull()}).join(classes.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    buckets = scratch.keep(_shared(keys), "buckets")
+    # Only texts that share a bucket are compared.
+    shared = buckets.select("doc").distinct()
+    texts_ = scratch.keep(known.select("doc", "text").join(shared, "doc", "left_semi").dropDuplicates(["doc", "text"]), "texts")
+
+    centre = buckets.groupBy("key").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("a"))
+    pairs = buckets.join(centre, "key").where("a != doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
+    first = pairs.join(texts_.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
+    whole = first.join(texts_.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    star = scratch.keep(whole.mapInArrow(_overlap(size, similarity), "a long, b long, similarity double").select("a", "b").distinct(), "star-links")
+    labels = components(star, scratch, "star")
+    joins = scratch.keep(_tiles(buckets, labels, texts_, TILE).mapInArrow(_joins(size, similarity), "a long, b long").distinct(), "tile-links")
+    labels = components(star.unionByName(joins), scratch)
+    scratch.drop("signatures", "texts", "buckets")
+    member = member.join(labels.withColumnsRenamed({"node": "text_id"}), "text_id", "left")
+    classes = scratch.keep(member.groupBy("doc").agg(F.min(F.coalesce("component", "text_id")).alias("class_id")), "classes")
+    out = docs.drop("class_id", "kept").withColumns({"_doc": F.col(doc).cast("long"), "_text": F.col(text).isNotNull()}).join(classes.withColumnRenamed("doc", "_doc"), "_doc", "left")
     out = out.withColumn("class_id", F.when(F.col("_text"), F.col("class_id")).otherwise(F.col("_doc")))
     kept = F.coalesce(F.col("class_id") == F.col("_doc"), F.lit(True))
     if repeats:
@@ -187,6 +272,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Rows of buckets with more than one text."""
-    several = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("key")
-    return keys.join(several, "key", "left_semi")
+    """Rows of buckets with more than one text, with the text's degree: how many texts its buckets hold."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = keys.join(sizes, "key")
+    degree = rows.groupBy("doc").agg(F.sum("n").alias("degree"))
+    return rows.select("key", "doc").join(degree, "doc")
