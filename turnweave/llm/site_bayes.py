@@ -118,10 +118,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     drawn = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc"), F.lit(1 << 20)) < int(share * (1 << 20)))
     joined = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "doc").select("text", "bad")
     rows = joined.mapInArrow(_sampled, "format array<double>, words array<int>, bad boolean").toArrow()
-    bad = np.array(rows.column("bad").to_pylist(), dtype=bool)
+    bad = np.asarray(rows.column("bad").to_numpy(), dtype=bool)
     if len(bad) < 20 or bad.sum() < 5 or (~bad).sum() < 5:
         return None
-    format_ = np.array(rows.column("format").to_pylist())
+    format_ = rows.column("format").combine_chunks().flatten().to_numpy().reshape(len(bad), -1)
     lists = rows.column("words").combine_chunks()
     word = lists.flatten().to_numpy().astype(np.int64)
     owner = np.repeat(np.arange(len(bad)), lists.value_lengths().to_numpy())
