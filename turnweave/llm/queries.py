@@ -112,9 +112,46 @@ FROM timed, cut
 """
 
 
+#: Weighted Jaccard of five-word shingles over all pairs that share one, and what is reachable by links.
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w
+), c AS (SELECT doc_id, shingle, count(*) AS n FROM s GROUP BY ALL
+), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE 10 * m >= 8 * (x.t + y.t - m)
+  UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id
+), e AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node
+)
+SELECT node AS doc_id, min(root) AS class_id, min(root) = node AS kept FROM reach GROUP BY node
+"""
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), u AS (
+  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS n FROM v
+  WHERE x IS NOT NULL AND list_bool_and(list_transform(x, lambda a: a IS NOT NULL AND isfinite(a)))
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND a.n > 0 AND b.n > 0 WHERE list_dot_product(a.x, b.x) >= 0.9::DOUBLE * a.n * b.n
+), e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node
+)
+SELECT node AS vec_id, (SELECT count(*) FROM e WHERE e.a = node) AS n_links, min(root) AS component_id, min(root) = node AS kept FROM reach GROUP BY node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fair_mix": _FAIR_MIX_SQL}
+    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL}
