@@ -6,19 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Characters of a bin when characters meet sentences.
+BIN = 256
+
 
 def characters(texts: DataFrame, text: str = "text", spaced: bool = True) -> DataFrame:
     """Rows (id, char_idx, char, word_idx); a blank has the number of the word after it.
 
-    texts: id, text. Without blanks between words each character is a word.
+    texts: id, text. Without blanks between words each character is a word. Places
+    are summed up over the parts between blanks, of which there are far fewer than
+    characters.
     """
-    chars = texts.select("id", F.posexplode(F.split(F.col(text), "")).alias("char_idx", "char")).where("char != ''")
     if not spaced:
-        return chars.withColumn("word_idx", F.col("char_idx").cast("long")).withColumn("char_idx", F.col("char_idx").cast("long"))
-    order = W.partitionBy("id").orderBy("char_idx")
-    rows = chars.withColumn("_ends", F.coalesce((F.lead("char").over(order) == " ").cast("int"), F.lit(0)))
-    word = F.coalesce(F.sum("_ends").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("id", F.col("char_idx").cast("long").alias("char_idx"), "char", word.cast("long").alias("word_idx"))
+        chars = texts.select("id", F.posexplode(F.split(F.col(text), "")).alias("char_idx", "char")).where("char != ''")
+        return chars.select("id", F.col("char_idx").cast("long").alias("char_idx"), "char", F.col("char_idx").cast("long").alias("word_idx"))
+    parts = texts.select("id", F.startswith(F.col(text), F.lit(" ")).cast("int").alias("_blank"), F.posexplode(F.split(F.col(text), " ", -1)).alias("_k", "_part"))
+    before = F.sum(F.length("_part") + 1).over(W.partitionBy("id").orderBy("_k").rowsBetween(W.unboundedPreceding, -1))
+    # Each part with the blank before it; a blank that begins the text isn't counted.
+    parts = parts.withColumn("_at", F.greatest(F.coalesce(before, F.lit(0)) - 1, F.lit(0)))
+    own = F.when(F.col("_k") > 0, F.concat(F.lit(" "), F.col("_part"))).otherwise(F.col("_part"))
+    chars = parts.select("id", "_at", (F.col("_k") - F.col("_blank")).alias("_word"), F.posexplode(F.split(own, "")).alias("_i", "char")).where("char != ''")
+    return chars.select("id", (F.col("_at") + F.col("_i")).alias("char_idx"), "char", F.greatest(F.col("_word"), F.lit(0)).cast("long").alias("word_idx"))
 
 
 def clean_characters(texts: DataFrame, text: str = "text", spaced: bool = True) -> DataFrame:
@@ -63,10 +71,12 @@ def sentence_spans(texts: DataFrame, text: str = "text") -> DataFrame:
 def sentences(chars: DataFrame, spans: DataFrame, strict: bool = False) -> DataFrame:
     """Times of each sentence: the least start of its characters, the greatest end of those that aren't blanks.
 
-    As in the reference the character right after a sentence counts too, unless ``strict``.
+    As in the reference the character right after a sentence counts too, unless
+    ``strict``. Bins of places keep a text's characters from meeting all its sentences.
     """
     inside = (F.col("char_idx") >= F.col("from")) & ((F.col("char_idx") < F.col("to")) if strict else (F.col("char_idx") <= F.col("to")))
-    rows = chars.join(spans, "id").where(inside)
+    binned = spans.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / BIN), F.floor(F.col("to") / BIN))))
+    rows = chars.withColumn("_bin", F.floor(F.col("char_idx") / BIN)).join(binned, ["id", "_bin"]).where(inside)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("char_idx") < F.col("to"), F.struct("char_idx", "char")))), lambda x: x["char"]), "")
     return rows.groupBy("id", "sentence").agg(text.alias("text"), F.min("start_ms").alias("start_ms"), F.max(F.when(F.col("char") != " ", F.col("end_ms"))).alias("end_ms"))
 
