@@ -9,25 +9,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def merge_chunks(spans: DataFrame, chunk_ms: int = 30_000) -> DataFrame:
-    """Pack ordered spans into chunks of at most ``chunk_ms``; a longer single span stays whole.
+def ranges(items: Column, first: Column, cut, carry) -> Column:
+    """(from, to) ranges, to exclusive, into which a fold cuts a list before each item that ``cut(state, item)`` holds for.
 
-    A fold over a recording's spans gives each the number of its chunk; the
-    chunks are then an ordinary aggregation.
+    first: the state before any item; carry(state, item, cut): the state after it.
+    Only the cuts are gathered, so the fold's state stays small.
     """
-    rows = spans.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms"))).alias("s"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"), F.array().cast("array<int>").alias("of"))
+    zero = F.struct(F.lit(0).alias("i"), first.alias("s"), F.array(F.lit(0)).alias("cuts"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = F.coalesce(acc["from"], x["start_ms"])
-        cut = (x["end_ms"] - begin > chunk_ms) & (F.coalesce(acc["to"], F.lit(0)) - begin > 0) & acc["to"].isNotNull()
-        n = acc["n"] + cut.cast("int")
-        return F.struct(n.alias("n"), F.when(cut, x["start_ms"]).otherwise(begin).alias("from"), x["end_ms"].alias("to"), F.array_append(acc["of"], n).alias("of"))
+        now = (acc["i"] > 0) & cut(acc["s"], x)
+        cuts = F.when(now, F.array_append(acc["cuts"], acc["i"])).otherwise(acc["cuts"])
+        return F.struct((acc["i"] + 1).alias("i"), carry(acc["s"], x, now | (acc["i"] == 0)).alias("s"), cuts.alias("cuts"))
+
+    def zipped(acc: Column) -> Column:
+        ends = F.array_append(F.slice(acc["cuts"], F.lit(2), F.size(acc["cuts"])), acc["i"])
+        return F.arrays_zip(acc["cuts"].alias("from"), ends.alias("to"))
+
+    return F.aggregate(items, zero, step, zipped)
+
 
-    folded = rows.withColumn("fold", F.aggregate("s", zero, step)).select("recording_id", F.explode(F.arrays_zip("s", F.col("fold.of").alias("of"))).alias("x"))
-    flat = folded.select("recording_id", F.col("x.of").cast("long").alias("chunk"), "x.s.*")
-    segments = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms"))), lambda s: F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms")))
-    return flat.groupBy("recording_id", "chunk").agg(F.min_by("start_ms", "seg_idx").alias("start_ms"), F.max_by("end_ms", "seg_idx").alias("end_ms"), F.count("*").alias("n_segments"), segments.alias("segments"))
+def merge_chunks(spans: DataFrame, chunk_ms: int = 30_000) -> DataFrame:
+    """Pack ordered spans into chunks of at most ``chunk_ms``; a longer single span stays whole."""
+    rows = spans.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "start_ms", "end_ms"))).alias("s"))
+    none = F.lit(None).cast("long")
+    first = F.struct(none.alias("from"), none.alias("to"))
+    full = lambda a, x: (x["end_ms"] - a["from"] > chunk_ms) & (a["to"] - a["from"] > 0)
+    carry = lambda a, x, cut: F.struct(F.when(cut, x["start_ms"]).otherwise(a["from"]).alias("from"), x["end_ms"].alias("to"))
+    cut = rows.select("recording_id", "s", F.posexplode(ranges(F.col("s"), first, full, carry)).alias("chunk", "r"))
+    own = cut.select("recording_id", F.col("chunk").cast("long").alias("chunk"), F.slice("s", F.col("r.from") + 1, F.col("r.to") - F.col("r.from")).alias("s"))
+    segments = F.transform("s", lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
+    return own.select("recording_id", "chunk", F.col("s")[0]["start_ms"].alias("start_ms"), F.element_at("s", -1)["end_ms"].alias("end_ms"), F.size("s").cast("long").alias("n_segments"), segments.alias("segments"))
 
 
 def batches(texts: DataFrame, most: int = 100, chars: int = 25_000) -> DataFrame:
@@ -35,17 +47,13 @@ def batches(texts: DataFrame, most: int = 100, chars: int = 25_000) -> DataFrame
 
     texts: doc, pos, text. Returns doc, pos, batch, place in the batch.
     """
-    rows = texts.select("doc", "pos", F.length(F.coalesce("text", F.lit(""))).alias("n")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("t"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("of"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["count"] > 0) & ((acc["count"] >= most) | (acc["chars"] + x["n"] > chars))
-        batch = acc["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["count"] + 1).alias("count"), (F.when(full, 0).otherwise(acc["chars"]) + x["n"]).cast("long").alias("chars"), F.array_append(acc["of"], batch).alias("of"))
-
-    folded = rows.withColumn("fold", F.aggregate("t", zero, step)).select("doc", F.explode(F.arrays_zip("t", F.col("fold.of").alias("of"))).alias("x"))
-    flat = folded.select("doc", F.col("x.t.pos").alias("pos"), F.col("x.of").cast("long").alias("batch"))
-    return flat.withColumn("place", (F.row_number().over(W.partitionBy("doc", "batch").orderBy("pos")) - 1).cast("long"))
+    rows = texts.select("doc", "pos", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("t"))
+    first = F.struct(F.lit(0).alias("count"), F.lit(0).cast("long").alias("chars"))
+    full = lambda a, x: (a["count"] >= most) | (a["chars"] + x["n"] > chars)
+    carry = lambda a, x, cut: F.struct(F.when(cut, 1).otherwise(a["count"] + 1).alias("count"), F.when(cut, x["n"]).otherwise(a["chars"] + x["n"]).alias("chars"))
+    cut = rows.select("doc", "t", F.posexplode(ranges(F.col("t"), first, full, carry)).alias("batch", "r"))
+    placed = cut.select("doc", "batch", F.posexplode(F.slice("t", F.col("r.from") + 1, F.col("r.to") - F.col("r.from"))).alias("place", "x"))
+    return placed.select("doc", "x.pos", F.col("batch").cast("long").alias("batch"), F.col("place").cast("long").alias("place"))
 
 
 def regions(scores: DataFrame, onset: float = 0.5, offset: float = 0.363) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.texts import blank, strip
+from .folds import ranges
 
-ORDER = ("recording_id", "seg_idx")
 #: Seconds below which a piece of a turn is joined to its neighbour, in milliseconds.
 SLIVER_MS = 200
 
@@ -58,27 +58,30 @@ def next_speaker_key(keys: DataFrame) -> DataFrame:
 def coalesce_segments(segments: DataFrame, sliver_ms: int = SLIVER_MS) -> DataFrame:
     """Join short pieces within each turn until they reach ``sliver_ms``; a short rest joins the piece before.
 
-    A fold over the turn's durations counts the pieces completed before each
-    segment, which is the piece it belongs to. Missing times count as 0.
+    A fold over a turn's segments finds where pieces end; the pieces are then
+    slices of the turn's list. Missing times count as 0.
     """
     rows = with_turns(segments)
-    length = F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0))
-    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", length.alias("ms"))))
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("done"), F.array().cast("array<int>").alias("piece"))
-
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x["ms"]
-        full = total >= sliver_ms
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(total).alias("sum"), (acc["done"] + full.cast("int")).alias("done"), F.array_append(acc["piece"], acc["done"]).alias("piece"))
-
-    folded = rows.groupBy("recording_id", "turn").agg(ordered.alias("segs")).withColumn("fold", F.aggregate("segs", zero, step))
-    last = F.greatest(F.col("fold.done") - 1, F.lit(0))
-    placed = folded.select("recording_id", "turn", last.alias("last"), F.explode(F.arrays_zip("segs", F.col("fold.piece").alias("piece"))).alias("x"))
-    placed = placed.select("recording_id", F.col("x.segs.seg_idx").alias("seg_idx"), F.least("x.piece", "last").alias("piece"))
-    out = rows.join(placed, list(ORDER)).groupBy("recording_id", "turn", "piece").agg(
-        F.first("speaker", ignorenulls=True).alias("speaker"),
-        F.min_by("start_ms", F.when(F.col("start_ms").isNotNull(), F.col("seg_idx"))).alias("start_ms"), F.max_by("end_ms", F.when(F.col("end_ms").isNotNull(), F.col("seg_idx"))).alias("end_ms"),
-        joined_text().alias("text"), F.min("seg_idx").alias("from_idx"), F.max("seg_idx").alias("to_idx"),
+    length = F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", length.alias("ms"), "start_ms", "end_ms", strip(F.coalesce("text", F.lit(""))).alias("text"))))
+    turn = rows.groupBy("recording_id", "turn").agg(F.first("speaker", ignorenulls=True).alias("speaker"), ordered.alias("segs"))
+    enough = lambda held, x: held >= sliver_ms  # noqa: E731  the piece before is complete
+    carry = lambda held, x, cut: F.when(cut, x["ms"]).otherwise(held + x["ms"])
+    pieces = ranges(F.col("segs"), F.lit(0).cast("long"), enough, carry)
+    piece = lambda r: F.slice("segs", r["from"] + 1, r["to"] - r["from"])
+    sums = lambda r: F.aggregate(piece(r), F.lit(0).cast("long"), lambda a, x: a + x["ms"])
+    turn = turn.withColumn("pieces", pieces)
+    # A last piece that is too short belongs to the one before it.
+    n = F.size("pieces")
+    short = (n > 1) & (sums(F.element_at("pieces", -1)) < sliver_ms)
+    merged = F.transform("pieces", lambda r, k: F.when(short & (k == n - 2), F.struct(r["from"].alias("from"), F.element_at("pieces", -1)["to"].alias("to"))).otherwise(r))
+    turn = turn.withColumn("pieces", F.slice(merged, F.lit(1), n - short.cast("int")))
+    flat = turn.select("recording_id", "speaker", "segs", F.explode("pieces").alias("r")).select("recording_id", "speaker", piece(F.col("r")).alias("p"))
+    known = lambda field: F.transform(F.filter("p", lambda x: x[field].isNotNull()), lambda x: x[field])
+    texts = F.filter(F.transform("p", lambda x: x["text"]), lambda t: t != "")
+    out = flat.select(
+        "recording_id", "speaker", F.get(known("start_ms"), F.lit(0)).alias("start_ms"), F.try_element_at(known("end_ms"), F.lit(-1)).alias("end_ms"),
+        F.array_join(texts, " ").alias("text"), F.col("p")[0]["seg_idx"].alias("from_idx"), F.element_at("p", -1)["seg_idx"].alias("to_idx"),
     )
     place = F.row_number().over(W.partitionBy("recording_id").orderBy("from_idx")) - 1
-    return out.withColumn("seg_idx", place.cast("long")).drop("turn", "piece")
+    return out.withColumn("seg_idx", place.cast("long"))
