@@ -285,3 +285,47 @@ def test_dirty_batches_are_pushed(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert pushed == [1]
+
+
+def test_words_in_live_turns(spark, tmp_path):
+    ts = lambda s: f"2024-01-01 00:00:{s:02d}"
+    words = spark.createDataFrame([("r", ts(1), "a"), ("r", ts(7), "b"), ("q", ts(1), "c")], "recording_id string, t string, word string").select("recording_id", F.to_timestamp("t").alias("w_ts"), "word")
+    spans = spark.createDataFrame([("r", ts(0), ts(5), "A"), ("r", ts(5), ts(9), "B")], "recording_id string, s string, e string, speaker string").select("recording_id", F.to_timestamp("s").alias("s_ts"), F.to_timestamp("e").alias("e_ts"), "speaker")
+    spans.coalesce(1).write.parquet(str(tmp_path / "spans"))
+    right = spark.readStream.schema(spans.schema).parquet(str(tmp_path / "spans"))
+    got = _stream(spark, tmp_path, words, lambda left: status.live_turns(left, right).select("word", "speaker"), name="live")
+    assert got == [("a", "A"), ("b", "B")]
+
+
+def test_a_job_with_fake_models(spark):
+    from turnweave.operators import jobs
+
+    scores = spark.createDataFrame([("r", k, k * 100, 0.9 if 2 <= k < 8 else 0.1) for k in range(12)], "recording_id string, frame long, t_ms long, score double")
+
+    def speech(parts):
+        for p in parts:
+            yield p.assign(text="hi yo", language="en")[["recording_id", "chunk", "start_ms", "end_ms", "text", "language"]]
+
+    def sharp(parts):
+        for p in parts:
+            rows = []
+            for r in p.itertuples():
+                frames = []
+                for t in r.tokens:  # two frames a character, then a blank one
+                    for k in (t if t > 0 else 5, t if t > 0 else 5, 0):
+                        f = np.full(6, -9.0)
+                        f[k] = -0.01
+                        frames.append(f.tolist())
+                rows.append((r.id, frames, list(r.tokens)))
+            import pandas as pd
+
+            yield pd.DataFrame(rows, columns=["id", "emission", "tokens"])
+
+    plugins.TRANSCRIBERS.register("speech", speech)
+    plugins.ALIGNERS.register("sharp", sharp)
+    segs = jobs.transcribe(scores, "speech")
+    assert [(r.start_ms, r.end_ms, r.text) for r in segs.collect()] == [(200, 800, "hi yo")]
+    asked = segs.select(F.col("recording_id").alias("id"), "text", "start_ms", "end_ms").unionByName(spark.createDataFrame([("s", "  ", 0, 10)], "id string, text string, start_ms long, end_ms long"))
+    words = jobs.align_words(asked, {"h": 1, "i": 2, "|": 3, "y": 4}, "sharp").orderBy("word_idx").collect()
+    assert [r.word for r in words] == ["hi", "yo"]
+    assert all(200 <= r.start_ms < r.end_ms <= 800 for r in words) and words[0].end_ms <= words[1].start_ms
