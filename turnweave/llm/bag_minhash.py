@@ -233,7 +233,7 @@ def _tiles(buckets: DataFrame, labels: DataFrame, texts_: DataFrame, tile: int)
     # Each block is a side of a tile with every block, and both sides of its own.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "component")
-    return rows.join(texts_, "doc").select("key", "i", "j", "side", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.hint("merge").join(texts_, "doc").select("key", "i", "j", "side", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -247,14 +247,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     repeats = not signed_.groupBy("doc").count().where("count > 1").isEmpty()
     keys = signed_.join(member.where("doc = text_id").select("doc"), "doc", "left_semi").select("doc", F.explode("bands").alias("key")).distinct()
     buckets = scratch.keep(_shared(keys), "buckets")
-    # Only texts that share a bucket are compared.
+    # Only texts that share a bucket are compared. They grow with the corpus, so joins with texts deal out both sides.
     shared = buckets.select("doc").distinct()
-    texts_ = scratch.keep(known.select("doc", "text").join(shared, "doc", "left_semi").dropDuplicates(["doc", "text"]), "texts")
+    texts_ = scratch.keep(known.select("doc", "text").join(shared.hint("merge"), "doc", "left_semi").dropDuplicates(["doc", "text"]), "texts")
 
     centre = buckets.groupBy("key").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("a"))
     pairs = buckets.join(centre, "key").where("a != doc").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-    first = pairs.join(texts_.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
-    whole = first.join(texts_.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    first = pairs.hint("merge").join(texts_.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a")
+    whole = first.hint("merge").join(texts_.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
     star = scratch.keep(whole.mapInArrow(_overlap(size, similarity), "a long, b long, similarity double").select("a", "b").distinct(), "star-links")
     labels = components(star, scratch, "star")
     joins = scratch.keep(_tiles(buckets, labels, texts_, TILE).mapInArrow(_joins(size, similarity), "a long, b long").distinct(), "tile-links")
