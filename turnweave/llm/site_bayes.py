@@ -84,7 +84,7 @@ class Classifier:
 
 def _evidence(odds: np.ndarray, n: int, text: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The strongest words against each text, and the mean of all."""
-    value = odds[word].astype(np.float64)
+    value = odds[word]
     order = np.lexsort((-value, text))
     begin = np.searchsorted(text[order], np.arange(n))
     top = np.arange(len(text)) - begin[text[order]] < _TOP
@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
         return None
     format_ = rows.column("format").combine_chunks().flatten().to_numpy().reshape(len(bad), -1)
     lists = rows.column("words").combine_chunks()
-    word = lists.flatten().to_numpy().astype(np.int64)
-    owner = np.repeat(np.arange(len(bad)), lists.value_lengths().to_numpy())
+    word = lists.flatten().to_numpy()
+    owner = np.repeat(np.arange(len(bad), dtype=np.int32), lists.value_lengths().to_numpy())
     # Halves by an order of the rows' own content, so that reruns agree; each half's evidence comes from the other's words.
     order = np.lexsort(format_.T)
     half = np.empty(len(bad), dtype=np.int64)
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     evidence = np.zeros((len(bad), 2))
     for h in (0, 1):
         other = _odds(word, owner, bad, half != h)
-        evidence[half == h] = _evidence(other, len(bad), owner, word)[half == h]
+        mine = half[owner] == h
+        evidence[half == h] = _evidence(other, len(bad), owner[mine], word[mine])[half == h]
     odds = _odds(word, owner, bad, np.ones(len(bad), dtype=bool))
     x = np.concatenate([format_, evidence], axis=1)
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
