@@ -254,24 +254,27 @@ class SuffixLevels:
         label = f"batch-{self._count}"
         self._count += 1
         scan = self.scratch.keep(scan, label)
-        if not last:
-            self.levels.append((0, label, scan.where("adds").select("gram", "context", "doc")))
-        return scan.where("again or unsure").select("doc", "gram", "context", F.when(F.col("again"), -1).otherwise(0).cast("long").alias("mask"))
+        hits = scan.where("again or unsure").select("doc", "gram", "context", F.when(F.col("again"), -1).otherwise(0).cast("long").alias("mask"))
+        if last:
+            return hits
+        self.levels.append((0, label, scan.where("adds").select("gram", "context", "doc")))
+        return self.scratch.keep(hits, f"hits-{label}")
 
     def _merge(self) -> None:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, _, a), (_, _, b) = self.levels[-2:]
+            (rank, one, a), (_, other, b) = self.levels[-2:]
             label = f"level-{self._count}"
             self._count += 1
             both = a.unionByName(b).repartition("gram").sortWithinPartitions("gram", "context")
             self.levels[-2:] = [(rank + 1, label, self.scratch.keep(both, label))]
+            self.scratch.drop(one, other)
 
 
 def _listed(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc").agg(F.collect_list(F.struct("gram", "context", "mask")).alias("hits"))
 
 
-def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 2, hot: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = 3, hot: int = HOT_CONTEXTS) -> DataFrame:
     """Remove each byte that a ``width``-byte string covers which also starts in a document of smaller id.
 
     Returns doc, n_bytes, n_removed, n_spans, kept_sha256, and kept, the bytes left.
@@ -292,7 +295,7 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
         found = index.append(rows.where(inside), "doc", "text", last=i == len(bounds))
         hits = found if hits is None else hits.unionByName(found)
     hits = scratch.keep(hits, "hits")
-    scratch.drop(*(f"{kind}-{i}" for kind in ("batch", "level") for i in range(index._count)))
+    scratch.drop(*(f"{kind}-{i}" for kind in ("batch", "level", "hits-batch") for i in range(index._count)))
     whole, unsure = hits.where("mask = -1"), hits.where("mask = 0").select("doc", "gram", "context").distinct()
     frequent = unsure.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(1).cast("long").alias("mask"))
     unsure = unsure.join(frequent, "gram", "left").fillna(0, ["mask"])
