@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,8 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_index import scan_licenses
 
-    return scan_licenses(_documents(spark, sf_dir))
+    found = scan_licenses(_documents(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +151,78 @@ SELECT node AS vec_id, (SELECT count(*) FROM e WHERE e.a = node) AS n_links, min
 """
 
 
+def _licences_sql() -> str:
+    """The templates by comparing every run of words, and their weights by the words' document frequencies."""
+    from .license_index import BASE, MORE
+
+    words = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]::VARCHAR[]"
+    rows = [f"({k}, false, '{label}', {words(key)}, {words(rest)})" for k, (label, key, rest) in enumerate(MORE)]
+    rows += [f"({1000 + k}, true, '{label}', {words(key)}, []::VARCHAR[])" for k, (key, label) in enumerate(BASE.items())]
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), tpl(k, base, label, key, rest) AS (VALUES {', '.join(rows)}
+), vocab AS (SELECT DISTINCT unnest(list_concat(key, rest)) AS word FROM tpl
+), weights AS (
+  SELECT word, ln(((SELECT count(*) FROM d) + 1) / (count(r) + 0.5)) + 0.01 AS weight FROM vocab LEFT JOIN d ON list_contains(w, word) GROUP BY word
+), whole AS (
+  SELECT k, sum(weight) AS total, sum(weight) FILTER (j <= n) AS sure
+  FROM (SELECT k, len(key) AS n, unnest(list_concat(key, rest)) AS word, generate_subscripts(list_concat(key, rest), 1) AS j FROM tpl) JOIN weights USING (word) GROUP BY k
+), hits AS (
+  SELECT * FROM (SELECT r, w, k, base, label, key, rest, unnest(range(0, len(w) - len(key) + 1)) AS i FROM d JOIN tpl ON list_contains(w, key[1]) AND list_contains(w, key[-1]))
+  WHERE w[i + 1] = key[1] AND w[i + 1:i + len(key)] = key
+), extra AS (
+  SELECT r, k, i, sum(weight) AS weight FROM (SELECT r, k, i, w, len(key) AS n, unnest(rest) AS word, generate_subscripts(rest, 1) AS j FROM hits) JOIN weights USING (word) WHERE w[i + n + j] = word GROUP BY r, k, i
+), shares AS (
+  SELECT h.r, h.k, h.base, h.label, h.i, least(1.0, (sure + coalesce(weight, 0)) / total) AS share FROM hits h JOIN whole USING (k) LEFT JOIN extra USING (r, k, i)
+), found AS (
+  SELECT r, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) FILTER (NOT base) AS score FROM shares GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
+FROM d LEFT JOIN found USING (r)
+"""
+
+
+def _secrets_sql() -> str:
+    """Places by the lengths of the texts between matches; parts linked by comparing all of a text's."""
+    from .secret_links import ACCESS, ASSIGN, ENDPOINT, HEX, IDENTIFIER, KEY, SCOPE, WEAK
+
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "endpoint": ENDPOINT, "weak": WEAK}
+    each = " UNION ALL ".join(f"SELECT r, {k} AS k, '{name}' AS kind, string_split_regex(x, {quoted(p)}) AS between, regexp_extract_all(x, {quoted(p)}) AS found FROM d" for k, (name, p) in enumerate(kinds.items()))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
+), each_ AS ({each}
+), placed AS (
+  SELECT r, k, kind, m, CAST(list_sum(list_transform(between[1:j], lambda b: length(b))) + coalesce(list_sum(list_transform(found[1:j - 1], lambda b: length(b))), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(found) AS m, generate_subscripts(found, 1) AS j FROM each_)
+), spans AS (
+  SELECT r, k, kind, s, s + length(m) AS e FROM placed WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_replace(m, {quoted("^" + KEY)}, '')) >= 12 WHEN 'access' THEN length(m) >= 18
+    WHEN 'weak' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') ELSE true END
+), base AS (SELECT * FROM spans WHERE k < 3
+), weak AS (
+  SELECT r, s, e FROM spans w WHERE kind = 'weak' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND w.s < b.e)
+), near AS (
+  SELECT w.r, w.s, w.e, bool_or(p.kind = 'access') AS a, bool_or(p.kind = 'identifier') AS i, bool_or(p.kind = 'endpoint') AS n
+  FROM weak w JOIN spans p ON p.r = w.r AND p.kind IN ('access', 'identifier', 'endpoint') AND p.s < w.e + {SCOPE} AND p.e > w.s - {SCOPE} AND (p.s >= w.e OR p.e <= w.s) GROUP BY ALL
+), listed AS (
+  SELECT r, k, kind, s, e FROM base UNION ALL SELECT r, 3, 'linked', s, e FROM near WHERE a OR (i AND n)
+), joined AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM listed GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL}
+    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL, "op9_license_index": _licences_sql(), "op10_linked_secrets": _secrets_sql()}

@@ -27,8 +27,8 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"
 #: Parts of a credential.
 IDENTIFIER = r"""(?i:client_?id|user(?:name)?|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
-ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]{1,15}+://[^\s"'<>]+|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{4,})"""
-WEAK = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{4,})"""
+WEAK = r"[A-Za-z0-9+/_=-]{20,}"
 SCOPE = 400
 
 
