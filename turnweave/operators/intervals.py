@@ -50,8 +50,8 @@ def dominant_speaker(probes: DataFrame, spans: DataFrame, nearest: bool = False,
     out = probes.join(best, ["recording_id", "probe_id"], "left").select(probes["*"], F.col("best.speaker").alias("speaker"), F.coalesce("best.overlap_ms", F.lit(0).cast("long")).alias("overlap_ms"))
     if not nearest:
         return out
-    lone = out.where("speaker is null").drop("speaker", "overlap_ms")
-    near = nearest_span(lone, spans).select("recording_id", "probe_id", F.col("speaker").alias("near"))
+    # One sort for all probes costs less than finding the lone ones twice.
+    near = nearest_span(probes, spans).select("recording_id", "probe_id", F.col("speaker").alias("near"))
     return out.join(near, ["recording_id", "probe_id"], "left").withColumn("speaker", F.coalesce("speaker", "near")).drop("near")
 
 
