@@ -117,6 +117,14 @@ def test_licences_match_brute_force(spark, docs, sf_dir):
             assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
+def test_licences_of_very_long_texts(spark):
+    n = 100_000
+    rows = [(1, "cc by " * n + "4 0"), (2, "by cc " * n)]
+    one, two = sorted(license_index.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert (one.n_words, one.n_base, one.first_word, one.last_word, one.score) == (2 * n + 2, n, 0, 2 * n - 2, 1.0)
+    assert (two.n_words, two.n_base, two.first_word, two.last_word) == (2 * n, n - 1, 1, 2 * n - 3) and 0 < two.score < 1
+
+
 def test_mix_matches_sql_and_targets(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")

@@ -42,28 +42,33 @@ def _postings(words: Column, vocabulary: list[str]) -> Column:
     return F.filter(numbered, lambda p: F.array_contains(known, p["word"]))
 
 
-def _hits(phrase: list[str], rest: list[str], weight: dict[str, float]) -> Column:
-    """Starts where the whole phrase stands, with the share of the template's weight found there."""
-    anchor = max(range(len(phrase)), key=lambda j: (weight[phrase[j]], -j))
-    at = lambda start, j, w: F.array_contains(F.col("places")[w], start + j)
-    starts = F.transform(F.coalesce(F.col("places")[phrase[anchor]], F.array().cast("array<int>")), lambda p: p - anchor)
-
-    def whole(start: Column) -> Column:
-        test = F.lit(True)
-        for j, w in enumerate(phrase):
-            test = test & F.coalesce(at(start, j, w), F.lit(False))
-        return test
-
-    total = sum(weight[w] for w in phrase + rest) or 1.0
+def _moved(word: str, offset: int) -> Column:
+    """Where a template would begin that has the word at ``offset``."""
+    return F.transform(F.col("places")[word], lambda p: p - offset)
+
+
+def _starts(phrase: list[str], weight: dict[str, float]) -> Column:
+    """Places where the whole phrase stands: its words' postings, the rarest word's first, intersected."""
+    rarest, *others = sorted(range(len(phrase)), key=lambda j: (-weight[phrase[j]], j))
+    starts = _moved(phrase[rarest], rarest)
+    for j in others:
+        starts = F.array_intersect(starts, _moved(phrase[j], j))
+    return F.when(F.size(F.col("places")[phrase[rarest]]) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
+def _share(starts: Column, phrase: list[str], rest: list[str], weight: dict[str, float]) -> Column:
+    """The largest share of a template's weight found at one of its starts; null without any."""
+    marked = lambda at, value: F.transform(at, lambda s: F.struct(s.alias("start"), F.lit(value).alias("weight")))
     sure = sum(weight[w] for w in phrase)
+    marks = [marked(starts, sure)] + [marked(F.array_intersect(starts, _moved(w, len(phrase) + j)), weight[w]) for j, w in enumerate(rest)]
 
-    def share(start: Column) -> Column:
-        value = F.lit(sure)
-        for j, w in enumerate(rest):
-            value = value + F.when(F.coalesce(at(start, len(phrase) + j, w), F.lit(False)), F.lit(weight[w])).otherwise(0.0)
-        return F.struct(start.alias("start"), F.least(F.lit(1.0), value / total).alias("share"))
+    def step(seen: Column, mark: Column) -> Column:
+        found = F.when(seen["start"] == mark["start"], seen["found"]).otherwise(0.0) + mark["weight"]
+        return F.struct(mark["start"].alias("start"), found.alias("found"), F.greatest(seen["most"], found).alias("most"))
 
-    return F.transform(F.filter(starts, whole), share)
+    zero = F.struct(F.lit(-1).alias("start"), F.lit(0.0).alias("found"), F.lit(0.0).alias("most"))
+    most = F.aggregate(F.array_sort(F.concat(*marks)), zero, step, lambda seen: seen["most"])
+    return F.when(F.size(starts) > 0, F.least(F.lit(1.0), most / (sure + sum(weight[w] for w in rest))))
 
 
 def scan_licenses(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,11 +86,12 @@ def scan_licenses(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     places = lambda w: F.transform(F.filter("postings", lambda p: p["word"] == w), lambda p: p["place"])
     used = sorted({w for _, key, rest in templates for w in key + rest})
     rows = rows.withColumn("places", F.struct(*(places(w).alias(w) for w in used)))
-    base = {label: _hits(phrase.split(), [], weight) for phrase, label in BASE.items()}
-    rows = rows.withColumns({f"b_{label}": F.transform(c, lambda h: h["start"]) for label, c in base.items()})
-    rows = rows.withColumns({f"m_{i}": F.array_max(F.transform(_hits(key, rest, weight), lambda h: h["share"])) for i, (_, key, rest) in enumerate(templates)})
-    starts = F.concat(*(F.col(f"`b_{label}`") for label in base))
-    own = [F.when(F.size(F.col(f"`b_{label}`")) > 0, F.lit(label)) for label in base]
+    phrases = list(dict.fromkeys([*(phrase for phrase in BASE), *(" ".join(key) for _, key, _ in templates)]))
+    rows = rows.withColumns({f"s_{k}": _starts(phrase.split(), weight) for k, phrase in enumerate(phrases)})
+    at = {phrase: F.col(f"s_{k}") for k, phrase in enumerate(phrases)}
+    rows = rows.withColumns({f"m_{i}": _share(at[" ".join(key)], key, rest, weight) for i, (_, key, rest) in enumerate(templates)})
+    starts = F.concat(*(at[phrase] for phrase in BASE))
+    own = [F.when(F.size(at[phrase]) > 0, F.lit(label)) for phrase, label in BASE.items()]
     more = [F.when(F.col(f"m_{i}").isNotNull(), F.lit(label)) for i, (label, _, _) in enumerate(templates)]
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
     return rows.select(
