@@ -127,6 +127,34 @@ def test_vectors_against_brute_force(vectors, tile):
     assert got[None] == (0, None, True)
 
 
+@pytest.mark.parametrize("tile", [512, 16])
+def test_components_of_chains_of_vectors(spark, tile):
+    rng = np.random.default_rng(9)
+    m = []
+    for _ in range(8):
+        v = rng.standard_normal(64)
+        for _ in range(60):
+            v = v / np.linalg.norm(v)
+            m.append(v)
+            step = rng.standard_normal(64)
+            step -= v * (step @ v)
+            v = 0.93 * v + (1 - 0.93**2) ** 0.5 * step / np.linalg.norm(step)
+    ids = rng.permutation(len(m))
+    close = np.stack(m) @ np.stack(m).T >= 0.9
+    np.fill_diagonal(close, False)
+    want = {}
+    for k in range(len(m)):
+        seen, todo = {k}, [k]
+        while todo:
+            new = set(np.flatnonzero(close[todo.pop()])) - seen
+            seen |= new
+            todo += new
+        want[int(ids[k])] = (int(close[k].sum()), min(int(ids[x]) for x in seen))
+    assert len({c for _, c in want.values()}) == 8
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in itq.near_vectors(df, recall=0.999999, tile=tile).collect()} == want
+
+
 def test_equal_vectors_and_empty_tables(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)] + [(9, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_vectors(df).collect()}

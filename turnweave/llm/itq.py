@@ -8,7 +8,8 @@ there are as many tables as the wanted recall at the similarity asks for.
 
 In a bucket the original vectors decide, by cosine in double precision. A pair
 counts in the first table in which it meets, so each vector's links in all
-tables add up, and buckets give counts and links to smallest ids, not pairs.
+tables add up, and buckets give counts and links to the smallest id of each
+component within them, not pairs.
 Large buckets are dealt out in tiles of bounded size. Equal vectors are one
 vector with a multiplicity.
 
@@ -109,6 +110,20 @@ def _keyed(codes: Codes):
     return run
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes below ``n`` and links (a, b), the least node of each one's component."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+
+
 def _tiles(cosine: float):
     """Links within tiles: rows (table, key, i, j, side, id, copies, vector, keys), tiles in a row."""
 
@@ -121,13 +136,15 @@ def _tiles(cosine: float):
             close[a, b] = (ka[a, :table] != kb[b, :table]).all(axis=1)
         if same:
             np.fill_diagonal(close, False)
-        # Each vector's count, and a link to the smallest id it meets; both ends of a link in a tile of two blocks.
+        # Each vector's count, and the smallest id of its component in the tile, so that every link of the tile stays in; both ends of a link in a tile of two blocks.
+        a, b = np.nonzero(close)
+        nodes, at = np.unique(np.concatenate([ia[a], ib[b]]), return_inverse=True)
+        root = nodes[_roots(len(nodes), *at.reshape(2, -1))]
         out = []
-        for own, other, copies, m in ((ia, ib, cb, close), (ib, ia, ca, close.T))[: 1 if same else 2]:
+        for own, copies, m in ((ia, cb, close), (ib, ca, close.T))[: 1 if same else 2]:
             n = m @ copies
-            least = np.where(m, other[None, :], np.iinfo(np.int64).max).min(axis=1) if m.size else np.empty(0, dtype=np.int64)
             k = np.flatnonzero(n)
-            out.append(np.stack([own[k], n[k], least[k]]))
+            out.append(np.stack([own[k], n[k], root[np.searchsorted(nodes, own[k])]]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
