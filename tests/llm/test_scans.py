@@ -101,6 +101,20 @@ def test_weak_secrets_need_their_other_parts(spark):
     assert {r.doc_id for r in found.where(F.size("linked") > 0).collect()} == {2, 4}
 
 
+def test_weak_secrets_link_at_any_place_and_length(spark):
+    rows, want = [], set()
+    for length in (20, 390, 450, 1300):
+        for offset in (0, 7, 200, 389, 395, 399):
+            for distance in (1, 5, 395, 399, 400, 401):
+                token, gap = ("Zq9xWv8uTs7rQp6oNm5l" * 65)[:length], " " * distance
+                for text in (f"user=bob {token}{gap}https://h.example/x", f"https://h.example/x{gap}{token} user=bob"):
+                    if distance < secret_links.SCOPE:
+                        want.add((len(rows), text.index(token) + offset, text.index(token) + offset + length))
+                    rows.append((len(rows), " " * offset + text))
+    found = secret_links.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, s.start, s.end) for r in found.collect() for s in r.linked} == want
+
+
 def licence_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     places = [(i, label) for phrase, label in license_index.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]

@@ -3,9 +3,10 @@
 Exact patterns give the base spans. Long mixed tokens are only weak candidates:
 one is reported when an identifier (a user, client or access key id) and an
 endpoint, or an access key id alone, stand within ``SCOPE`` characters of it in
-the same text. Parts are dealt out to bins as wide as the scope and joined on
-text and bin with the distance as a further condition, so a long text with many
-parts makes no more pairs than fit into a few bins.
+the same text. The ends of parts are dealt out to bins as wide as the scope, and
+those of tokens to the bins within a scope of them; they are joined on text and bin
+with the distance as a further condition, so a long text with many parts makes no
+more pairs than fit into a few bins.
 
 Defined results: null text is empty; repeated rows count each; an empty table
 gives none.
@@ -56,14 +57,16 @@ def _linked(rows: DataFrame, scope: int) -> DataFrame:
     """Rows (row, spans): weak candidates that complement other parts of a credential."""
     base = F.concat(*(F.col(k) for k in KINDS))
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    weak = rows.select("row", F.explode(F.filter("weak", apart)).alias("w")).select("row", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.floor(F.col("w.start") / scope).alias("bin"))
+    weak = rows.select("row", F.explode(F.filter("weak", apart)).alias("w")).select("row", F.col("w.start").alias("start"), F.col("w.end").alias("end"))
     other = None
     for kind, column in (("access", "access"), ("identifier", "identifier"), ("endpoint", "endpoint")):
         found = rows.where(F.size("weak") > 0).select("row", F.lit(kind).alias("kind"), F.explode(column).alias("p"))
         other = found if other is None else other.unionByName(found)
-    # A long part reaches over several bins; candidates look one bin around.
-    bins = F.sequence(F.floor(F.col("p.start") / scope) - 1, F.floor(F.col("p.end") / scope) + 1)
-    other = other.select("row", "kind", F.col("p.start").alias("from"), F.col("p.end").alias("to"), F.explode(bins).alias("bin"))
+    # A part before a candidate ends less than a scope before its start, one after it starts less than that after its end; what lies between their ends doesn't matter.
+    at = lambda c: F.floor(F.col(c) / scope)
+    weak = weak.withColumn("bin", F.explode(F.array_distinct(F.array(at("start") - 1, at("start"), at("end"), at("end") + 1))))
+    other = other.select("row", "kind", F.col("p.start").alias("from"), F.col("p.end").alias("to"))
+    other = other.withColumn("bin", F.explode(F.array_distinct(F.array(at("from"), at("to")))))
     near = (F.col("from") < F.col("end") + scope) & (F.col("to") > F.col("start") - scope) & ((F.col("from") >= F.col("end")) | (F.col("to") <= F.col("start")))
     has = lambda kind: F.max(F.col("kind") == kind)
     pairs = weak.join(other, ["row", "bin"]).where(near).groupBy("row", "start", "end").agg(has("access").alias("a"), has("identifier").alias("i"), has("endpoint").alias("e"))
