@@ -100,6 +100,27 @@ def test_fuzzy_passages_are_found_and_clean_texts_left(spark):
     assert {r.identity for r in found if r.doc_id == 2} == {1.0}
 
 
+def test_passages_are_found_at_every_place(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    words = lambda n: [word() for _ in range(n)]
+    passage, other = words(80), words(80)
+    strays = [w for k in range(0, 72, 12) for w in passage[k : k + 8] + words(9)]
+    twenty = [w for _ in range(20) for w in other + words(30)]
+    bodies = [
+        words(40) + strays + words(60) + passage + words(40),
+        words(40) + passage + words(300) + passage + words(20),
+        words(10) + strays + words(700) + passage + words(30),
+        words(20) + twenty, words(50) + twenty,
+    ]
+    rows = [(i, " ".join(b)) for i, b in enumerate(bodies)]
+    found = chaining.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for doc, source, part in ((1, 0, passage), (2, 0, passage), (2, 1, passage), (4, 3, other)):
+        for k in (k for k in range(len(bodies[doc])) if bodies[doc][k : k + 80] == part):
+            hits = [r for r in found if (r.doc_id, r.source_id) == (doc, source) and r.start_word <= k + 3 and r.end_word >= k + 77]
+            assert hits, (doc, source, k)
+
+
 def test_all_long_exact_passages_of_the_sample_are_found(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = {r.doc_id for r in chaining.fuzzy_passages(docs).collect()}
