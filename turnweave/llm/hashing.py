@@ -47,27 +47,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[n]
 
 
-class RangeHash:
-    """Hashes of any byte range of ``data``, by prefix sums of a polynomial."""
+class Sums:
+    """Hashes of any range of 64-bit values, by prefix sums of a polynomial."""
 
-    def __init__(self, data: np.ndarray, fold: bool = False, seed: int = 1):
-        size = 1 << max(18, int(len(data) + 1).bit_length())
+    def __init__(self, values: np.ndarray):
+        size = 1 << max(18, int(len(values) + 1).bit_length())
         power, self._inverse = _powers(size)
-        self._sums = np.empty(len(data) + 1, dtype=np.uint64)
+        self._sums = np.empty(len(values) + 1, dtype=np.uint64)
         self._sums[0] = 0
-        np.cumsum(_byte_values(fold, seed)[data] * power[: len(data)], out=self._sums[1:])
+        np.cumsum(values * power[: len(values)], out=self._sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self._sums[end] - self._sums[start]) * self._inverse[start]
 
     def fixed(self, width: int) -> np.ndarray:
-        """Unmixed hash of each range of ``width`` bytes."""
+        """Unmixed hash of each ``width`` values in a row."""
         n = len(self._sums) - width
         if n <= 0:
             return np.empty(0, dtype=np.uint64)
         return (self._sums[width:] - self._sums[:n]) * self._inverse[:n]
 
 
+class RangeHash(Sums):
+    """Hashes of any byte range of ``data``."""
+
+    def __init__(self, data: np.ndarray, fold: bool = False, seed: int = 1):
+        super().__init__(_byte_values(fold, seed)[data])
+
+
 @dataclass
 class Texts:
     """The texts of some rows, one after the other: ``data[offsets[i]:offsets[i + 1]]``."""
