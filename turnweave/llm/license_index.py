@@ -1,14 +1,20 @@
 """Licences by a positional index of rare words, in DataFrame operations only.
 
-A text's words are numbered. Only words that occur in licence templates become
-postings (word, place). Their document frequencies over all texts say which word
-of each template is rarest; a place of that word minus its offset is where the
-template would begin, and the other words' postings are intersected at their
-offsets from there. A licence counts where all words of its mandatory key phrase
-stand; its score is the share of the template's weight that is found there.
+A text's words are numbered. How many texts have each word of the licence
+notices gives its weight, ln((texts + 1) / (texts with it + 0.5)). The index lists
+for each rare word the phrases that it is the rarest word of, and its offset
+there. A text looks up the words it has, so that only phrases whose rarest word
+it has are fetched; the word's place minus its offset is where the phrase would
+begin, and the phrase stands there if the text has each other word at its offset.
+
+A notice counts where its first key phrase stands and each further one within
+``SLACK`` words of its place. The notice's other words are then looked up at
+their places relative to that: the score is the share of its weight found, the
+greatest of all notices.
 
 Defined results: null text is empty; a text without a phrase has no labels,
-null places and score 0; repeated rows count each; an empty table gives none.
+null places and score 0; repeated rows count each; columns besides id and text
+don't matter; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,82 +25,104 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .licence_texts import BASE, NOTICES
 from .scratch import Scratch
 
 #: A word, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Phrases of the base and their labels.
-BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Further templates: label, key phrase, and words that usually follow it.
-MORE = (
-    ("gpl", "gnu general public license", "version 3"), ("apache", "apache license", "version 2 0"), ("cc-by", "cc by", "4 0"), ("mit", "mit license", ""),
-    ("agpl", "affero general public license", "version 3"), ("lgpl", "lesser general public license", "version 3"), ("mpl", "mozilla public license", "version 2 0"),
-    ("epl", "eclipse public license", "version 2 0"), ("bsd", "redistribution and use in source and binary forms", "with or without modification"),
-    ("bsd", "bsd license", ""), ("isc", "isc license", ""), ("cc0", "creative commons zero", ""), ("cc-by-sa", "cc by sa", "4 0"), ("cc-by-nc", "cc by nc", "4 0"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "of this software"), ("unlicense", "free and unencumbered software", "released into the public domain"),
-    ("gpl", "gnu gpl", "version 3"), ("proprietary", "all rights reserved", ""),
-)
-
-
-def _postings(words: Column, vocabulary: list[str]) -> Column:
-    known = F.array(*map(F.lit, vocabulary))
-    numbered = F.transform(words, lambda w, i: F.struct(i.alias("place"), w.alias("word")))
-    return F.filter(numbered, lambda p: F.array_contains(known, p["word"]))
-
-
-def _moved(word: str, offset: int) -> Column:
-    """Where a template would begin that has the word at ``offset``."""
-    return F.transform(F.col("places")[word], lambda p: p - offset)
-
-
-def _starts(phrase: list[str], weight: dict[str, float]) -> Column:
-    """Places where the whole phrase stands: its words' postings, the rarest word's first, intersected."""
-    rarest, *others = sorted(range(len(phrase)), key=lambda j: (-weight[phrase[j]], j))
-    starts = _moved(phrase[rarest], rarest)
-    for j in others:
-        starts = F.array_intersect(starts, _moved(phrase[j], j))
-    return F.when(F.size(F.col("places")[phrase[rarest]]) > 0, starts).otherwise(F.array().cast("array<int>"))
-
-
-def _share(starts: Column, phrase: list[str], rest: list[str], weight: dict[str, float]) -> Column:
-    """The largest share of a template's weight found at one of its starts; null without any."""
-    marked = lambda at, value: F.transform(at, lambda s: F.struct(s.alias("start"), F.lit(value).alias("weight")))
-    sure = sum(weight[w] for w in phrase)
-    marks = [marked(starts, sure)] + [marked(F.array_intersect(starts, _moved(w, len(phrase) + j)), weight[w]) for j, w in enumerate(rest)]
-
-    def step(seen: Column, mark: Column) -> Column:
-        found = F.when(seen["start"] == mark["start"], seen["found"]).otherwise(0.0) + mark["weight"]
-        return F.struct(mark["start"].alias("start"), found.alias("found"), F.greatest(seen["most"], found).alias("most"))
-
-    zero = F.struct(F.lit(-1).alias("start"), F.lit(0.0).alias("found"), F.lit(0.0).alias("most"))
-    most = F.aggregate(F.array_sort(F.concat(*marks)), zero, step, lambda seen: seen["most"])
-    return F.when(F.size(starts) > 0, F.least(F.lit(1.0), most / (sure + sum(weight[w] for w in rest))))
+#: Words by which the key phrases of one notice may be shifted against each other.
+SLACK = 30
+
+
+def phrases() -> list[str]:
+    """All phrases that are looked for: the base's first."""
+    return list(dict.fromkeys([*BASE, *(p for _, keys, _ in NOTICES for p in keys)]))
+
+
+def vocabulary() -> list[str]:
+    return sorted({w for text in [*BASE, *(notice for *_, notice in NOTICES)] for w in text.split()} | {w for p in phrases() for w in p.split()})
+
+
+def offset(phrase: str, notice: str) -> int:
+    """Words of a notice before a phrase of it."""
+    return len(f" {notice} ".split(f" {phrase} ")[0].split())
+
+
+def _table(rows: DataFrame, columns: list[tuple[str, list]]) -> DataFrame:
+    """A small table of fixed values, as columns of literals."""
+    values = F.arrays_zip(*(F.array(*map(F.lit, v)).alias(name) for name, v in columns))
+    return rows.sparkSession.range(1).select(F.explode(values).alias("v")).select(*(F.col("v")[name].alias(name) for name, _ in columns))
+
+
+def _starts(postings: DataFrame, weight: dict[str, float]) -> DataFrame:
+    """Rows (row, phrase, start): places where a phrase stands."""
+    entries, members = [], []
+    for k, phrase in enumerate(phrases()):
+        own = phrase.split()
+        rarest = max(range(len(own)), key=lambda j: (weight[own[j]], -j))
+        entries.append((own[rarest], k, rarest, len(own)))
+        members += [(k, j, w) for j, w in enumerate(own) if j != rarest]
+    index = _table(postings, [(n, [e[i] for e in entries]) for i, n in enumerate(("word", "phrase", "shift", "size"))])
+    found = postings.join(F.broadcast(index), "word").select("row", "phrase", (F.col("place") - F.col("shift")).alias("start"), "size")
+    rest = _table(postings, [(n, [m[i] for m in members]) for i, n in enumerate(("phrase", "shift", "word"))])
+    wanted = found.join(F.broadcast(rest), "phrase").select("row", "phrase", "start", "size", (F.col("start") + F.col("shift")).alias("place"), "word")
+    whole = wanted.join(postings, ["row", "place", "word"]).groupBy("row", "phrase", "start", "size").agg(F.count("*").alias("n"))
+    return whole.where("n = size - 1").select("row", "phrase", "start")
+
+
+def _notices(starts: DataFrame, postings: DataFrame, weight: dict[str, float]) -> DataFrame:
+    """Rows (row, notice, share): notices whose key phrases all stand, and the greatest share of their weight."""
+    number = {p: k for k, p in enumerate(phrases())}
+    keys = [(i, number[p], j, offset(p, notice), len(own)) for i, (_, own, notice) in enumerate(NOTICES) for j, p in enumerate(own)]
+    key = _table(starts, [(n, [k[i] for k in keys]) for i, n in enumerate(("notice", "phrase", "part", "shift", "parts"))])
+    parts = starts.join(F.broadcast(key), "phrase").select("row", "notice", "part", "parts", (F.col("start") - F.col("shift")).alias("begin"))
+    first = parts.where("part = 0").drop("part")
+    # A further phrase may stand near its place: both sides are dealt out to bins, and those that meet are compared.
+    slot = F.floor(F.col("begin") / SLACK)
+    further = parts.where("part > 0").select("row", "notice", "part", F.col("begin").alias("at"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    met = first.where("parts > 1").withColumn("slot", slot).join(further, ["row", "notice", "slot"]).where(F.abs(F.col("at") - F.col("begin")) <= SLACK)
+    met = met.groupBy("row", "notice", "begin", "parts").agg(F.count_distinct("part").alias("n")).where("n = parts - 1")
+    begins = first.where("parts = 1").select("row", "notice", "begin").unionByName(met.select("row", "notice", "begin"))
+    words = [(i, j, w, weight[w]) for i, (*_, notice) in enumerate(NOTICES) for j, w in enumerate(notice.split())]
+    word = _table(starts, [(n, [w[i] for w in words]) for i, n in enumerate(("notice", "shift", "word", "weight"))])
+    total = _table(starts, [("notice", list(range(len(NOTICES)))), ("total", [sum(weight[w] for w in notice.split()) for *_, notice in NOTICES])])
+    wanted = begins.join(F.broadcast(word), "notice").select("row", "notice", "begin", (F.col("begin") + F.col("shift")).alias("place"), "word", "weight")
+    found = wanted.join(postings, ["row", "place", "word"]).groupBy("row", "notice", "begin").agg(F.sum("weight").alias("found"))
+    return found.join(F.broadcast(total), "notice").groupBy("row", "notice").agg(F.least(F.lit(1.0), F.max(F.col("found") / F.col("total"))).alias("share"))
+
+
+def _complete(present: Column) -> Column:
+    """Whether a text has all words of some phrase."""
+    some = F.lit(False)
+    for phrase in phrases():
+        some = some | F.forall(F.array(*map(F.lit, sorted(set(phrase.split())))), lambda w: F.array_contains(present, w))
+    return some
 
 
 def scan_licenses(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     scratch = Scratch(docs.sparkSession, "licenses")
-    templates = [(label, key.split(), rest.split()) for label, key, rest in MORE]
-    vocabulary = sorted({w for _, key, rest in templates for w in key + rest})
+    known = vocabulary()
     low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.select(F.col(doc).alias("doc"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
-    rows = scratch.keep(rows.select("doc", F.size("words").cast("long").alias("n_words"), _postings(F.col("words"), vocabulary).alias("postings")), "postings")
-    present = rows.select(F.explode(F.array_distinct(F.transform("postings", lambda p: p["word"]))).alias("word"))
-    frequency = {r["word"]: r["count"] for r in present.groupBy("word").count().collect()}  # as many as the vocabulary
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
+    rows = rows.withColumn("present", F.array_distinct(F.filter("words", lambda w: w.isin(known))))
+    numbered = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda p: p["word"].isin(known))
+    rows = rows.select("row", "doc", F.size("words").cast("long").alias("n_words"), "present", F.when(_complete(F.col("present")), numbered).alias("postings"))
+    rows = scratch.keep(rows, "texts")  # row numbers stay as they are from here
+    frequency = {r["word"]: r["count"] for r in rows.select(F.explode("present").alias("word")).groupBy("word").count().collect()}  # as many as the notices have words
     n = rows.count()
-    weight = {w: math.log((n + 1) / (frequency.get(w, 0) + 0.5)) + 0.01 for w in vocabulary}
-    places = lambda w: F.transform(F.filter("postings", lambda p: p["word"] == w), lambda p: p["place"])
-    used = sorted({w for _, key, rest in templates for w in key + rest})
-    rows = rows.withColumn("places", F.struct(*(places(w).alias(w) for w in used)))
-    phrases = list(dict.fromkeys([*(phrase for phrase in BASE), *(" ".join(key) for _, key, _ in templates)]))
-    rows = rows.withColumns({f"s_{k}": _starts(phrase.split(), weight) for k, phrase in enumerate(phrases)})
-    at = {phrase: F.col(f"s_{k}") for k, phrase in enumerate(phrases)}
-    rows = rows.withColumns({f"m_{i}": _share(at[" ".join(key)], key, rest, weight) for i, (_, key, rest) in enumerate(templates)})
-    starts = F.concat(*(at[phrase] for phrase in BASE))
-    own = [F.when(F.size(at[phrase]) > 0, F.lit(label)) for phrase, label in BASE.items()]
-    more = [F.when(F.col(f"m_{i}").isNotNull(), F.lit(label)) for i, (label, _, _) in enumerate(templates)]
-    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
-    return rows.select(
-        F.col("doc").alias(doc), "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
-        joined(own).alias("base_labels"), joined(own + more).alias("labels"), F.coalesce(F.array_max(F.array(*(F.col(f"m_{i}") for i in range(len(templates))))), F.lit(0.0)).alias("score"),
+    weight = {w: math.log((n + 1) / (frequency.get(w, 0) + 0.5)) + 0.01 for w in known}
+    postings = scratch.keep(rows.where("postings is not null").select("row", F.explode("postings").alias("p")).select("row", "p.place", "p.word"), "postings")
+    starts = scratch.keep(_starts(postings, weight), "starts")
+    shares = _notices(starts, postings, weight)
+    base = _table(rows, [("phrase", list(range(len(BASE)))), ("label", list(BASE.values()))])
+    places = starts.join(F.broadcast(base), "phrase").groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"), F.collect_set("label").alias("base"))
+    label = _table(rows, [("notice", list(range(len(NOTICES)))), ("label", [x for x, *_ in NOTICES])])
+    more = shares.join(F.broadcast(label), "notice").groupBy("row").agg(F.max("share").alias("score"), F.collect_set("label").alias("more"))
+    out = rows.select("row", "doc", "n_words").join(places, "row", "left").join(more, "row", "left")
+    none = F.array().cast("array<string>")
+    base_, more_ = F.coalesce("base", none), F.coalesce("more", none)
+    return out.select(
+        F.col("doc").alias(doc), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
+        F.array_join(F.array_sort(base_), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base_, more_)), ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -152,37 +152,47 @@ SELECT node AS vec_id, (SELECT count(*) FROM e WHERE e.a = node) AS n_links, min
 
 
 def _licences_sql() -> str:
-    """The templates by comparing every run of words, and their weights by the words' document frequencies."""
-    from .license_index import BASE, MORE
-
-    words = lambda text: "[" + ", ".join(f"'{w}'" for w in text.split()) + "]::VARCHAR[]"
-    rows = [f"({k}, false, '{label}', {words(key)}, {words(rest)})" for k, (label, key, rest) in enumerate(MORE)]
-    rows += [f"({1000 + k}, true, '{label}', {words(key)}, []::VARCHAR[])" for k, (key, label) in enumerate(BASE.items())]
+    """Phrases and notices by comparing every word of a text with every word of them, weighed by document frequencies."""
+    from .license_index import BASE, NOTICES, SLACK, WORD, offset, phrases
+
+    number = {p: k for k, p in enumerate(phrases())}
+    members = ", ".join(f"({k}, {j}, '{w}', {len(p.split())})" for p, k in number.items() for j, w in enumerate(p.split()))
+    keys = ", ".join(f"({i}, {number[p]}, {j}, {offset(p, notice)}, {len(own)})" for i, (_, own, notice) in enumerate(NOTICES) for j, p in enumerate(own))
+    words = ", ".join(f"({i}, {j}, '{w}')" for i, (*_, notice) in enumerate(NOTICES) for j, w in enumerate(notice.split()))
+    labels = ", ".join(f"({i}, '{label}')" for i, (label, *_) in enumerate(NOTICES))
+    base = ", ".join(f"({number[p]}, '{label}')" for p, label in BASE.items())
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), tpl(k, base, label, key, rest) AS (VALUES {', '.join(rows)}
-), vocab AS (SELECT DISTINCT unnest(list_concat(key, rest)) AS word FROM tpl
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), member(phrase, j, word, size) AS (VALUES {members}
+), key_(notice, phrase, part, shift, parts) AS (VALUES {keys}
+), noticed(notice, j, word) AS (VALUES {words}
+), named(notice, label) AS (VALUES {labels}
+), base(phrase, label) AS (VALUES {base}
+), vocabulary AS (SELECT word FROM member UNION SELECT word FROM noticed
+), p AS (
+  SELECT * FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM d) SEMI JOIN vocabulary USING (word)
 ), weights AS (
-  SELECT word, ln(((SELECT count(*) FROM d) + 1) / (count(r) + 0.5)) + 0.01 AS weight FROM vocab LEFT JOIN d ON list_contains(w, word) GROUP BY word
-), whole AS (
-  SELECT k, sum(weight) AS total, sum(weight) FILTER (j <= n) AS sure
-  FROM (SELECT k, len(key) AS n, unnest(list_concat(key, rest)) AS word, generate_subscripts(list_concat(key, rest), 1) AS j FROM tpl) JOIN weights USING (word) GROUP BY k
-), hits AS (
-  SELECT * FROM (SELECT r, w, k, base, label, key, rest, unnest(range(0, len(w) - len(key) + 1)) AS i FROM d JOIN tpl ON list_contains(w, key[1]) AND list_contains(w, key[-1]))
-  WHERE w[i + 1] = key[1] AND w[i + 1:i + len(key)] = key
-), extra AS (
-  SELECT r, k, i, sum(weight) AS weight FROM (SELECT r, k, i, w, len(key) AS n, unnest(rest) AS word, generate_subscripts(rest, 1) AS j FROM hits) JOIN weights USING (word) WHERE w[i + n + j] = word GROUP BY r, k, i
-), shares AS (
-  SELECT h.r, h.k, h.base, h.label, h.i, least(1.0, (sure + coalesce(weight, 0)) / total) AS share FROM hits h JOIN whole USING (k) LEFT JOIN extra USING (r, k, i)
+  SELECT word, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT r) + 0.5)) + 0.01 AS weight FROM vocabulary LEFT JOIN p USING (word) GROUP BY word
+), starts AS (
+  SELECT r, phrase, place - j AS s FROM p JOIN member USING (word) GROUP BY r, phrase, place - j HAVING count(*) = max(size)
+), parts AS (SELECT r, notice, part, parts, s - shift AS b FROM starts JOIN key_ USING (phrase)
+), begins AS (
+  SELECT f.r, f.notice, f.b FROM parts f LEFT JOIN parts g ON g.r = f.r AND g.notice = f.notice AND g.part > 0 AND abs(g.b - f.b) <= {SLACK}
+  WHERE f.part = 0 GROUP BY f.r, f.notice, f.b HAVING count(DISTINCT g.part) = max(f.parts) - 1
 ), found AS (
-  SELECT r, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
-         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) FILTER (NOT base) AS score FROM shares GROUP BY r
+  SELECT r, notice, b, sum(weight) AS found FROM begins JOIN noticed n USING (notice) JOIN p USING (r, word) JOIN weights USING (word) WHERE p.place = b + n.j GROUP BY r, notice, b
+), totals AS (SELECT notice, sum(weight) AS total FROM noticed JOIN weights USING (word) GROUP BY notice
+), more AS (
+  SELECT r, least(1.0, max(found / total)) AS score FROM found JOIN totals USING (notice) GROUP BY r
+), places AS (
+  SELECT r, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM starts JOIN base USING (phrase) GROUP BY r
+), every AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM starts JOIN base USING (phrase) UNION SELECT r, label FROM begins JOIN named USING (notice)) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
-FROM d LEFT JOIN found USING (r)
+FROM d LEFT JOIN places USING (r) LEFT JOIN every USING (r) LEFT JOIN more USING (r)
 """
 
 
