@@ -5,6 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from turnweave.llm.licence_texts import NOTICES
 from turnweave.llm import fair_mix, license_index, pii, queries, secret_links, site_bayes, spans
 
 TEXTS = [
@@ -70,12 +71,38 @@ def test_pii_base_matches_brute_force(spark, docs, sf_dir):
     check_digests(queries.op5_pii(spark, sf_dir).collect(), texts, PII)
 
 
-def test_boosted_candidates_add_other_spellings(spark):
-    rows = [(i, f"mail u{i}@host{i % 7}.example.com or call +1 ({100 + i % 800}) 555-{1000 + i % 9000}, host 10.{i % 256}.3.4 or 10.{i % 600}.3.999 card {4000000000000000 + i * 7919}") for i in range(400)]
-    rows += [(1000, "write to bob (at) mail.com")]
-    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
-    text, red = found.where("doc_id = 1000").select(pii.digests(found)["spans"], pii.redact(F.col("text"), F.col("spans"))).first()
-    assert text == "email:9:26" and red == "write to [EMAIL]"
+#: Texts labelled by hand: what is personal data in another spelling than the exact patterns take, and what only looks like it.
+HAND = (
+    ("write to bob (at) mail.com", "email:9:26"), ("anna [at] example [dot] org answers", "email:0:27"), ("kontakt: j.doe (at) uni (dot) edu", "email:9:33"), ("call (030) 1234567 now", "phone:5:18"),
+    ("ring 0171 2345678 today", "phone:5:17"), ("fax 555-123-4567", "phone:4:16"), ("Tel. 0049 170 2233445", "phone:5:21"), ("phone (212) 555-0199 after six", "phone:6:20"), ("mobile 0160-9988776", "phone:7:19"),
+    ("card 4111.1111.1111.1111 ok", "card:5:24"), ("visa 5500/0000/0000/0004", "card:5:24"), ("login from ip 10 . 20 . 30 . 40", "ip:14:31"), ("host 192 . 168 . 0 . 1 is up", "ip:5:22"), ("server 172 . 16 . 254 . 3", "ip:7:25"),
+    ("version 1 . 2 . 3 . 4 is out", ""), ("we shipped release 2 . 0 . 11 . 3", ""), ("he saw me @ noon. Then he left", ""), ("sold 5 @ market. Sell more", ""), ("bought 12 @ 3.50 yesterday", ""), ("look @ this. It works", ""),
+    ("on 2024-10-12 30 people came", ""), ("isbn 978-3-16-148410-0", ""), ("see 978-0-306-40615-7 there", ""), ("from 1990-1995 2000 were sold", ""), ("order 4711-2024-0815 arrived", ""), ("pi is 3.14159265358979", ""),
+    ("12.10.2024 14 o'clock", ""), ("the population is 1 000 000 000", ""), ("section 3 . 1 . 4 . 1", ""), ("invoice 1234-5678-9012-3456", ""),
+)
+
+
+def test_added_spans_of_texts_labelled_by_hand(spark):
+    """The model comes from its generated examples here: the table itself shows nothing."""
+    found = pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(HAND)], "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in found.select("doc_id", pii.digests(found)["spans"].alias("spans")).collect()}
+    wrong = [(t, got[i]) for i, (t, want) in enumerate(HAND) if got[i] and got[i] != want]
+    missed = [(t, want) for i, (t, want) in enumerate(HAND) if want and got[i] != want]
+    assert not wrong and len(missed) <= 1, (wrong, missed)
+
+
+def test_model_is_measured_on_held_out_candidates_and_uses_context(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    trees = pii.fit(docs, "doc_id", "text")
+    assert {"hint", "counter"} <= trees.used() and set(trees.thresholds) == {0, 1, 2, 3} and len(set(trees.thresholds.values())) > 1
+    red = docs.limit(0).select("doc_id", "text").union(spark.createDataFrame([(0, "bob (at) mail.com, then 5 @ market. Sell")], "doc_id long, text string"))
+    found = pii.find_pii(red)
+    assert found.select(pii.redact(F.col("text"), F.col("spans")).alias("x")).first().x == "[EMAIL], then 5 @ market. Sell"
+    held = pii.labelled(docs, "doc_id", "text").where("held").select("kind", "label", (F.transform(F.array("features"), trees.score)[0]).alias("score")).collect()
+    for kind, least in trees.thresholds.items():
+        mine = [(r.label, r.score >= least) for r in held if r.kind == kind]
+        taken = [label for label, yes in mine if yes]
+        assert sum(taken) >= 0.95 * len(taken) and sum(taken) >= 0.9 * sum(label for label, _ in mine), kind
 
 
 def test_redaction(docs):
@@ -137,6 +164,18 @@ def test_licences_of_very_long_texts(spark):
     one, two = sorted(license_index.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert (one.n_words, one.n_base, one.first_word, one.last_word, one.score) == (2 * n + 2, n, 0, 2 * n - 2, 1.0)
     assert (two.n_words, two.n_base, two.first_word, two.last_word) == (2 * n, n - 1, 1, 2 * n - 3) and 0 < two.score < 1
+    assert one.labels == "cc-by"
+
+
+def test_notices_need_their_key_phrases(spark):
+    mit = next(n for label, keys, n in NOTICES if label == "mit" and len(keys) > 1)
+    bsd = next(n for label, keys, n in NOTICES if label == "bsd" and len(keys) > 1)
+    half = mit.split("the above copyright notice")[0]
+    moved = mit.replace("subject to the following conditions", "subject to the following extra words and conditions")
+    rows = [(0, f"Copyright (c) 2024 X. All rights reserved. {mit}"), (1, "All rights reserved."), (2, half), (3, moved), (4, f"{bsd} and {mit}"), (5, mit.replace("the above copyright notice", "pad " * 40 + "the above copyright notice"))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_index.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {0: "mit", 1: "", 2: "", 3: "mit", 4: "bsd,mit", 5: ""}
+    assert got[0][1] == pytest.approx(1.0) and got[1][1] == 0 and 0.2 < got[3][1] < 1
 
 
 def test_mix_matches_sql_and_targets(spark, sf_dir):
