@@ -77,6 +77,19 @@ def test_tiles_of_any_size_find_the_same(copies, monkeypatch):
     assert got == classes(rows)
 
 
+def test_one_stranger_makes_few_rows(spark):
+    """A bucket of 10,000 texts of one component and one text of another: each is in one tile with it."""
+    buckets = spark.range(10_001).selectExpr("1L as key", "id as doc")
+    labels = spark.range(10_000).selectExpr("id as node", "0L as component")
+    rows = bag_minhash._tiles(buckets, labels, 256).collect()
+    assert len(rows) <= 10_000 + 2 * 41
+    mine = {(r.i, r.j) for r in rows if r.doc == 10_000}
+    assert all((r.i, r.j) in mine for r in rows)
+    three = bag_minhash._tiles(spark.range(30).selectExpr("1L as key", "id as doc"), spark.range(30).selectExpr("id as node", "id % 3 as component"), 4).collect()
+    met = {(a.doc, b.doc) for a in three for b in three if (a.i, a.j) == (b.i, b.j) and a.doc < b.doc}
+    assert {(a, b) for a in range(30) for b in range(a + 1, 30) if a % 3 != b % 3} <= met
+
+
 def test_odd_rows(odd, none):
     got = collections.defaultdict(list)
     for r in bag_minhash.near_duplicates(odd).collect():

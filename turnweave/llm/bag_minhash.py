@@ -13,8 +13,9 @@ Bands of places propose links. In a band's bucket one text is the centre and
 the others are compared with it, so a group of copies makes as many pairs as it
 has members. The centre is the text whose buckets hold most texts: among copies
 of one text that is the text itself, which all copies resemble. In buckets whose
-members then still lie in different components, all texts are compared in tiles
-of bounded size, and a tile gives no more links than join its components.
+members then still lie in different components, the texts outside the largest one
+are compared with all of it and with each other, in tiles of bounded size; a tile
+gives no more links than join its components.
 
 Defined results: equal texts are one class; texts without words are classes of
 their own unless equal; null text is left alone as a class of its own; null ids
@@ -43,6 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 6
 #: Texts of one side of a tile.
 TILE = 256
+#: Shares of the documents of one text.
+SHARES = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,15 +228,36 @@ def _joined(rest: pa.Table | None, b: pa.RecordBatch | None) -> pa.Table | None:
     return pa.concat_tables(parts) if parts else None
 
 
-def _tiles(buckets: DataFrame, labels: DataFrame, texts_: DataFrame, tile: int) -> DataFrame:
-    """The texts of buckets that hold several components, dealt out to tiles."""
-    rows = buckets.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("low != high").select("key", "tiles")
-    rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    # Each block is a side of a tile with every block, and both sides of its own.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "component")
-    return rows.hint("merge").join(texts_, "doc").select("key", "i", "j", "side", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def _tiles(buckets: DataFrame, labels: DataFrame, tile: int) -> DataFrame:
+    """Rows (key, i, j, side, doc, component) of buckets that hold several components, dealt out to tiles.
+
+    The texts outside a bucket's largest component are dealt out to blocks 0, 1, ..., which all meet
+    each other; the largest component's blocks are -1, -2, ..., which meet those alone.
+    """
+    rows = buckets.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", -F.col("component"))).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks = lambda n: F.ceil(n / tile).cast("int")
+    largest = largest.select("key", (-F.col("top.col2")).alias("main"), blocks(F.col("top.n")).alias("mains"), blocks(F.col("n") - F.col("top.n")).alias("rests"))
+    rows = rows.join(largest, "key")
+    main = F.col("component") == F.col("main")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.when(main, F.col("mains")).otherwise(F.col("rests"))).cast("int")).withColumn("block", F.when(main, -1 - F.col("block")).otherwise(F.col("block")))
+    # Each block outside is a side of a tile with every block, and both sides of its own.
+    other = F.when(main, F.sequence(F.lit(0), F.col("rests") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("rests") - 1))
+    rows = rows.withColumn("other", F.explode(other))
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc", "component")
+
+
+def _with_texts(tiles: DataFrame, texts_: DataFrame) -> DataFrame:
+    return tiles.hint("merge").join(texts_, "doc").select("key", "i", "j", "side", "doc", "component", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _members(signed_: DataFrame) -> DataFrame:
+    """Rows (doc, text_id): the smallest id of the documents of equal text. A text's documents are split into shares, so that no task has all of a frequent one's."""
+    rows = signed_.select("doc", "same", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).alias("share"))
+    shares = rows.groupBy("same", "share").agg(F.min("doc").alias("low"))
+    least = shares.groupBy("same").agg(F.min("low").alias("text_id"))
+    return rows.join(shares.join(least, "same").select("same", "share", "text_id"), ["same", "share"]).select("doc", "text_id").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -243,7 +267,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     read = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     known = read.where("doc is not null and text is not null").withColumn("same", F.md5("text"))
     signed_ = scratch.keep(known.select("doc", "text", "same").mapInArrow(_sign(size, bands, rows), "doc long, same string, bands array<long>"), "signatures")
-    member = scratch.keep(signed_.groupBy("same").agg(F.min("doc").alias("text_id")).join(signed_.select("doc", "same"), "same").select("doc", "text_id").distinct(), "members")
+    member = scratch.keep(_members(signed_), "members")
     repeats = not signed_.groupBy("doc").count().where("count > 1").isEmpty()
     keys = signed_.join(member.where("doc = text_id").select("doc"), "doc", "left_semi").select("doc", F.explode("bands").alias("key")).distinct()
     buckets = scratch.keep(_shared(keys), "buckets")
@@ -257,7 +281,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     whole = first.hint("merge").join(texts_.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
     star = scratch.keep(whole.mapInArrow(_overlap(size, similarity), "a long, b long, similarity double").select("a", "b").distinct(), "star-links")
     labels = components(star, scratch, "star")
-    joins = scratch.keep(_tiles(buckets, labels, texts_, TILE).mapInArrow(_joins(size, similarity), "a long, b long").distinct(), "tile-links")
+    joins = scratch.keep(_with_texts(_tiles(buckets, labels, TILE), texts_).mapInArrow(_joins(size, similarity), "a long, b long").distinct(), "tile-links")
     labels = components(star.unionByName(joins), scratch)
     scratch.drop("signatures", "texts", "buckets")
     member = member.join(labels.withColumnsRenamed({"node": "text_id"}), "text_id", "left")

@@ -1,17 +1,19 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
 Exact patterns give the base spans. Broader generators propose further,
-overlapping candidates. Boosted trees, fitted on the candidates of a bounded
-sample of documents, score each by its format and the words before it. Base
-spans are the good ones, candidates that break a kind's check the bad ones; those
-that are written in another way have no label, and the trees decide. A kind's
-threshold is the least score above which, on the sample's other half, nearly all
-labelled candidates are good. The trees become one
-SQL expression, so that one pass over the texts finds, scores and redacts.
-
-Defined results: null text is empty; repeated rows count each; a sample without
-both kinds of labels fits no model and adds nothing; columns named ``base`` and
-``spans`` are replaced; an empty table gives none.
+overlapping candidates, and boosted trees score each by its format and the words
+before it. The trees learn from spans whose nature is known by how they were made:
+generated spans and look-alikes in contexts that point to them or away from them,
+the base spans of a bounded sample of documents, respelled in their own
+contexts, and the sample's numbers that break a kind's check. On the other half
+of these, a kind's threshold is the least score above which nearly all candidates
+are good; where a kind has few, the share of all kinds counts in. The trees become
+one SQL expression, so that one pass over the texts finds, scores and redacts.
+
+Defined results: null text is empty; repeated rows count each; a table without
+personal data still has a model, from the generated examples; of accepted
+candidates that overlap the one of highest score stays; columns named ``base``
+and ``spans`` are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pii_examples import COUNTER, HINTS, examples, respelled
+from .scratch import Scratch
 from .spans import SPAN, digits, digest, find, luhn
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,13 +41,20 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+|00|\()?[0-9][0-9 ().\/-]{7,18}[0-9](?![0-9])",
 }
-#: Words that often stand before each kind.
-HINTS = {"email": "mail|contact|write|adress|correo", "ip": "ip|host|server|address", "card": "card|visa|credit|karte|carte|tarjeta", "phone": "tel|phone|call|fax|mobil"}
 #: Most documents, on average, that the model sees; they are chosen by a hash of their ids.
 SAMPLE = 20_000
-#: Share of base spans among the sample's candidates above a threshold.
+#: Generated examples of each kind.
+EXAMPLES = 3_000
+#: Share of good ones among the candidates above a threshold.
 PRECISION = 0.98
+#: Candidates of all kinds that count with a kind's own when its threshold is set.
+PRIOR = 30.0
 BEFORE = 24
+#: Names of the features, in order; the last two are the context.
+FEATURES = (
+    "kind", "length", "digits", "others", "joined_before", "joined_after", "luhn", "spaces", "at_sign", "prefix", "groups", "date", "book", "end", "sentence", "octets", "largest", "first_group", "dots", "number_first", "longest", "slashes",
+    "hint", "counter",
+)
 
 
 def _valid_ip(s: Column) -> Column:
@@ -63,44 +74,53 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _words(values) -> str:
+    return r"(?<![a-z])(?:" + "|".join(re.escape(v) for v in sorted(values, key=len, reverse=True)) + r")(?![a-z])"
+
+
 def _features(text: Column, kind: int, s: Column) -> Column:
     word = lambda c: F.coalesce(c.rlike("^[A-Za-z0-9]$"), F.lit(False))
-    number = digits(s["text"])
+    span = s["text"]
+    number = digits(span)
+    groups = F.filter(F.split(span, "[^0-9]+"), lambda g: g != "")
+    sizes = F.transform(groups, F.length)
     before = F.lower(F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE))))
-    values = [
-        F.lit(kind), F.length(s["text"]), F.length(number), F.length(F.regexp_replace(s["text"], "[A-Za-z0-9]", "")),
-        word(F.substring(text, s["start"], F.lit(1))) & (s["start"] > 0), word(F.substring(text, s["end"] + 1, F.lit(1))),
-        luhn(number), F.regexp_count(s["text"], F.lit(r"\.")) == 3, F.substring(s["text"], 1, 1) == "+", before.rlike(HINTS[KINDS[kind]]),
-        F.regexp_count(s["text"], F.lit(" ")), s["text"].contains("@"), F.regexp_replace(s["text"], " ", "").rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$"),
-    ]
-    return F.array(*(v.cast("double") for v in values))
-
-
-def candidates(text: Column, base: dict[str, Column]) -> Column:
-    """All proposed spans: (kind, start, end, features, label), label 1 for base spans, 0 for spans that break a check, else null."""
+    end = F.regexp_extract(span, r"([A-Za-z0-9-]+)$", 1)
+    prefix = F.when(span.startswith("+"), 1).when(span.startswith("(0"), 2).when(span.startswith("("), 3).when(span.startswith("00"), 4).when(span.startswith("0"), 5).otherwise(0)
+    values = {
+        "kind": F.lit(kind), "length": F.length(span), "digits": F.length(number), "others": F.length(F.regexp_replace(span, "[A-Za-z0-9]", "")),
+        "joined_before": word(F.substring(text, s["start"], F.lit(1))) & (s["start"] > 0), "joined_after": word(F.substring(text, s["end"] + 1, F.lit(1))),
+        "luhn": luhn(number), "spaces": F.regexp_count(span, F.lit(" ")), "at_sign": F.when(span.rlike(r"[(\[]at[)\]]"), 2).when(span.rlike(" @|@ "), 1).otherwise(0), "prefix": prefix, "groups": F.size(groups),
+        "date": span.rlike(r"(?<![0-9])(?:(?:19|20)\d\d[-/.](?:0?[1-9]|1[0-2])[-/.][0-3]?\d|[0-3]?\d[-/.][01]?\d[-/.](?:19|20)\d\d|(?:19|20)\d\d-(?:19|20)\d\d)"), "book": number.rlike("^97[89]") & (F.length(number) == 13),
+        "end": F.when(end.rlike("^[a-z]{2,6}$"), 2).when(end.rlike("^[A-Z][a-z]+$"), 1).otherwise(0), "sentence": span.rlike(r"[a-z0-9] ?\. +\S+$") & ~span.rlike(r" \. "),
+        "octets": F.size(groups) == 4, "largest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.substring(g, 1, 6).cast("int"))), F.lit(0)),
+        "first_group": F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)), "dots": F.regexp_count(span, F.lit(r"\.")), "number_first": span.rlike("^[0-9]+[^A-Za-z0-9]"),
+        "longest": F.coalesce(F.array_max(sizes), F.lit(0)), "slashes": F.regexp_count(span, F.lit("/")),
+        "hint": before.rlike(_words(HINTS[KINDS[kind]])), "counter": before.rlike(_words(COUNTER)),
+    }
+    return F.array(*(values[name].cast("double") for name in FEATURES))
+
+
+def candidates(text: Column, base: dict[str, Column] | None = None) -> Column:
+    """All proposed spans that aren't base spans: (kind, start, end, features)."""
     digit = text.rlike("[0-9]")
     test = {"email": text.rlike(r"@|\(at\)|\[at\]"), "ip": digit, "card": digit, "phone": digit}
 
-    def proposed(spans: Column, label) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), label(s).cast("double").alias("label")))
-
-    n = lambda s: F.length(digits(s["text"]))
-    broken = {
-        "email": lambda s: F.lit(False),
-        "ip": lambda s: ~_valid_ip(F.regexp_replace(s["text"], " ", "")),
-        "card": lambda s: ~n(s).between(14, 19) | ~luhn(digits(s["text"])),
-        "phone": lambda s: ~n(s).between(10, 15),
-    }
-
     def of(k: int, kind: str) -> Column:
-        known = lambda s: F.exists(base[kind], lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"]))
+        known = lambda s: F.exists(base[kind], lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"])) if base else F.lit(False)
         wide = F.filter(find(text, WIDE[kind], test[kind]), lambda s: ~known(s))
-        both = F.concat(proposed(base[kind], lambda s: F.lit(1)), proposed(wide, lambda s: F.when(broken[kind](s), 0)))
-        return F.transform(both, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _features(text, k, s).alias("features"), s["label"].alias("label")))
+        return F.transform(wide, lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _features(text, k, s).alias("features")))
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
 
 
+def _broken(c: Column, text: Column) -> Column:
+    """Whether a candidate breaks the check of its kind, whatever stands around it."""
+    span = F.substring(text, c["start"] + 1, c["end"] - c["start"])
+    n = F.length(digits(span))
+    return F.when(c["kind"] == 1, ~_valid_ip(F.regexp_replace(span, " ", ""))).when(c["kind"] == 2, ~luhn(digits(span))).when(c["kind"] == 3, (n < 7) | (n > 15)).otherwise(F.lit(False))
+
+
 class Trees:
     """Boosted trees as rules over a feature array, with a threshold for each kind."""
 
@@ -119,11 +139,19 @@ class Trees:
             total = total + value(tree) * weight
         return total
 
-    def accepts(self, c: Column) -> Column:
+    def margin(self, c: Column) -> Column:
+        """How far a candidate's score lies above its kind's threshold; null without one."""
         limit = F.lit(None).cast("double")
         for kind, t in self.thresholds.items():
             limit = F.when(c["kind"] == kind, F.lit(t)).otherwise(limit)
-        return F.coalesce(self.score(c["features"]) >= limit, F.lit(False))
+        return self.score(c["features"]) - limit
+
+    def used(self) -> set[str]:
+        """Names of the features that the trees split on."""
+        def of(node) -> set[int]:
+            return {node[0]} | of(node[2]) | of(node[3]) if isinstance(node, tuple) else set()
+
+        return {FEATURES[i] for _, tree in self.trees for i in of(tree)}
 
 
 def _parse(text: str) -> list[tuple[float, list]]:
@@ -145,31 +173,55 @@ def _parse(text: str) -> list[tuple[float, list]]:
     return trees
 
 
-def fit(docs: DataFrame, doc: str, text: str, sample: int = SAMPLE, precision: float = PRECISION) -> Trees | None:
-    """Fit on the candidates of about ``sample`` documents; half of them set the thresholds."""
+def labelled(docs: DataFrame, doc: str, text: str, sample: int = SAMPLE, made: int = EXAMPLES) -> DataFrame:
+    """Rows (held, kind, features, label, weight): candidates of known nature, half of them held out."""
+    spark = docs.sparkSession
+    shown = examples(spark, made).withColumn("c", F.explode(candidates(F.col("text"))))
+    mine = (F.col("c.kind") == F.col("kind")) & F.col("good")
+    exact = (F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end"))
+    shown = shown.where(~mine | exact).select("id", "c", mine.cast("double").alias("label"), F.lit(True).alias("made"))
+    n = docs.count()
+    draw = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc)), F.lit(1 << 20)).cast("double") / (1 << 20)
+    chosen = docs.where(draw < min(1.0, sample / max(n, 1))).select(F.xxhash64(F.col(doc)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    chosen = chosen.withColumns({f"b_{k}": c for k, c in base_spans(F.col("text")).items()})
+    # Base spans in other spellings, where they stand.
+    def numbered(k: int, kind: str) -> Column:
+        return F.transform(f"b_{kind}", lambda s: F.struct(F.lit(k).alias("k"), s["start"].alias("at"), s["end"].alias("to"), s["text"].alias("span")))
+
+    spans = F.concat(*(numbered(k, kind) for k, kind in enumerate(KINDS)))
+    own = chosen.select("id", "text", F.explode(spans).alias("s")).select(F.xxhash64("id", "s.at").alias("id"), "s.k", F.substring("text", F.greatest(F.col("s.at") - 39, F.lit(1)), F.least(F.col("s.at"), F.lit(40))).alias("before"), F.col("s.span").alias("span"), F.substring("text", F.col("s.to") + 1, F.lit(20)).alias("after"))
+    other = F.lit(None).cast("string")
+    for k, kind in enumerate(KINDS):
+        other = F.when(F.col("k") == k, respelled(kind, F.col("span"))).otherwise(other)
+    own = own.withColumn("span", other).select("id", "k", F.length("before").alias("start"), F.length(F.concat("before", "span")).alias("end"), F.concat("before", "span", "after").alias("text"))
+    own = own.withColumn("c", F.explode(candidates(F.col("text")))).where("c.kind = k and c.start = start and c.end = end").select("id", "c", F.lit(1.0).alias("label"))
+    broken = chosen.select("id", "text", F.explode(candidates(F.col("text"), {k: F.col(f"b_{k}") for k in KINDS})).alias("c")).where(_broken(F.col("c"), F.col("text")))
+    found = own.unionByName(broken.select(F.xxhash64("id", "c.start").alias("id"), "c", F.lit(0.0).alias("label"))).withColumn("made", F.lit(False))
+    rows = shown.unionByName(found).select((F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("held"), "made", F.col("c.kind").alias("kind"), F.col("c.features").alias("features"), "label")
+    rows = Scratch(spark, "pii").keep(rows, "labelled")
+    # What the sample shows weighs a quarter of the generated examples at most, however large it is.
+    total = {r["made"]: r["count"] for r in rows.groupBy("made").count().collect()}
+    weight = min(1.0, total.get(True, 0) / (4.0 * max(total.get(False, 0), 1)))
+    return rows.withColumn("weight", F.when(F.col("made"), 1.0).otherwise(weight))
+
+
+def fit(docs: DataFrame, doc: str, text: str, sample: int = SAMPLE, precision: float = PRECISION) -> Trees:
+    """Fit on one half of the labelled candidates; the other half sets the thresholds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("pii"), F.col(doc)), F.lit(1 << 20)).cast("double") / (1 << 20)
-    chosen = docs.where(draw < min(1.0, sample / max(n, 1))).select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), draw.alias("draw"))
-    rows = chosen.withColumns({f"b_{k}": c for k, c in base_spans(F.col("text")).items()})
-    rows = rows.select((F.xxhash64("draw") % 2 == 0).alias("held"), F.explode(candidates(F.col("text"), {k: F.col(f"b_{k}") for k in KINDS})).alias("c"))
-    rows = rows.select("held", F.col("c.kind").alias("kind"), F.col("c.features").alias("array"), F.col("c.label").alias("label")).withColumn("features", array_to_vector("array")).where("label is not null").cache()
-    try:
-        if len(rows.where("not held").groupBy("label").count().where("count >= 10").collect()) < 2:
-            return None
-        model = GBTClassifier(maxIter=6, maxDepth=4, stepSize=0.3, seed=1, maxBins=32).fit(rows.where("not held").select("features", "label"))
-        trees = Trees(_parse(model.toDebugString), {})
-        scores = rows.where("held").groupBy("kind", F.floor(trees.score(F.col("array")) * 50).alias("score")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
-    finally:
-        rows.unpersist()
+    rows = labelled(docs, doc, text, sample)
+    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=1, maxBins=64, weightCol="weight").fit(rows.where("not held").select(array_to_vector("features").alias("features"), "label", "weight"))
+    trees = Trees(_parse(model.toDebugString), {})
+    scores = rows.where("held").groupBy("kind", F.floor(F.transform(F.array("features"), trees.score)[0] * 50).alias("score")).agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n")).collect()
     for kind in range(len(KINDS)):
-        good = total = 0
-        for r in sorted((r for r in scores if r["kind"] == kind), key=lambda r: -r["score"]):
-            good, total = good + r["good"], total + r["n"]
-            if good >= precision * total and good >= 10:
-                trees.thresholds[kind] = r["score"] / 50
+        for score in sorted({r["score"] for r in scores}, reverse=True):
+            above = [r for r in scores if r["score"] >= score]
+            share = sum(r["good"] for r in above) / sum(r["n"] for r in above)
+            mine = [r for r in above if r["kind"] == kind]
+            good, n = sum(r["good"] for r in mine), sum(r["n"] for r in mine)
+            if good + PRIOR * share >= precision * (n + PRIOR) and score > 0:
+                trees.thresholds[kind] = score / 50
     return trees
 
 
@@ -179,18 +231,19 @@ def find_pii(docs: DataFrame, doc: str = "doc_id", text: str = "text", sample: i
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = {k: F.col(f"_b_{k}") for k in KINDS}
     rows = docs.withColumns({f"_b_{k}": c for k, c in base_spans(t).items()})
-    found = dict(base)
-    if model is not None and model.thresholds:
-        rows = rows.withColumn("_new", F.filter(candidates(t, base), lambda c: c["label"].isNull() & model.accepts(c)))
-        apart = lambda c: ~F.exists(F.concat(*base.values()), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        cut = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.substring(t, c["start"] + 1, c["end"] - c["start"]).alias("text"))
+    apart = lambda c: ~F.exists(F.concat(*base.values()), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    scored = F.transform(F.filter(candidates(t, base), apart), lambda c: F.struct(model.margin(c).alias("margin"), (-c["start"]).alias("first"), (-c["kind"]).alias("k"), c["end"].alias("end")))
+    rows = rows.withColumn("_all", F.filter(scored, lambda c: c["margin"] >= 0))
+    beaten = lambda c: F.exists("_all", lambda d: (-d["first"] < c["end"]) & (-c["first"] < d["end"]) & (d > c))
+    rows = rows.withColumn("_new", F.filter("_all", lambda c: ~beaten(c)))
+    cut = lambda c: F.struct((-c["first"]).alias("start"), c["end"].alias("end"), F.substring(t, 1 - c["first"], c["end"] + c["first"]).alias("text"))
 
-        def with_new(k: int, kind: str) -> Column:
-            return F.concat(base[kind], F.transform(F.filter(F.col("_new"), lambda c: (c["kind"] == k) & apart(c)), cut).cast(SPAN))
+    def with_new(k: int, kind: str) -> Column:
+        return F.concat(base[kind], F.transform(F.filter("_new", lambda c: c["k"] == -k), cut).cast(SPAN))
 
-        found = {kind: with_new(k, kind) for k, kind in enumerate(KINDS)}
+    found = {kind: with_new(k, kind) for k, kind in enumerate(KINDS)}
     rows = rows.withColumn("base", F.struct(*(base[k].alias(k) for k in KINDS))).withColumn("spans", F.struct(*(found[k].alias(k) for k in KINDS)))
-    return rows.drop("_new", *(f"_b_{k}" for k in KINDS))
+    return rows.drop("_all", "_new", *(f"_b_{k}" for k in KINDS))
 
 
 def digests(found: DataFrame) -> dict[str, Column]:
