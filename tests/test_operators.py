@@ -66,6 +66,11 @@ def test_binarize_cuts_where_scores_are_least(spark):
     assert plain == [(100, 800)] == [(r.start_ms, r.end_ms) for r in folds.regions(df).collect()]
     cut = [(r.start_ms, r.end_ms) for r in folds.binarize(df, max_ms=450).orderBy("region").collect()]
     assert cut == [(100, 400), (400, 800)]
+    padded = [(r.start_ms, r.end_ms) for r in folds.binarize(df, max_ms=450, pad_onset_ms=50, pad_offset_ms=30).orderBy("region").collect()]
+    assert padded == [(50, 830)]
+    two = spark.createDataFrame([("r", k, k * 100, s) for k, s in enumerate([0.9, 0.1, 0.1, 0.9, 0.1])], "recording_id string, frame long, t_ms long, score double")
+    spans = lambda **o: [(r.start_ms, r.end_ms) for r in folds.binarize(two, **o).orderBy("region").collect()]
+    assert spans() == [(0, 100), (300, 400)] and spans(min_off_ms=201) == [(0, 400)] and spans(min_off_ms=200) == [(0, 100), (300, 400)] and spans(min_on_ms=101) == []
 
 
 @pytest.mark.parametrize("method,want", [("nearest", [1, 1, 3, 3, 5]), ("linear", [1, 2, 3, 4, 5]), ("ignore", [1, None, 3, None, 5])])
@@ -153,7 +158,7 @@ def test_layout_breaks_lines_and_cues(spark):
 def test_split_points_and_cues(spark):
     s = subtitles.Splitter("en", frozenset({"and"}))
     words = "one two three four five six, and then seven eight nine ten eleven twelve thirteen fourteen".split()
-    cuts = s.points(words, False)
+    cuts = spark.createDataFrame([(words,)], "w array<string>").select(s.points(F.col("w"), F.lit(False)).alias("c")).first().c
     assert cuts and all(0 <= c < len(words) for c in cuts)
     df = spark.createDataFrame([("r", 0, 0.0, 16.0, " ".join(words), None), ("r", 1, 16.5, 18.0, "a b", [("a", 16.5, 17.0), ("b", None, None)])], "recording_id string, seg_idx long, start double, end double, text string, words array<struct<word:string,start:double,end:double>>")
     cues = subtitles.split_cues(df, s).orderBy("seg_idx", "part").collect()

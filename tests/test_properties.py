@@ -2,6 +2,7 @@
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from turnweave.operators import turns
 from turnweave.operators.interpolate import time_words
@@ -31,23 +32,31 @@ def test_turns_and_pieces_cover_all_segments_once(spark, rows):
             assert r.end_ms - r.start_ms >= 200
 
 
-@given(st.lists(st.one_of(st.none(), st.floats(0.01, 2.0)), min_size=1, max_size=12))
-def test_timed_words_are_in_order(lengths):
-    at, words = 0.0, []
-    for n in lengths:
-        words.append({"word": "w"} if n is None else {"word": "w", "start": at, "end": at + n})
-        at += n or 0.05
-    out = time_words(words, 0.0, at)
-    timed = [w for w in out if "start" in w]
-    assert all(a["end"] <= b["start"] + 1e-6 for a, b in zip(timed, timed[1:])) or any(n is None for n in lengths)
-    assert all(w["end"] >= w["start"] - 1e-6 for w in timed)
-    assert [w["word"] for w in out] == ["w"] * len(lengths)
-
-
-@given(st.lists(st.text("abc,", min_size=1, max_size=12), min_size=1, max_size=60))
-def test_split_points_rise_and_leave_no_word_out(words):
-    cuts = Splitter("en", frozenset({"a"})).points(words, False)
-    assert all(0 <= c < len(words) for c in cuts)
-    parts = [words[a + 1 : b + 1] for a, b in zip([-1, *cuts], [*cuts, len(words) - 1])]
-    if cuts == sorted(set(cuts)):
-        assert [w for p in parts for w in p] == words
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(many=st.lists(st.lists(st.one_of(st.none(), st.floats(0.01, 2.0)), min_size=1, max_size=12), min_size=5, max_size=30))
+def test_timed_words_are_in_order(spark, many):
+    rows = []
+    for k, lengths in enumerate(many):
+        at, words = 0.0, []
+        for n in lengths:
+            words.append(("w", None, None) if n is None else ("w", at, at + n))
+            at += n or 0.05
+        rows.append((k, words, at))
+    df = spark.createDataFrame(rows, "k long, w array<struct<word:string,start:double,end:double>>, high double")
+    for r in df.select("k", time_words(F.col("w"), F.lit(0.0), F.col("high")).alias("x")).collect():
+        timed = [w for w in r.x if w.start is not None]
+        assert all(a.end <= b.start + 1e-6 for a, b in zip(timed, timed[1:])) or None in many[r.k]
+        assert all(w.end >= w.start - 1e-6 for w in timed)
+        assert [w.word for w in r.x] == ["w"] * len(many[r.k])
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(many=st.lists(st.lists(st.text("abc,", min_size=1, max_size=12), min_size=1, max_size=60), min_size=5, max_size=30))
+def test_split_points_rise_and_leave_no_word_out(spark, many):
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(many)], "k long, w array<string>")
+    for r in df.select("k", Splitter("en", frozenset({"a"})).points(F.col("w"), F.lit(False)).alias("cuts")).collect():
+        words = many[r.k]
+        assert all(0 <= c < len(words) for c in r.cuts)
+        parts = [words[a + 1 : b + 1] for a, b in zip([-1, *r.cuts], [*r.cuts, len(words) - 1])]
+        if r.cuts == sorted(set(r.cuts)):
+            assert [w for p in parts for w in p] == words

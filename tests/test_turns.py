@@ -111,24 +111,35 @@ def test_new_words_share_a_gap():
     assert [(x["start"], x["end"]) for x in out] == [(0.0, 1.0), (1.0, 1.5), (1.5, 2.0), (2.0, 3.0)]
 
 
-def test_new_words_borrow_from_both_sides():
-    out = time_words([w("a", 0.0, 1.0), w("x"), w("b", 1.0, 2.0)], 0.0, 2.0)
-    assert [round(x["end"] - x["start"], 6) for x in out] == [0.95, 0.1, 0.95]
-    out = time_words([w("a", 0.0, 0.1), w("x"), w("b", 0.1, 2.0)], 0.0, 2.0)
-    assert [round(x["end"] - x["start"], 6) for x in out] == [0.1, 0.1, 1.8]
+def timed(spark, words, low, high):
+    kind = "w array<struct<word:string,start:double,end:double>>, low double, high double"
+    df = spark.createDataFrame([([(x["word"], x.get("start"), x.get("end")) for x in words], low, high)], kind)
+    return df.select(time_words(F.col("w"), F.col("low"), F.col("high")).alias("x")).first().x
 
 
-def test_words_without_anchors_stay_untimed():
-    assert "start" not in time_words([w("x"), w("b", 2.0, 3.0)], None, None)[0]
-    assert "start" not in time_words([w("a", 0.0, 3.0), w("x"), w("b", 2.0, 4.0)], 0.0, 4.0)[1]
+def lengths(words):
+    return [round(x.end - x.start, 6) for x in words]
 
 
-def test_realigning_keeps_the_times_of_words_that_stay():
-    old = [w("one", 0.0, 1.0), w("two", 1.0, 2.0), w("three", 2.0, 3.0)]
-    assert edits.realigned(old, "one 2 three", 0.0, 3.0) == [w("one", 0.0, 1.0), w("2", 1.0, 2.0), w("three", 2.0, 3.0)]
-    assert edits.realigned(old, "all new here", 0.0, 3.0) == []
-    assert edits.realigned(old, "one three", 0.0, 3.0) == [w("one", 0.0, 1.0), w("three", 2.0, 3.0)]
-    assert edits.realigned(old, "one two three four", 0.0, 4.0)[-1] == w("four", 3.0, 4.0)
+def test_new_words_borrow_from_both_sides(spark):
+    assert lengths(timed(spark, [w("a", 0.0, 1.0), w("x"), w("b", 1.0, 2.0)], 0.0, 2.0)) == [0.95, 0.1, 0.95]
+    assert lengths(timed(spark, [w("a", 0.0, 0.1), w("x"), w("b", 0.1, 2.0)], 0.0, 2.0)) == [0.1, 0.1, 1.8]
+    # The word between lends to the left first and has less for the right.
+    assert lengths(timed(spark, [w("x"), w("a", 0.0, 0.22), w("y"), w("b", 0.22, 0.32)], 0.0, 1.0)) == [0.1, 0.1, 0.02, 0.1]
+
+
+def test_words_without_anchors_stay_untimed(spark):
+    assert timed(spark, [w("x"), w("b", 2.0, 3.0)], None, None)[0].start is None
+    assert timed(spark, [w("a", 0.0, 3.0), w("x"), w("b", 2.0, 4.0)], 0.0, 4.0)[1].start is None
+    assert timed(spark, [], 0.0, 1.0) == []
+
+
+def test_realigning_keeps_the_times_of_words_that_stay(spark):
+    old = [("one", 0.0, 1.0), ("two", 1.0, 2.0), ("three", 2.0, 3.0)]
+    kind = "recording_id string, turn long, words array<struct<word:string,start:double,end:double>>, text string, start double, end double"
+    texts = ["one 2 three", "all new here", "one three", "one two three four", "", None]
+    got = {r.turn: [tuple(x) for x in r.words] for r in edits.realign(spark.createDataFrame([("r", k, old, t, 0.0, 4.0) for k, t in enumerate(texts)], kind)).collect()}
+    assert got == {0: [("one", 0.0, 1.0), ("2", 1.0, 2.0), ("three", 2.0, 3.0)], 1: [], 2: [("one", 0.0, 1.0), ("three", 2.0, 3.0)], 3: [*old, ("four", 3.0, 4.0)], 4: [], 5: []}
 
 
 def test_realigning_in_a_frame(spark):

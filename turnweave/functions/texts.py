@@ -58,32 +58,36 @@ def text_option(text: Column) -> Column:
 
 
 #: Language codes and names.
-LANGUAGES = """
-en english, zh chinese, de german, es spanish, ru russian, ko korean, fr french, ja japanese, pt portuguese, tr turkish,
-pl polish, ca catalan, nl dutch, ar arabic, sv swedish, it italian, id indonesian, hi hindi, fi finnish, vi vietnamese,
-he hebrew, uk ukrainian, el greek, ms malay, cs czech, ro romanian, da danish, hu hungarian, ta tamil, no norwegian,
-th thai, ur urdu, hr croatian, bg bulgarian, lt lithuanian, la latin, mi maori, ml malayalam, cy welsh, sk slovak,
-te telugu, fa persian, lv latvian, bn bengali, sr serbian, az azerbaijani, sl slovenian, kn kannada, et estonian,
-mk macedonian, br breton, eu basque, is icelandic, hy armenian, ne nepali, mn mongolian, bs bosnian, kk kazakh,
-sq albanian, sw swahili, gl galician, mr marathi, pa punjabi, si sinhala, km khmer, sn shona, yo yoruba, so somali,
-af afrikaans, oc occitan, ka georgian, be belarusian, tg tajik, sd sindhi, gu gujarati, am amharic, yi yiddish, lo lao,
-uz uzbek, fo faroese, ht haitian creole, ps pashto, tk turkmen, nn nynorsk, mt maltese, sa sanskrit, lb luxembourgish,
-my myanmar, bo tibetan, tl tagalog, mg malagasy, as assamese, tt tatar, haw hawaiian, ln lingala, ha hausa, ba bashkir,
-jw javanese, su sundanese, yue cantonese
-"""
+LANGUAGES = {
+    "en": "english", "zh": "chinese", "de": "german", "es": "spanish", "ru": "russian", "ko": "korean", "fr": "french", "ja": "japanese", "pt": "portuguese",
+    "tr": "turkish", "pl": "polish", "ca": "catalan", "nl": "dutch", "ar": "arabic", "sv": "swedish", "it": "italian", "id": "indonesian", "hi": "hindi", "fi": "finnish",
+    "vi": "vietnamese", "he": "hebrew", "uk": "ukrainian", "el": "greek", "ms": "malay", "cs": "czech", "ro": "romanian", "da": "danish", "hu": "hungarian", "ta": "tamil",
+    "no": "norwegian", "th": "thai", "ur": "urdu", "hr": "croatian", "bg": "bulgarian", "lt": "lithuanian", "la": "latin", "mi": "maori", "ml": "malayalam", "cy": "welsh",
+    "sk": "slovak", "te": "telugu", "fa": "persian", "lv": "latvian", "bn": "bengali", "sr": "serbian", "az": "azerbaijani", "sl": "slovenian", "kn": "kannada",
+    "et": "estonian", "mk": "macedonian", "br": "breton", "eu": "basque", "is": "icelandic", "hy": "armenian", "ne": "nepali", "mn": "mongolian", "bs": "bosnian",
+    "kk": "kazakh", "sq": "albanian", "sw": "swahili", "gl": "galician", "mr": "marathi", "pa": "punjabi", "si": "sinhala", "km": "khmer", "sn": "shona", "yo": "yoruba",
+    "so": "somali", "af": "afrikaans", "oc": "occitan", "ka": "georgian", "be": "belarusian", "tg": "tajik", "sd": "sindhi", "gu": "gujarati", "am": "amharic",
+    "yi": "yiddish", "lo": "lao", "uz": "uzbek", "fo": "faroese", "ht": "haitian creole", "ps": "pashto", "tk": "turkmen", "nn": "nynorsk", "mt": "maltese",
+    "sa": "sanskrit", "lb": "luxembourgish", "my": "myanmar", "bo": "tibetan", "tl": "tagalog", "mg": "malagasy", "as": "assamese", "tt": "tatar", "haw": "hawaiian",
+    "ln": "lingala", "ha": "hausa", "ba": "bashkir", "jw": "javanese", "su": "sundanese", "yue": "cantonese",
+}
 #: Further names.
-ALIASES = """
-my burmese, ca valencian, nl flemish, ht haitian, lb letzeburgesch, ps pushto, pa panjabi, ro moldavian, ro moldovan,
-si sinhalese, es castilian
-"""
+ALIASES = {
+    "burmese": "my", "valencian": "ca", "flemish": "nl", "haitian": "ht", "letzeburgesch": "lb", "pushto": "ps", "panjabi": "pa", "moldavian": "ro", "moldovan": "ro",
+    "sinhalese": "si", "castilian": "es",
+}
 #: Languages that are written without blanks between words.
 UNSPACED = ("ja", "zh")
 
 
 def language_rows() -> list[tuple[str, str]]:
     """(spelling, code) for each code, name and alias."""
-    pairs = [tuple(x.split(None, 1)) for x in f"{LANGUAGES},{ALIASES}".replace("\n", " ").split(",") if x.strip()]
-    return [(code, code) for code in dict.fromkeys(c for c, _ in pairs)] + [(name.strip(), code) for code, name in pairs]
+    return [(code, code) for code in LANGUAGES] + [(name, code) for code, name in LANGUAGES.items()] + list(ALIASES.items())
+
+
+def suppressed(tokens: Column, configured: list[str]) -> Column:
+    """The tokens that have a numeral, and those configured, once each."""
+    return F.array_union(F.filter(tokens, has_numeral), F.array(*map(F.lit, configured)))
 
 
 def coerced(value: Column, allowed: list[str], default: str) -> Column:

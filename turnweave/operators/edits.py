@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .interpolate import time_words
 
@@ -15,34 +16,38 @@ from .interpolate import time_words
 HISTORY = 100
 
 
-def realigned(old: list[dict], text: str, start: float | None = None, end: float | None = None) -> list[dict]:
-    """Words of an edited text: those that stay keep their times, new ones are timed between them; none if no time stays."""
-    new = text.split()
-    match = difflib.SequenceMatcher(None, [(w.get("word") or "").strip() for w in old], new, autojunk=False)
-    out: list[dict] = [{"word": w} for w in new]
-    for block in match.get_matching_blocks():
-        for k in range(block.size):
-            was = old[block.a + k]
-            if was.get("start") is not None and was.get("end") is not None:
-                out[block.b + k] |= {"start": was["start"], "end": was["end"]}
-    return time_words(out, start, end) if any("start" in w for w in out) else []
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def kept_words(old: pd.Series, new: pd.Series) -> pd.Series:
+    """For each new word the place of the old word that it still is, else -1: the longest common runs of both."""
+    def places(was, now) -> list[int]:
+        out = [-1] * len(now)
+        for i, j, n in difflib.SequenceMatcher(None, list(was), list(now), autojunk=False).get_matching_blocks():
+            out[j : j + n] = range(i, i + n)
+        return out
+
+    return pd.Series([places(a, b) for a, b in zip(old, new)])
 
 
 def realign(turns: DataFrame) -> DataFrame:
-    """``realigned`` for rows (recording_id, turn, words, text, start, end): the same rows with the new words."""
-    kind = "array<struct<word:string,start:double,end:double>>"
-
-    def run(parts):
-        for pdf in parts:
-            none = lambda x: None if x is None or pd.isna(x) else float(x)
-            words = []
-            for r in pdf.itertuples():
-                old = [{k: v for k, v in (("word", w["word"]), ("start", none(w["start"])), ("end", none(w["end"]))) if v is not None} for w in (r.words if r.words is not None else [])]
-                words.append([{"word": w["word"], "start": w.get("start"), "end": w.get("end")} for w in realigned(old, r.text or "", none(r.start), none(r.end))])
-            yield pdf.assign(words=words)
-
-    schema = ", ".join(f"{c} {kind if c == 'words' else t}" for c, t in turns.dtypes)
-    return turns.mapInPandas(run, schema)
+    """Rows (recording_id, turn, words, text, start, end) with the words of the edited text.
+
+    Words that stay keep their times, new ones are timed between them; a turn of
+    which no time stays has no words.
+    """
+    timed = lambda w: w["start"].isNotNull() & w["end"].isNotNull()
+    old = F.coalesce("words", F.array().cast("array<struct<word:string,start:double,end:double>>"))
+    new = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    rows = turns.withColumns({"_old": F.transform(old, lambda w: F.trim(F.coalesce(w["word"], F.lit("")))), "_new": new, "_was": old})
+    rows = rows.withColumn("_kept", kept_words("_old", "_new"))
+
+    def word(w: Column, i: Column) -> Column:
+        was = F.get("_was", F.nullif(F.get("_kept", i), F.lit(-1)))
+        return F.struct(w.alias("word"), F.when(timed(was), was["start"]).cast("double").alias("start"), F.when(timed(was), was["end"]).cast("double").alias("end"))
+
+    rows = rows.withColumn("_words", F.transform("_new", word))
+    known = F.exists("_words", lambda w: w["start"].isNotNull())
+    words = F.when(known, time_words(F.col("_words"), F.col("start").cast("double"), F.col("end").cast("double"))).otherwise(F.slice("_words", 1, 0))
+    return rows.withColumn("words", words).select(*turns.columns)
 
 
 def splice(segments: DataFrame, edits: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,40 +69,52 @@ def regions(scores: DataFrame, onset: float = 0.5, offset: float = 0.363) -> Dat
     return inside.groupBy("recording_id", "region").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms")).withColumn("region", F.col("region").cast("long") - 1)
 
 
-def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_ms: int | None = None, min_on_ms: int = 0) -> DataFrame:
-    """As ``regions``, and a region longer than ``max_ms`` is cut at the least score of its later half.
+def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_ms: int | None = None, min_on_ms: int = 0, min_off_ms: int = 0, pad_onset_ms: int = 0, pad_offset_ms: int = 0) -> DataFrame:
+    """As ``regions``, and a region longer than ``max_ms`` is cut where its score is least, in the later half of it.
 
     A frame that causes a cut can't also end the region, and a region's scores
     begin with that of the last frame before it, both as the reference has it.
+    Padded regions that then overlap are one, and those less than ``min_off_ms`` apart.
     """
+    frames = scores.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("frame", "t_ms", "score"))).alias("f"))
+    frames = frames.withColumn("f", F.transform("f", lambda x, i: F.struct(i.alias("i"), x["t_ms"].cast("long").alias("t"), x["score"].cast("double").alias("y"))))
+    head = F.col("f")[0]
+    # The scores searched for a cut: that of one earlier frame (-1: none), and of all from ``low`` on.
+    zero = F.struct((head["y"] > onset).alias("on"), head["t"].alias("start"), F.lit(0).alias("earlier"), F.lit(1).alias("low"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("found"))
+
+    def least(acc: Column, x: Column) -> Column:
+        extra = (acc["earlier"] >= 0).cast("int")
+        half = F.floor((x["i"] - acc["low"] + extra) / 2).cast("int")
+        first = acc["low"] + F.greatest(half - extra, F.lit(0))
+        later = F.transform(F.slice("f", first + 1, x["i"] - first), lambda y: F.struct(y["y"].alias("y"), y["i"].alias("i"), y["t"].alias("t")))
+        one = F.get("f", F.greatest(acc["earlier"], F.lit(0)))
+        both = F.when((extra == 1) & (half == 0), F.array_append(later, F.struct(one["y"].alias("y"), one["i"].alias("i"), one["t"].alias("t")))).otherwise(later)
+        return F.array_min(both)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        t, y = pdf["t_ms"].to_numpy(), pdf["score"].to_numpy()
-        found: list[tuple[int, int]] = []
-        start, on, held = t[0], y[0] > onset, [0]  # held: frames to search for a cut
-        for i in range(1, len(t)):
-            if not on:
-                if y[i] > onset:
-                    start, on = t[i], True
-                continue
-            if max_ms is not None and t[i] - start > max_ms:
-                half = len(held) // 2
-                k = half + int(np.argmin(y[held[half:]]))
-                found.append((start, t[held[k]]))
-                start, held = t[held[k]], held[k + 1 :]
-            elif y[i] < offset:
-                found.append((start, t[i]))
-                start, on, held = t[i], False, []
-            held.append(i)
-        if on:
-            found.append((start, t[-1]))
-        found = [(a, b) for a, b in found if b - a >= min_on_ms]
-        n = len(found)
-        return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]] * n, "region": range(n), "start_ms": [int(a) for a, _ in found], "end_ms": [int(b) for _, b in found]})
-
-    kind = scores.schema["recording_id"].dataType.simpleString()
-    return scores.groupBy("recording_id").applyInPandas(one, f"recording_id {kind}, region long, start_ms long, end_ms long")
+    def step(acc: Column, x: Column) -> Column:
+        long = F.lit(False) if max_ms is None else x["t"] - acc["start"] > max_ms
+        cut = least(acc, x)
+        state = lambda on, start, earlier, low, found: F.struct(on.alias("on"), start.alias("start"), earlier.alias("earlier"), low.alias("low"), found.alias("found"))
+        closed = lambda to: F.array_append(acc["found"], F.struct(acc["start"].alias("from"), to.alias("to")))
+        still = F.struct(F.lit(True).alias("on"), acc["start"].alias("start"), acc["earlier"].alias("earlier"), acc["low"].alias("low"), acc["found"].alias("found"))
+        waiting = state(x["y"] > onset, F.when(x["y"] > onset, x["t"]).otherwise(acc["start"]), acc["earlier"], F.when(x["y"] > onset, x["i"] + 1).otherwise(acc["low"]), acc["found"])
+        parted = state(F.lit(True), cut["t"], F.lit(-1), F.greatest(cut["i"] + 1, acc["low"]), closed(cut["t"]))
+        ended = state(F.lit(False), acc["start"], x["i"], x["i"] + 1, closed(x["t"]))
+        return F.when(~acc["on"], waiting).when(long, parted).when(x["y"] < offset, ended).otherwise(still)
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["on"], F.array_append(acc["found"], F.struct(acc["start"].alias("from"), F.element_at("f", -1)["t"].alias("to")))).otherwise(acc["found"])
+
+    spans = frames.select("recording_id", F.explode(F.aggregate(F.slice("f", 2, F.size("f")), zero, step, finish)).alias("s"))
+    spans = spans.select("recording_id", (F.col("s.from") - pad_onset_ms).alias("start_ms"), (F.col("s.to") + pad_offset_ms).alias("end_ms"))
+    order = W.partitionBy("recording_id").orderBy("start_ms", "end_ms")
+    if pad_onset_ms or pad_offset_ms or min_off_ms:
+        reached = F.max("end_ms").over(order.rowsBetween(W.unboundedPreceding, -1))
+        gap = F.col("start_ms") - reached
+        spans = spans.withColumn("_new", (reached.isNull() | ((gap > 0) & (gap >= min_off_ms))).cast("int")).withColumn("_k", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        spans = spans.groupBy("recording_id", "_k").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_k")
+    spans = spans.where(F.col("end_ms") - F.col("start_ms") >= min_on_ms)
+    return spans.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("region"), "start_ms", "end_ms")
 
 
 def drop_short(spans: DataFrame, least_ms: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,48 +72,59 @@ def spread(rows: DataFrame, group: list[str], place: str) -> DataFrame:
     return rows.drop("_run", "_left", "_right", "_n", "_k", "_l", "_w")
 
 
-def time_words(words: list[dict], start: float | None, end: float | None, least: float = MIN_WORD_MS / 1000) -> list[dict]:
-    """Times for one turn's untimed words; neighbours lend what a run lacks, down to ``least`` each.
+def once(value: Column, use) -> Column:
+    """``use(value)`` where value is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    Runs are timed from left to right, and a later run sees what an earlier one borrowed.
+
+def time_words(words: Column, low: Column, high: Column, least: float = MIN_WORD_MS / 1000) -> Column:
+    """A turn's words, (word, start, end) in seconds, with times for those that have none.
+
+    Timed words are anchors, with the turn's bounds ``low`` and ``high`` beyond the
+    outermost; a gap's words share the time between its anchors evenly. If that is
+    less than ``least`` for each, the anchors give: each half of what lacks, more if
+    the other can't, and never so much that it is itself shorter than ``least``. An
+    anchor that a gap has shortened from the left has that much less for the next
+    one. A gap without a bound, or whose bounds are out of order, stays untimed.
     """
-    words = [dict(w) for w in words]
-    timed = [i for i, w in enumerate(words) if w.get("start") is not None]
-    edges = [-1, *timed, len(words)]
-    for a, b in zip(edges, edges[1:]):
-        run = b - a - 1
-        if not run:
-            continue
-        before = words[a] if a >= 0 and words[a].get("end") is not None else None
-        after = words[b] if b < len(words) else None
-        low, high = before["end"] if before else start, after["start"] if after else end
-        if low is None or high is None or high < low:
-            continue
-        lack = run * least - (high - low)
-        if lack > 0:
-            spare = [max(0.0, w["end"] - w["start"] - least) if w and w.get("end") is not None else 0.0 for w in (before, after)]
-            give = [min(lack / 2, s) for s in spare]
-            for i in (0, 1):
-                give[i] += min(spare[i] - give[i], lack - sum(give))
-            if before:
-                before["end"] -= give[0]
-            if after:
-                after["start"] += give[1]
-            low, high = low - give[0], high + give[1]
-        width = (high - low) / run
-        for k in range(run):
-            words[a + 1 + k] |= {"start": low + k * width, "end": low + (k + 1) * width}
-    return words
+    kind = "array<struct<at:int,start:double,end:double>>"
+    at = lambda w, i: F.struct(i.alias("at"), w["start"].alias("start"), w["end"].alias("end"))
+    anchors = F.filter(F.transform(words, at), lambda a: a["start"].isNotNull()).cast(kind)
+    none = F.lit(None).cast("double")
+    lefts = F.concat(F.array(F.struct(F.lit(-1).alias("at"), none.alias("start"), none.alias("end"))).cast(kind), anchors)
+    rights = F.concat(anchors, F.array(F.struct(F.size(words).alias("at"), none.alias("start"), none.alias("end"))).cast(kind))
+    gaps = F.zip_with(lefts, rights, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    zero = F.struct(none.alias("start"), F.array().cast("array<struct<from:double,width:double,give:double,take:double>>").alias("out"))
+
+    def step(state: Column, g: Column) -> Column:
+        n = g["b"]["at"] - g["a"]["at"] - 1
+        begin, end = F.coalesce(g["a"]["end"], low), F.coalesce(g["b"]["start"], high)
+        spare = lambda a, b: F.greatest(F.coalesce(b - a - least, F.lit(0.0)), F.lit(0.0))
+        left, right = spare(state["start"], g["a"]["end"]), spare(g["b"]["start"], g["b"]["end"])
+        use = (n > 0) & (end >= begin)
+        lack = F.when(use, F.greatest(n * least - (end - begin), F.lit(0.0))).otherwise(0.0)
+        give = F.least(left, F.greatest(lack / 2, lack - right))
+        take = F.least(right, lack - give)
+        gap = F.struct(F.when(use, begin - give).alias("from"), F.when(use, (end - begin + give + take) / n).alias("width"), give.alias("give"), take.alias("take"))
+        return F.struct((g["b"]["start"] + take).alias("start"), F.array_append(state["out"], gap).alias("out"))
+
+    def rebuilt(x: Column) -> Column:
+        def part(g: Column, k: Column) -> Column:
+            a = F.get(x["lefts"], k)["at"]
+            run = F.slice(words, a + 2, F.get(x["rights"], k)["at"] - a - 1)
+            filled = F.transform(run, lambda w, j: F.struct(w["word"].alias("word"), (g["from"] + j * g["width"]).alias("start"), (g["from"] + (j + 1) * g["width"]).alias("end")))
+            b = F.get(words, F.get(x["rights"], k)["at"])
+            anchor = F.struct(b["word"].alias("word"), (b["start"] + g["take"]).alias("start"), (b["end"] - F.get(x["out"], k + 1)["give"]).alias("end"))
+            return F.concat(filled, F.when(k + 1 < F.size(x["out"]), F.array(anchor)).otherwise(F.slice(filled, 1, 0)))
+
+        return F.flatten(F.transform(x["out"], part))
+
+    out = F.aggregate(gaps, zero, step, lambda state: state["out"])
+    return once(F.struct(lefts.alias("lefts"), rights.alias("rights"), out.alias("out")), rebuilt)
 
 
 def time_turns(words: DataFrame) -> DataFrame:
     """``time_words`` for each turn: recording_id, turn, word_idx, word, start, end, turn_start, turn_end (seconds)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_idx")
-        none = lambda x: None if pd.isna(x) else float(x)
-        rows = [{k: v for k, v in (("word", r.word), ("start", none(r.start)), ("end", none(r.end))) if v is not None} for r in pdf.itertuples()]
-        out = time_words(rows, none(pdf["turn_start"].iloc[0]), none(pdf["turn_end"].iloc[0]))
-        return pdf.assign(start=[w.get("start") for w in out], end=[w.get("end") for w in out]).astype({"start": float, "end": float})
-
-    return words.groupBy("recording_id", "turn").applyInPandas(one, words.schema)
+    turns = words.groupBy("recording_id", "turn").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")))).alias("w"), F.first("turn_start").alias("turn_start"), F.first("turn_end").alias("turn_end"))
+    timed = turns.select("*", F.posexplode(time_words(F.col("w"), F.col("turn_start"), F.col("turn_end"))).alias("k", "t"))
+    return timed.select("recording_id", "turn", F.get("w", F.col("k"))["word_idx"].alias("word_idx"), "t.word", "t.start", "t.end", "turn_start", "turn_end").select(*words.columns)

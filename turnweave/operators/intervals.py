@@ -39,7 +39,7 @@ def binned_overlaps(probes: DataFrame, spans: DataFrame, bin_ms: int = BIN_MS) -
     return _overlap(pairs).drop("bin")
 
 
-def dominant_speaker(probes: DataFrame, spans: DataFrame, nearest: bool = False, binned: bool = False) -> DataFrame:
+def dominant_speaker(probes: DataFrame, spans: DataFrame, nearest: bool = False, binned: bool = True) -> DataFrame:
     """Each probe with the speaker it shares most time with; of equals the one whose span comes first.
 
     ``nearest``: a probe that overlaps nothing takes the span whose middle is nearest, of equals the first.

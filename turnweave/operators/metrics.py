@@ -9,25 +9,37 @@ from pyspark.sql import functions as F
 from ..functions.texts import normal_words
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two lists of words, in SQL: each different word becomes a character of its own.
-
-    Up to 20,000 different words in both; a longer pair needs ``word_distances``.
-    """
-    known = F.array_distinct(F.concat(a, b))
-    # From code point 0x4E00 on, single UTF-16 units only.
-    letter = lambda w: F.lit(0x4E00) + F.array_position(known, w).cast("int")
-    spelled = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(letter(w)), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(spelled(a), spelled(b))
+def edit_distance(a, b) -> int:
+    """Least number of changes between two sequences, by bits of one long number (Myers), for any number of different items."""
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = mask, 0, len(a)
+    for x in b:
+        match = places.get(x, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        more, less = (down | ~(diagonal | up)) & mask, up & diagonal
+        distance += ((more & last) > 0) - ((less & last) > 0)
+        more, less = (more << 1 | 1) & mask, less << 1 & mask
+        up, down = (less | ~(diagonal | more)) & mask, more & diagonal
+    return distance
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
-    """Rows with wer and cer, to four places. pairs: id, reference, hypothesis."""
+    """Rows with wer and cer, to four places; texts and vocabularies may be of any size. pairs: id, reference, hypothesis."""
+
+    @F.pandas_udf("long")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+
     rows = pairs.withColumns({"_r": normal_words(F.col("reference")), "_h": normal_words(F.col("hypothesis"))})
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    wer = word_distance(words("_r"), words("_h")) / F.greatest(F.size(words("_r")), F.lit(1))
+    wer = distance(words("_r"), words("_h")) / F.greatest(F.size(words("_r")), F.lit(1))
     r, h = F.replace("_r", F.lit(" "), F.lit("")), F.replace("_h", F.lit(" "), F.lit(""))
-    cer = F.levenshtein(r, h) / F.greatest(F.length(r), F.lit(1))
+    cer = distance(r, h) / F.greatest(F.length(r), F.lit(1))
     return rows.withColumns({"wer": F.round(wer, 4), "cer": F.round(cer, 4)}).drop("_r", "_h")
 
 

@@ -61,6 +61,22 @@ def active(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("status").isin("queued", "running"))
 
 
+def any_active(sessions: DataFrame) -> DataFrame:
+    """One row: whether any session is active. One match is enough to look for."""
+    return active(sessions).limit(1).agg((F.count("*") > 0).alias("busy"))
+
+
+def featured(sessions: DataFrame) -> DataFrame:
+    """The first of the listed sessions."""
+    return listed(sessions).limit(1)
+
+
+def prefix(segments: DataFrame, length_ms: int = 30_000) -> DataFrame:
+    """recording_id and the text of the segments that start in its first ``length_ms``."""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), "")
+    return segments.where((F.col("start_ms") >= 0) & (F.col("start_ms") < length_ms)).groupBy("recording_id").agg(said.alias("text"))
+
+
 def setting(settings: DataFrame, key: str, default: str | None) -> DataFrame:
     """One row with the value of a setting, or the default."""
     return settings.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit(default)).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, times
 from ..operators import ctc, edits, manifest, metrics, sessions
+from ..streaming import status
 from . import inputs as i
 
 QUERIES, SQL = {}, {}
@@ -38,13 +39,69 @@ def a7_summary(s, d):
     return sessions.summary(i.sessions(s, d))
 
 
-@query("s6_listed", f"WITH {i.SESSIONS} SELECT id, created_at, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS BIGINT) AS place FROM sessions QUALIFY place <= 50")
+@query("s6_listed", f"WITH {i.SESSIONS} SELECT id, created_at FROM sessions")
 def s6_listed(s, d):
-    """The newest fifty sessions, which is the page's length."""
+    """All sessions, newest first."""
+    return sessions.listed(i.sessions(s, d)).select("id", "created_at")
+
+
+@query("o4_featured", f"WITH {i.SESSIONS} SELECT id, created_at FROM sessions ORDER BY created_at DESC, id DESC LIMIT 1")
+def o4_featured(s, d):
+    """The newest session."""
+    return sessions.featured(i.sessions(s, d)).select("id", "created_at")
+
+
+@query("o3_any_active", f"WITH {i.SESSIONS} SELECT count(*) > 0 AS busy FROM sessions WHERE status IN ('queued', 'running')")
+def o3_any_active(s, d):
+    """O3: whether any session is active."""
+    return sessions.any_active(i.sessions(s, d))
+
+
+@query("w3_initial_events", f"WITH {i.SESSIONS} SELECT id, CASE WHEN status IN ('done', 'error') THEN status WHEN stage IS NOT NULL THEN 'stage' ELSE status END AS event, CASE WHEN status NOT IN ('done', 'error') THEN stage END AS stage, CASE WHEN status NOT IN ('done', 'error') AND stage IS NOT NULL THEN CAST(floor(coalesce(duration_ms, 0) * 0.19 + 0.5) AS BIGINT) END AS eta_ms FROM sessions")
+def w3_initial_events(s, d):
+    """What a subscriber hears first of each session."""
+    return status.initial_events(i.sessions(s, d), F.floor(F.coalesce("duration_ms", F.lit(0)) * 0.19 + 0.5))
+
+
+@query("w7_language_maps", "SELECT user_id AS id, string_agg(lang || '=' || st, ',' ORDER BY lang) AS statuses FROM (SELECT user_id, event_type AS lang, arg_max(CASE WHEN event_id % 3 = 0 THEN 'done' ELSE 'running' END, event_id) AS st FROM events GROUP BY ALL) GROUP BY user_id")
+def w7_language_maps(s, d):
+    """The map of languages and statuses that a subscriber gets first; deltas follow."""
+    e = i.table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("lang"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("running").alias("status"))
+    return status.language_maps(e).select("id", F.array_join(F.transform("statuses", lambda x: F.concat_ws("=", x["lang"], x["status"])), ",").alias("statuses"))
+
+
+@query("w15_model_events", "SELECT model, seq, state FROM (SELECT event_type AS model, event_id AS seq, CASE WHEN floor(value) % 3 = 0 THEN 'loading' ELSE 'ready' END AS state, lag(CASE WHEN floor(value) % 3 = 0 THEN 'loading' ELSE 'ready' END) OVER (PARTITION BY event_type ORDER BY event_id) AS was FROM events) WHERE state IS DISTINCT FROM was")
+def w15_model_events(s, d):
+    """Transitions of models' states, as they are broadcast."""
+    e = i.table(s, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("seq"), F.when(F.floor("value") % 3 == 0, "loading").otherwise("ready").alias("state"))
+    return status.transitions(e, "model", "seq", "state").select("model", "seq", "state")
+
+
+@query("u4_suppressed", "WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Za-z0-9%]+')) AS w FROM conversations) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: regexp_matches(x, '[0-9%$£]')) || ['the', 'a'])), ',') AS suppressed FROM t")
+def u4_suppressed(s, d):
+    """U4: tokens with numerals, and those configured, once each."""
+    tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9%]+"), F.lit(0))
+    rows = i.table(s, d, "conversations").select("conv_id", "turn", texts.suppressed(tokens, ["the", "a"]).alias("t"))
+    return rows.select("conv_id", "turn", F.array_join(F.array_sort("t"), ",").alias("suppressed"))
+
+
+@query("o9_language_prefix", f"WITH {i.SEGMENTS} SELECT recording_id, string_agg(text, '' ORDER BY seg_idx) AS text FROM seg WHERE start_ms < 30000 AND start_ms >= 0 GROUP BY recording_id")
+def o9_language_prefix(s, d):
+    """What starts in the first thirty seconds, by which a recording's language is told."""
+    return sessions.prefix(i.segments(s, d), 30_000)
+
+
+@query("m18_enrolled", "SELECT user_id AS recording_id, 'SPEAKER_' || lpad(CAST(count(DISTINCT event_type) AS VARCHAR), 2, '0') AS speaker, 'New' AS name FROM events GROUP BY user_id")
+def m18_enrolled(s, d):
+    """A new speaker of each recording whose speakers are numbered."""
+    from ..operators.edits import enrol
     from pyspark.sql import Window as W
 
-    newest = sessions.listed(i.sessions(s, d)).limit(50)
-    return newest.select("id", "created_at", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id"))).cast("long").alias("place"))
+    kinds = i.table(s, d, "events").select(F.col("user_id").alias("recording_id"), "event_type").distinct()
+    place = F.row_number().over(W.partitionBy("recording_id").orderBy("event_type")) - 1
+    keys = kinds.select("recording_id", F.concat(F.lit("SPEAKER_"), F.lpad(place.cast("string"), 2, "0")).alias("speaker"))
+    names = keys.where("speaker = 'SPEAKER_00'").withColumn("name", F.lit("Old"))
+    return enrol(keys, names, keys.select("recording_id").distinct().withColumn("name", F.lit("New")))
 
 
 @query("p10_active", f"WITH {i.SESSIONS} SELECT id, status FROM sessions WHERE status IN ('queued', 'running')")
@@ -135,13 +192,15 @@ def f26_rising(s, d):
     return sessions.rising(i.table(s, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.floor("value").alias("pct")))
 
 
-@query("w10_stage_order", "WITH e AS (SELECT l_orderkey AS id, l_linenumber AS seq, (['decoding','transcribing','loading_align','aligning','diarizing'])[CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 1 ELSE l_linenumber END] AS stage, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 1 ELSE l_linenumber END AS n FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS l_linenumber FROM lineitem) WHERE l_linenumber <= 5), p AS (SELECT *, n = coalesce(lag(n) OVER (PARTITION BY id ORDER BY seq), 0) + 1 AS ok FROM e) SELECT id, bool_and(ok) AS in_order, count(*) AS n FROM p GROUP BY id")
+@query("w10_stage_order", "WITH e AS (SELECT l_orderkey AS id, n AS seq, CASE WHEN l_orderkey % 5 = 0 AND n = 2 THEN 1 WHEN n > 5 THEN 0 ELSE n END AS n FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem)), p AS (SELECT *, n = coalesce(lag(n) OVER (PARTITION BY id ORDER BY seq), 0) + 1 AS ok FROM e) SELECT id, bool_and(ok) AS in_order, count(*) AS n FROM p GROUP BY id")
 def w10_stage_order(s, d):
+    """All lines of an order as its stages; those after the fifth are unknown ones."""
     from pyspark.sql import Window as W
 
-    l = i.table(s, d, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).where("n <= 5")  # noqa: E741
+    l = i.table(s, d, "lineitem").withColumn("n", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")))  # noqa: E741
     at = F.when((F.col("l_orderkey") % 5 == 0) & (F.col("n") == 2), 1).otherwise(F.col("n"))
-    return sessions.stage_order(l.select(F.col("l_orderkey").alias("id"), F.col("n").alias("seq"), F.element_at(F.array(*map(F.lit, sessions.STAGES)), at).alias("stage")))
+    stage = F.coalesce(F.get(F.array(*map(F.lit, sessions.STAGES[:5])), at - 1), F.lit("unknown"))
+    return sessions.stage_order(l.select(F.col("l_orderkey").alias("id"), F.col("n").alias("seq"), stage.alias("stage")))
 
 
 @query("w12_queue_times", "WITH RECURSIVE j AS (SELECT user_id % 40 AS worker, event_id AS job, event_id AS arrives, CAST(floor(value) AS BIGINT) AS takes, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS k FROM events), f AS (SELECT worker, job, k, arrives AS begins, arrives + takes AS ends FROM j WHERE k = 1 UNION ALL SELECT j.worker, j.job, j.k, greatest(j.arrives, f.ends), greatest(j.arrives, f.ends) + j.takes FROM f JOIN j ON j.worker = f.worker AND j.k = f.k + 1) SELECT worker, job, begins, ends FROM f")
@@ -231,21 +290,21 @@ def j13_compared(s, d):
     return manifest.compare(manifest.root(f.where("`group` != 'src1'")), manifest.root(f.where("`group` != 'src2' and (`group` < 'src5' or doc_id % 2 = 0)")))
 
 
-@query("a17_error_rates", """WITH p AS (SELECT a.doc_id AS id, regexp_replace(lower(a.text), '[^a-z0-9_\\s]', ' ', 'g') AS r, regexp_replace(lower(b.text), '[^a-z0-9_\\s]', ' ', 'g') AS h FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.lang = 'en' AND b.lang = 'en' AND a.n_chars < 800 AND b.n_chars < 800),
-q AS (SELECT id, regexp_replace(r, '\\s+', '', 'g') AS r, regexp_replace(h, '\\s+', '', 'g') AS h FROM p) SELECT id, round(levenshtein(r, h) / greatest(length(r), 1), 4) AS cer FROM q""")
+def _neighbours(s, d):
+    t = i.table(s, d, "documents").select("doc_id", "text")
+    return t.select(F.col("doc_id").alias("id"), F.col("text").alias("reference")).join(t.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("hypothesis")), "id")
+
+
+@query("a17_error_rates")
 def a17_error_rates(s, d):
-    """Character error rates between neighbouring short English texts."""
-    t = i.table(s, d, "documents").where("lang = 'en' and n_chars < 800").select("doc_id", "text")
-    pairs = t.select(F.col("doc_id").alias("id"), F.col("text").alias("reference")).join(t.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("hypothesis")), "id")
-    return metrics.error_rates(pairs).select("id", "cer")
+    """Character error rates between neighbouring texts, too long for SQL's distance; tested against a table."""
+    return metrics.error_rates(_neighbours(s, d)).select("id", "cer")
 
 
 @query("a17_word_error_rates")
 def a17_word_error_rates(s, d):
-    """Word error rates, which DuckDB has no function for; tested against a model."""
-    t = i.table(s, d, "documents").where("n_chars < 800").select("doc_id", "text")
-    pairs = t.select(F.col("doc_id").alias("id"), F.col("text").alias("reference")).join(t.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("hypothesis")), "id")
-    return metrics.error_rates(pairs).select("id", "wer")
+    """Word error rates, which DuckDB has no function for; tested against a table."""
+    return metrics.error_rates(_neighbours(s, d)).select("id", "wer")
 
 
 @query("a18_speaker_counts", "SELECT user_id AS id, count(DISTINCT event_type) AS speakers FROM events GROUP BY user_id")
@@ -311,7 +370,7 @@ def p6_language_tags(s, d):
 
 @query("p7_languages", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'de' WHEN 'fr' THEN 'fr' WHEN 'es' THEN 'es' END AS code FROM documents")
 def p7_languages(s, d):
-    """Spellings of languages to codes, by a small table."""
+    """Spellings of languages to codes, by a small table."""
     known = s.createDataFrame(texts.language_rows(), "spelling string, code string")
     spelled = F.when(F.col("lang") == "de", "German").when(F.col("lang") == "es", "Castilian").when(F.col("lang") == "fr", "FR").otherwise(F.col("lang"))
     rows = i.table(s, d, "documents").select("doc_id", F.lower(spelled).alias("spelling"))
@@ -320,7 +379,7 @@ def p7_languages(s, d):
 
 @query("p16_numerals", "SELECT conv_id, turn, regexp_matches(text, '[0-9%$£]') AS numeral FROM conversations")
 def p16_numerals(s, d):
-    """P16, U4."""
+    """P16."""
     return i.table(s, d, "conversations").select("conv_id", "turn", texts.has_numeral(F.col("text")).alias("numeral"))
 
 

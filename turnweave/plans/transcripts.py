@@ -215,8 +215,8 @@ def f8_regions(s, d):
 
 @query("f8_binarized")
 def f8_binarized(s, d):
-    """F8 with a longest duration: a loop over each recording's frames, tested against a model."""
-    return folds.binarize(_scores(s, d), max_ms=200_000)
+    """F8 with a longest duration and padding: a fold over each recording's frames."""
+    return folds.binarize(_scores(s, d), max_ms=200_000, pad_onset_ms=100, pad_offset_ms=100)
 
 
 _NEAR = """nb AS (SELECT *, row_number() OVER w AS rn, count(start_ms) OVER (PARTITION BY recording_id, seg_idx) AS known, count(*) OVER (PARTITION BY recording_id, seg_idx) AS n FROM words WINDOW w AS (PARTITION BY recording_id, seg_idx ORDER BY word_idx)),
@@ -255,13 +255,49 @@ def f10_spread_words(s, d):
     return interpolate.spread(rows, ["recording_id", "seg_idx"], "word_idx").select("recording_id", "seg_idx", "word_idx", "start_ms", "end_ms")
 
 
+@query(
+    "f10_borrowed",
+    f"""WITH RECURSIVE {i.WORDS},
+w AS (SELECT recording_id, seg_idx, word_idx, start_ms / 50000.0::DOUBLE AS s, end_ms / 50000.0::DOUBLE AS e, seg_start / 50000.0::DOUBLE AS lo, seg_end / 50000.0::DOUBLE AS hi,
+             row_number() OVER (PARTITION BY recording_id, seg_idx ORDER BY word_idx) - 1 AS p, count(*) OVER (PARTITION BY recording_id, seg_idx) AS n,
+             count(start_ms) OVER (PARTITION BY recording_id, seg_idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS k FROM words),
+a AS (SELECT * FROM w WHERE s IS NOT NULL UNION ALL SELECT DISTINCT recording_id, seg_idx, NULL, NULL, NULL, lo, hi, -1, n, 0 FROM w),
+g AS (SELECT recording_id, seg_idx, k, p, s, e, lead(s) OVER q AS rs, lead(e) OVER q AS re, coalesce(lead(p) OVER q, n) - p - 1 AS m, coalesce(e, lo) AS b, coalesce(lead(s) OVER q, hi) AS f FROM a WINDOW q AS (PARTITION BY recording_id, seg_idx ORDER BY k)),
+z AS (
+  SELECT *, CAST(NULL AS DOUBLE) AS was, CAST(0 AS DOUBLE) AS give, CASE WHEN m > 0 AND f >= b THEN least(greatest(coalesce(re - rs - 0.1::DOUBLE, 0), 0), greatest(m * 0.1::DOUBLE - (f - b), 0)) ELSE 0 END AS take FROM g WHERE k = 0
+  UNION ALL
+  SELECT * EXCLUDE (lack, l, r), CASE WHEN lack > 0 THEN least(l, greatest(lack / 2, lack - r)) ELSE 0 END AS give, CASE WHEN lack > 0 THEN least(r, lack - least(l, greatest(lack / 2, lack - r))) ELSE 0 END AS take
+  FROM (SELECT g.*, z.rs + z.take AS was, CASE WHEN g.m > 0 AND g.f >= g.b THEN greatest(g.m * 0.1::DOUBLE - (g.f - g.b), 0) ELSE 0 END AS lack,
+               greatest(coalesce(g.e - (z.rs + z.take) - 0.1::DOUBLE, 0), 0) AS l, greatest(coalesce(g.re - g.rs - 0.1::DOUBLE, 0), 0) AS r FROM z JOIN g ON g.recording_id = z.recording_id AND g.seg_idx = z.seg_idx AND g.k = z.k + 1)
+)
+SELECT w.recording_id, w.seg_idx, w.word_idx,
+       round(CASE WHEN w.s IS NOT NULL THEN z.was WHEN z.f >= z.b THEN z.b - z.give + (w.p - z.p - 1) * (z.f - z.b + z.give + z.take) / z.m END, 6) AS "start",
+       round(CASE WHEN w.s IS NOT NULL THEN w.e - z.give WHEN z.f >= z.b THEN z.b - z.give + (w.p - z.p) * (z.f - z.b + z.give + z.take) / z.m END, 6) AS "end"
+FROM w JOIN z USING (recording_id, seg_idx, k)""",
+)
+def f10_borrowed(s, d):
+    """F10 with borrowing, on time so short that most gaps lack some."""
+    c = lambda name: F.col(name) / 50000.0
+    rows = i.words(s, d).select(F.col("recording_id").alias("recording_id"), F.col("seg_idx").alias("turn"), "word_idx", "word", c("start_ms").alias("start"), c("end_ms").alias("end"), c("seg_start").alias("turn_start"), c("seg_end").alias("turn_end"))
+    return interpolate.time_turns(rows).select("recording_id", F.col("turn").alias("seg_idx"), "word_idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("m9_realigned")
+def m9_realigned(s, d):
+    """M9: texts of segments with a word put in and one taken out, timed anew; longest common runs aren't SQL's to find."""
+    w = i.words(s, d).groupBy("recording_id", "seg_idx", "seg_start", "seg_end").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "start_ms", "end_ms"))).alias("w"))
+    words = F.transform("w", lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] / 1000.0).alias("start"), (x["end_ms"] / 1000.0).alias("end")))
+    text = F.concat(F.lit("really "), F.array_join(F.transform(F.slice("w", 1, 2), lambda x: x["word"]), " "))
+    rows = w.select("recording_id", F.col("seg_idx").alias("turn"), words.alias("words"), text.alias("text"), (F.col("seg_start") / 1000.0).alias("start"), (F.col("seg_end") / 1000.0).alias("end"))
+    return edits.realign(rows).select("recording_id", "turn", F.posexplode("words").alias("place", "w")).select("recording_id", "turn", F.col("place").cast("long").alias("place"), "w.word", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
+
+
 _CHARS = """
-docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 4 = 1 OR n_chars < 400),
+docs AS (SELECT doc_id AS id, text FROM documents),
 chars AS (SELECT id, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS char_idx, unnest(c) AS char FROM (SELECT id, string_split(text, '') AS c FROM docs)),
 ends AS (SELECT *, CASE WHEN lead(char) OVER (PARTITION BY id ORDER BY char_idx) = ' ' THEN 1 ELSE 0 END AS e FROM chars),
 placed AS (SELECT id, char_idx, char, CAST(coalesce(sum(e) OVER (PARTITION BY id ORDER BY char_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS word_idx FROM ends),
 timed AS (SELECT *, char_idx * 20 AS start_ms, char_idx * 20 + 15 AS end_ms, CAST((char_idx * 31 + id) % 8 AS DOUBLE) / 8 AS score FROM placed)"""
-_CHARS = _CHARS.replace(" WHERE doc_id % 4 = 1 OR n_chars < 400", "")
 
 
 def _docs(s, d):
@@ -274,6 +310,12 @@ def _timed(s, d):
     return rows.withColumns({"start_ms": F.col("char_idx") * 20, "end_ms": F.col("char_idx") * 20 + 15, "score": score})
 
 
+def _characters():
+    """Times and scores of a text's characters, in its row."""
+    timed = lambda c, k: F.struct(c.alias("char"), (k * 20).cast("long").alias("start_ms"), (k * 20 + 15).cast("long").alias("end_ms"), (((k * 31 + F.col("id")) % 8).cast("double") / 8).alias("score"))
+    return F.transform(F.filter(F.split("text", ""), lambda c: c != ""), timed)
+
+
 @query("f1_word_index", f"WITH {_CHARS} SELECT id, max(word_idx) AS last_word, count(*) AS n, CAST(sum(word_idx * (char_idx + 1)) AS BIGINT) AS mark FROM placed GROUP BY id")
 def f1_word_index(s, d):
     """numbers of words on characters, summed up for each text."""
@@ -283,17 +325,15 @@ def f1_word_index(s, d):
 
 @query("a1_words", f"WITH {_CHARS} SELECT id, word_idx, string_agg(char, '' ORDER BY char_idx) AS word, min(start_ms) AS start_ms, max(end_ms) AS end_ms, floor(avg(score) * 1000 + 0.5) / 1000 AS score FROM timed WHERE char != ' ' GROUP BY id, word_idx")
 def a1_words(s, d):
-    return align.words(_timed(s, d))
+    rows = _docs(s, d).select("id", F.explode(align.word_runs(F.col("text"), _characters())).alias("w"))
+    return rows.select("id", "w.word_idx", "w.word", "w.start_ms", "w.end_ms", "w.score")
 
 
 _SPANS_SQL = r"""
-cuts AS (SELECT id, text, [0] || list_transform(cutlist, x -> x[2]) AS begins, list_transform(cutlist, x -> x[1]) || [length(text)] AS ends
-         FROM (SELECT id, text, list_zip(list_transform(range(0, length(text)), x -> x), list_transform(range(0, length(text)), x -> x)) AS cutlist FROM docs WHERE false)),
 parts AS (SELECT id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS sentence, unnest(p) AS part
           FROM (SELECT id, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS p FROM docs)),
 whole AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY id ORDER BY sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM parts),
 spans AS (SELECT id, sentence // 2 AS sentence, CAST(b AS BIGINT) AS "from", CAST(b + length(part) AS BIGINT) AS "to" FROM whole WHERE sentence % 2 = 0 AND length(part) > 0)"""
-_SPANS_SQL = "\n" + _SPANS_SQL[_SPANS_SQL.index("parts AS") :]
 
 
 @query("f23_sentence_spans", f'WITH {_CHARS}, {_SPANS_SQL} SELECT id, sentence, "from", "to" FROM spans')
@@ -305,7 +345,8 @@ def f23_sentence_spans(s, d):
 @query("a2_sentences", f"""WITH {_CHARS}, {_SPANS_SQL} SELECT id, sentence, coalesce(string_agg(char, '' ORDER BY char_idx) FILTER (char_idx < "to"), '') AS text, min(start_ms) AS start_ms, max(end_ms) FILTER (char != ' ') AS end_ms FROM timed JOIN spans USING (id) WHERE char_idx >= "from" AND char_idx <= "to" GROUP BY id, sentence""")
 def a2_sentences(s, d):
     """A2 with the reference's closed upper bound."""
-    return align.sentences(_timed(s, d), align.sentence_spans(_docs(s, d)))
+    rows = _docs(s, d).select("id", F.explode(align.sentence_runs(F.col("text"), _characters())).alias("s"))
+    return rows.select("id", "s.sentence", "s.text", "s.start_ms", "s.end_ms")
 
 
 @query("a3_merged_sentences", f"WITH {i.SEGMENTS}, r AS (SELECT recording_id AS id, seg_idx AS sentence, text, start_ms // 200000 AS start_ms, end_ms // 200000 AS end_ms FROM seg) SELECT id, start_ms, end_ms, string_agg(text, ' ' ORDER BY sentence) AS text, count(*) AS n, min(sentence) AS sentence FROM r WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL GROUP BY id, start_ms, end_ms")
@@ -445,7 +486,21 @@ def f15_default_cues(s, d):
     return subtitles.default_cues(i.words(s, d))
 
 
-@query("f15_layout")
+@query(
+    "f15_layout",
+    f"""WITH RECURSIVE {i.WORDS},
+o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, word_idx) AS i FROM words),
+f AS (
+  SELECT recording_id, i, word, CAST(length(word) AS BIGINT) AS line, CAST(1 AS BIGINT) AS lines, CAST(0 AS BIGINT) AS cue, coalesce(start_ms, seg_start) AS last_, true AS head FROM o WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, word, CASE WHEN stays THEN line + length(word) ELSE length(word) END, CASE WHEN stays THEN lines WHEN fresh THEN 1 ELSE lines + 1 END, CASE WHEN NOT stays AND fresh THEN cue + 1 ELSE cue END, coalesce(start_ms, last_), NOT stays
+  FROM (SELECT o.recording_id, o.i, o.word, o.start_ms, f.line, f.lines, f.cue, f.last_, f.line + length(o.word) <= 42 AND NOT coalesce(o.start_ms - f.last_ > 3000, false) AS stays, coalesce(o.start_ms - f.last_ > 3000, false) OR f.lines >= 2 AS fresh
+        FROM f JOIN o ON o.recording_id = f.recording_id AND o.i = f.i + 1)
+), j AS (SELECT f.*, o.start_ms, o.end_ms, o.speaker, o.seg_start, o.seg_end, row_number() OVER (PARTITION BY f.recording_id, f.cue ORDER BY f.i) AS n FROM f JOIN o USING (recording_id, i))
+SELECT recording_id, cue, CASE WHEN count(start_ms) > 0 AND count(end_ms) > 0 THEN min(start_ms) ELSE arg_min(seg_start, i) END AS start_ms, CASE WHEN count(start_ms) > 0 AND count(end_ms) > 0 THEN max(end_ms) ELSE arg_min(seg_end, i) END AS end_ms,
+       coalesce('[' || max(speaker) FILTER (n = 1) || ']: ', '') || string_agg(CASE WHEN n = 1 THEN '' WHEN head THEN ' ' || chr(10) ELSE ' ' END || word, '' ORDER BY i) AS text
+FROM j GROUP BY recording_id, cue""",
+)
 def f15_layout(s, d):
     return subtitles.layout(i.words(s, d), subtitles.Layout(42, 2))
 
@@ -465,9 +520,12 @@ def f17_karaoke(s, d):
 
 @query("f20_split_cues")
 def f20_split_cues(s, d):
-    """Split cues of conversation turns, untimed."""
+    """Split cues of conversation turns; each second turn has words, of which each fifth has no time."""
     c = i.table(s, d, "conversations")
-    rows = c.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), (F.col("turn") * 30.0).alias("start"), (F.col("turn") * 30.0 + 29).alias("end"), "text", F.lit(None).cast("array<struct<word:string,start:double,end:double>>").alias("words"))
+    start = F.col("turn") * 30.0
+    parts = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    word = lambda w, k: F.struct(w.alias("word"), F.when(k % 5 != 2, start + k * 0.25).alias("start"), F.when(k % 5 != 2, start + k * 0.25 + 0.2).alias("end"))
+    rows = c.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), start.alias("start"), (start + 29).alias("end"), "text", F.when(F.col("turn") % 2 == 0, F.transform(parts, word)).alias("words"))
     return subtitles.split_cues(rows, subtitles.Splitter("en", frozenset({"and", "or", "but"})))
 
 
@@ -495,10 +553,10 @@ def m10_reassigned(s, d):
     return edits.reassign(i.segments(s, d), change).select("recording_id", "seg_idx", "speaker", "changed")
 
 
-@query("o5_recent_edits", f"WITH {i.SEGMENTS} SELECT recording_id, seg_idx AS seq FROM seg QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx DESC) <= 20")
+@query("o5_recent_edits", f"WITH {i.SEGMENTS} SELECT recording_id, seg_idx AS seq FROM seg QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx DESC) <= 100")
 def o5_recent_edits(s, d):
-    """O5, M12 with 20 edits."""
-    return edits.recent(i.segments(s, d).select("recording_id", F.col("seg_idx").alias("seq")), 20)
+    """O5, M12."""
+    return edits.recent(i.segments(s, d).select("recording_id", F.col("seg_idx").alias("seq")))
 
 
 @query("m11_standing_edits", f"WITH {i.SEGMENTS}, l AS (SELECT recording_id, seg_idx AS seq, CASE WHEN event_id % 5 < 2 THEN 'undo' ELSE 'edit' END AS kind FROM seg), s AS (SELECT *, sum(CASE WHEN kind = 'undo' THEN -1 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY seq) AS x FROM l), z AS (SELECT *, x - least(0, min(x) OVER (PARTITION BY recording_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS d FROM s) SELECT recording_id, seq, kind FROM z a WHERE kind = 'edit' AND NOT EXISTS (SELECT 1 FROM z b WHERE b.recording_id = a.recording_id AND b.seq > a.seq AND b.d < a.d)")

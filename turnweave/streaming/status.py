@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -61,20 +62,62 @@ def bounded_channel(events: DataFrame, size: int = BUFFER) -> DataFrame:
     return events.select("channel", "seq", "kind", "payload").groupBy("channel").applyInPandasWithState(step, f"channel {kind}, seq long, payload string", "held long", "append", GroupStateTimeout.NoTimeout)
 
 
-def with_initial(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Live events joined with the durable row of their session. sessions: id, and what the row says (static)."""
-    return events.join(sessions, "id", "left")
+def initial_events(sessions: DataFrame, eta: Column) -> DataFrame:
+    """What a subscriber hears first: id, event, stage, eta_ms. A final status is itself; else the stage with its estimate, or the status.
+
+    sessions: id, status, stage, and what ``eta`` needs.
+    """
+    going = ~F.col("status").isin(*FINAL)
+    event = F.when(going & F.col("stage").isNotNull(), "stage").otherwise(F.col("status"))
+    return sessions.select("id", event.alias("event"), F.when(going, F.col("stage")).alias("stage"), F.when(going & F.col("stage").isNotNull(), eta.cast("long")).alias("eta_ms"))
+
+
+def with_initial(events: DataFrame, sessions: DataFrame, eta: Column | None = None) -> DataFrame:
+    """Live events joined with what their session's durable row says first, as columns first, first_stage and first_eta_ms."""
+    first = initial_events(sessions, F.lit(None) if eta is None else eta).withColumnsRenamed({"event": "first", "stage": "first_stage", "eta_ms": "first_eta_ms"})
+    return events.join(first, "id", "left")
+
+
+def language_maps(events: DataFrame) -> DataFrame:
+    """Each session's languages with their latest statuses: id, statuses (structs of lang and status, by lang). For the batch that a subscriber gets first; ``latest_status`` streams the deltas."""
+    return latest_status(events).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("lang", "status"))).alias("statuses"))
+
+
+def transitions(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
+    """The events at which a key's state differs from the one before, for batches (models' and backup's broadcasts)."""
+    was = F.lag(state).over(W.partitionBy(key).orderBy(seq))
+    return events.withColumn("_was", was).where(~F.col(state).eqNullSafe(F.col("_was"))).drop("_was")
+
+
+def streamed_transitions(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:
+    """``transitions`` of a stream, whose events come in order of ``seq`` from batch to batch; never ends."""
+    kinds = dict(events.dtypes)
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(seq)
+        was = rows[state].shift()
+        if held.exists:
+            was.iloc[0] = held.get[0]
+        held.update((rows[state].iloc[-1],))
+        yield rows[(rows[state] != was)][[key, seq, state]]
+
+    return events.select(key, seq, state).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {seq} {kinds[seq]}, {state} {kinds[state]}", f"{state} {kinds[state]}", "append", GroupStateTimeout.NoTimeout)
+
+
+def one_shot(results: DataFrame, asked: DataFrame) -> DataFrame:
+    """A flow's single result for everyone who asks, also after it came: asked (id, subscriber) with event ``pending`` until results (id, result) has it."""
+    return asked.join(results.groupBy("id").agg(F.first("result").alias("result")), "id", "left").select("id", "subscriber", F.when(F.col("result").isNull(), "pending").otherwise("result").alias("event"), "result")
 
 
-def live_turns(words: DataFrame, spans: DataFrame, late: str = "1 minute") -> DataFrame:
+def live_turns(words: DataFrame, spans: DataFrame, late: str = "1 minute", longest: str | None = None) -> DataFrame:
     """An interval join of two streams with watermarks: words (recording_id, w_ts, word) in turns (recording_id, s_ts, e_ts, speaker).
 
-    A turn starts at most ten minutes before its words, which bounds the state.
+    ``longest`` says how long turns are at most, which lets Spark forget older ones; without it every turn is kept.
     """
     left, right = words.withWatermark("w_ts", late), spans.withWatermark("s_ts", late)
     left, right = left.withColumnRenamed("recording_id", "w_recording"), right
-    on = F.expr("w_recording = recording_id and w_ts >= s_ts and w_ts < e_ts and w_ts <= s_ts + interval 10 minutes")
-    return left.join(right, on).drop("w_recording")
+    reach = f" and w_ts <= s_ts + interval {longest}" if longest else ""
+    return left.join(right, F.expr(f"w_recording = recording_id and w_ts >= s_ts and w_ts < e_ts{reach}")).drop("w_recording")
 
 
 def session_windows(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
