@@ -217,3 +217,47 @@ def test_leaks_of_the_sample(spark, sf_dir, odd):
     assert want and want <= found
     assert edit_match.find_leaks(odd, bench).count() == 0
     assert edit_match.without_leaks(odd, bench).count() == odd.count()
+
+
+def test_leaks_match_brute_force(spark):
+    """All stretches of whole words against all items, with words changed, joined, split and cut off."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 12)))) for i in range(14)] + [(14, "cat"), (15, None), (16, " ,. ")]
+
+    def bent(text):
+        t = list(text)
+        for _ in range(rng.randint(0, max(1, len(t) // 9))):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 1)] = rng.choice(["x", " ", "", "a"])
+        return "".join(t)
+
+    docs = [(d, " ".join(bent(rng.choice(items[:14])[1]) if rng.random() < 0.5 else word() for _ in range(8))) for d in range(25)] + [(25, "concatenate cats"), (26, "a Cat, sat"), (27, None), (28, "xcat cat")]
+    want = set()
+    for d, text in docs:
+        w = edit_match.normal(text).split()
+        for i, item in items:
+            x = edit_match.normal(item)
+            errors = int(edit_match.RATE * len(x))
+            stretches = {" ".join(w[a:b]) for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+            if x and any(abs(len(y) - len(x)) <= errors and edit_match.edit_distance(x, y) <= errors for y in stretches):
+                want.add((d, i))
+    found = edit_match.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = found.collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and (25, 14) not in want and {(26, 14), (28, 14)} <= want
+    for r in rows:
+        part = edit_match.normal(docs[r.doc_id][1][r.start : r.end])
+        assert edit_match.edit_distance(edit_match.normal(items[r.item_id][1]), part) == r.distance
+
+
+def test_leaks_of_very_long_texts_and_other_kinds_of_ids(spark):
+    import datetime
+
+    item = "the quick brown fox jumps over the lazy dog while it rains"
+    long = " ".join(f"w{k}" for k in range(60_000)) + " " + item.replace("quick", "quack") + " end"
+    day = datetime.date(2024, 1, 1)
+    docs = spark.createDataFrame([(day, long, 1), (None, item, 2)], "doc_id date, text string, item_id int")
+    items = spark.createDataFrame([(1.5, item)], "item_id double, text string")
+    got = sorted((str(r.doc_id), r.item_id, r.distance) for r in edit_match.find_leaks(docs, items).collect())
+    assert got == [("2024-01-01", 1.5, 1), ("None", 1.5, 0)]
+    assert edit_match.without_leaks(docs, items).count() == 0

@@ -4,7 +4,8 @@ Texts are compared as lower-case words with one space between them. A test item
 of m characters may differ from a passage by ``rate`` * m edits, rounded down;
 cut into one piece more than that, at least one piece is unchanged. An automaton
 over all pieces finds their exact places in each whole text, and Myers'
-bit-parallel distance decides within the stretch around each place.
+bit-parallel distance decides within the stretch around each place: an item is
+found where a run of whole words is that close to it.
 
 Test items are a small stated set; they go to the executors in blocks of at
 most ``BLOCK`` characters, and each block scans the texts once.
@@ -23,6 +24,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..operators.metrics import edit_distance
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
@@ -50,10 +54,10 @@ class Pattern:
         for i, c in enumerate(item):
             self.masks[c] |= 1 << i
 
-    def best(self, text: str, errors: int) -> tuple[int, int] | None:
-        """(distance, end) of the closest stretch, the first of equals, if within ``errors``."""
+    def ends(self, text: str, errors: int, anchored: bool = False) -> Iterator[tuple[int, int]]:
+        """(distance, end) of the closest stretch up to each end, if within ``errors``; ``anchored``: of the whole text up to it."""
         full, top = (1 << self.size) - 1, 1 << (self.size - 1)
-        plus, minus, distance, found = full, 0, self.size, None
+        plus, minus, distance = full, 0, self.size
         masks = self.masks
         for end, c in enumerate(text, 1):
             eq = masks.get(c, 0)
@@ -65,12 +69,15 @@ class Pattern:
                 distance += 1
             elif mh & top:
                 distance -= 1
-            ph = (ph << 1) & full
+            ph = ((ph << 1) | anchored) & full
             plus = ((mh << 1) & full) | (full & ~(xv | ph))
             minus = ph & xv
-            if distance <= errors and (found is None or distance < found[0]):
-                found = distance, end
-        return found
+            if distance <= errors:
+                yield distance, end
+
+    def best(self, text: str, errors: int) -> tuple[int, int] | None:
+        """(distance, end) of the closest stretch, the first of equals, if within ``errors``."""
+        return min(self.ends(text, errors), default=None)
 
 
 class Items:
@@ -113,19 +120,25 @@ class Items:
         return out
 
     def matches(self, text: str, first: bool = False) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of each item's closest stretch."""
+        """(item, distance, start, end) of each item's closest stretch of whole words."""
         out = []
         for n, spans in self.stretches(text).items():
-            item = self.items[n][1]
+            item, errors = self.items[n][1], self.errors[n]
             pattern = self.forward.setdefault(n, Pattern(item))
-            hits = [(hit[0], a + hit[1]) for a, b in spans if (hit := pattern.best(text[a:b], self.errors[n]))]
-            if not hits:
-                continue
-            distance, end = min(hits)
+            ends = sorted((d, a + end) for a, b in spans for d, end in pattern.ends(text[a:b], errors) if a + end == len(text) or text[a + end] == " ")
             back = self.backward.setdefault(n, Pattern(item[::-1]))
-            start = end - back.best(text[max(0, end - len(item) - distance) : end][::-1], distance)[1]
-            out.append((n, distance, start, end))
-            if first:
+            best = None
+            for least, end in ends:
+                if best and best[0] <= least:
+                    break
+                begin = max(0, end - len(item) - errors)
+                starts = ((d, end - k) for d, k in back.ends(text[begin:end][::-1], errors, anchored=True) if end == k or text[end - k - 1] == " ")
+                for distance, start in starts:
+                    if best is None or distance < best[0]:
+                        best = distance, start, end
+            if best:
+                out.append((n, *best))
+            if out and first:
                 break
         return out
 
@@ -155,6 +168,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     """Rows (doc, item, distance, start, end) for each text and item found in it; places are in code points of the text."""
     kinds = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"doc {kinds[0]}, item {kinds[1]}, distance int, start long, end long"
+    kind = to_arrow_type(items.schema[item].dataType)
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
 
     def over(block_items: list[tuple[int | None, str]]) -> DataFrame:
@@ -162,7 +176,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
             known = Items(block_items, rate)
             target = None
             for b in batches:
-                target = target or pa.schema([("doc", b.schema.field(0).type), ("item", _arrow(kinds[1])), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+                target = target or pa.schema([("doc", b.schema.field(0).type), ("item", kind), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
                 found = []
                 for i, raw in enumerate(b.column(1)):
                     raw = raw.as_py()
@@ -180,10 +194,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     return found.withColumnsRenamed({"doc": doc, "item": item if item != doc else "item"})
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", passage: str = "text", rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
     schema = docs.schema
