@@ -6,7 +6,10 @@ probabilities are summed by host and by path over all documents. Hosts shrink
 toward the global share and paths toward their host, each by as many pseudo-
 documents as the spread of the shares above them suggests (method of moments), so
 sparse sites stay near their prior. A document's posterior is its own evidence
-times the odds that its path has over the global odds.
+times the odds that its path has, by its other documents, over the global odds.
+
+Words are counted where the sample is; the driver gets counts by word, of which
+there are 2 ** ``BITS`` at most, and a few numbers of each sampled document.
 
 Defined results: null text is empty; null host or path is a site of its own;
 repeated rows count each; of repeated labels the worst holds; labels of one kind
@@ -75,7 +78,6 @@ class Classifier:
     weights: np.ndarray
     middle: np.ndarray
     scale: np.ndarray
-    prior: float
 
     def logit(self, format_: np.ndarray, text: np.ndarray, word: np.ndarray) -> np.ndarray:
         x = (np.concatenate([format_, _evidence(self.odds, len(format_), text, word)], axis=1) - self.middle) / self.scale
@@ -93,12 +95,9 @@ def _evidence(odds: np.ndarray, n: int, text: np.ndarray, word: np.ndarray) -> n
     return np.stack([strong, mean], axis=1)
 
 
-def _odds(word: np.ndarray, owner: np.ndarray, bad: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Log-odds of each word in the bad texts among ``seen``; 0 for rare words."""
-    use = seen[owner]
-    in_bad = np.bincount(word[use & bad[owner]], minlength=1 << BITS)
-    in_good = np.bincount(word[use & ~bad[owner]], minlength=1 << BITS)
-    odds = np.log((in_bad + 0.5) / ((bad & seen).sum() + 1)) - np.log((in_good + 0.5) / ((~bad & seen).sum() + 1))
+def _odds(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np.ndarray:
+    """Log-odds of each word in bad texts, by how many bad and good ones have it; 0 for rare words."""
+    odds = np.log((in_bad + 0.5) / (bad + 1)) - np.log((in_good + 0.5) / (good + 1))
     return np.where(in_bad + in_good >= 3, odds, 0.0).astype(np.float32)
 
 
@@ -109,33 +108,51 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(text, np.arange(len(format_) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word.astype(np.int32)))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(0, format_.size + 1, format_.shape[1]), pa.int32()), pa.array(format_.ravel()))
-            yield pa.record_batch([rows, lists, b.column(1).slice(t.rows.start, len(format_))], names=["format", "words", "bad"])
+            yield pa.record_batch([rows, lists, *(b.column(c).slice(t.rows.start, len(format_)) for c in (1, 2))], names=["format", "words", "bad", "half"])
+
+
+def _weighed(odds: list[np.ndarray]):
+    """Each sampled text's features; the evidence of its words by the odds that the other half gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            word = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy())
+            half = b.column(3).to_numpy()
+            both = [_evidence(odds[1 - h], len(b), owner, word) for h in (0, 1)]
+            x = np.concatenate([b.column(0).flatten().to_numpy().reshape(len(b), -1), np.where(half[:, None] == 0, *both)], axis=1)
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())), b.column(2)], names=["x", "bad"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Classifier | None:
     known = labels.where("quality is not null or toxic is not null").groupBy(F.col(doc).alias("doc")).agg(F.greatest(F.max(F.col("toxic") == 1), F.max(F.col("quality") == 0)).alias("bad")).where("doc is not null and bad is not null")
     share = min(1.0, sample / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    joined = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "doc").select("text", "bad")
-    rows = joined.mapInArrow(_sampled, "format array<double>, words array<int>, bad boolean").toArrow()
-    bad = np.asarray(rows.column("bad").to_numpy(), dtype=bool)
-    if len(bad) < 20 or bad.sum() < 5 or (~bad).sum() < 5:
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc"), F.lit(2)).cast("int").alias("half")
+    joined = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), "doc").select("text", "bad", half)
+    rows = Scratch(docs.sparkSession, "quality-fit").keep(joined.mapInArrow(_sampled, "format array<double>, words array<int>, bad boolean, half int"), "sample")
+    sizes = np.zeros((2, 2), dtype=np.int64)
+    for r in rows.groupBy("half", "bad").count().collect():
+        sizes[r["half"], int(r["bad"])] = r["count"]
+    if sizes.sum() < 20 or sizes[:, 1].sum() < 5 or sizes[:, 0].sum() < 5:
         return None
-    format_ = rows.column("format").combine_chunks().flatten().to_numpy().reshape(len(bad), -1)
-    lists = rows.column("words").combine_chunks()
-    word = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(bad), dtype=np.int32), lists.value_lengths().to_numpy())
-    # Halves by an order of the rows' own content, so that reruns agree; each half's evidence comes from the other's words.
-    order = np.lexsort(format_.T)
-    half = np.empty(len(bad), dtype=np.int64)
-    half[order] = np.arange(len(bad)) % 2
-    evidence = np.zeros((len(bad), 2))
+    has = lambda h, bad: F.sum(((F.col("half") == h) & (F.col("bad") == F.lit(bool(bad)))).cast("long"))
+    counts = rows.select("half", "bad", F.explode("words").alias("word")).groupBy("word").agg(*(has(h, bad).alias(f"n{h}{bad}") for h in (0, 1) for bad in (0, 1))).toArrow()
+    table = np.zeros((2, 2, 1 << BITS), dtype=np.int64)
     for h in (0, 1):
-        other = _odds(word, owner, bad, half != h)
-        mine = half[owner] == h
-        evidence[half == h] = _evidence(other, len(bad), owner[mine], word[mine])[half == h]
-    odds = _odds(word, owner, bad, np.ones(len(bad), dtype=bool))
-    x = np.concatenate([format_, evidence], axis=1)
+        for bad in (0, 1):
+            table[h, bad][counts.column("word").to_numpy()] = counts.column(f"n{h}{bad}").to_numpy()
+    halves = [_odds(table[h, 1], table[h, 0], *sizes[h, ::-1]) for h in (0, 1)]
+    odds = _odds(*table.sum(axis=0)[::-1], *sizes.sum(axis=0)[::-1])
+    found = rows.mapInArrow(_weighed(halves), "x array<double>, bad boolean").toArrow()
+    bad = np.asarray(found.column("bad").to_numpy(), dtype=bool)
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(bad), -1)
+    # In an order of their own content, so that reruns add up alike.
+    order = np.lexsort((bad, *x.T))
+    x, bad = x[order], bad[order]
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.concatenate([np.ones((len(x), 1)), (x - middle) / scale], axis=1)
     y = (~bad).astype(np.float64)
@@ -145,13 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     for _ in range(30):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
         weights = weights + np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ weights)
-    return Classifier(odds, weights, middle, scale, float(np.clip((~bad).mean(), 1e-3, 1 - 1e-3)))
+    return Classifier(odds, weights, middle, scale)
 
 
 def _logits(docs: DataFrame, model: Classifier, text: str) -> DataFrame:
     """``docs`` with ``_logit``, the document's own evidence."""
     at = docs.columns.index(text)
-    sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.weights, model.middle, model.scale, model.prior))
+    sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.weights, model.middle, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Classifier(*sent.value)
@@ -164,7 +181,7 @@ def _logits(docs: DataFrame, model: Classifier, text: str) -> DataFrame:
 
 
 def sites(scored: DataFrame) -> DataFrame:
-    """Rows (host, path, p_site) from rows (host, path, p)."""
+    """Rows (host, path, p_site, p_all, good, n, host_good, host_n, k_host, k_path) from rows (host, path, p): a site's share, and what it was made of."""
     paths = scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n"), F.sum(F.col("p") * (1 - F.col("p"))).alias("noise"))
     hosts = paths.groupBy("host").agg(*(F.sum(c).alias(f"host_{c}") for c in ("good", "n", "noise")))
     total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_n").alias("n")).first()
@@ -179,11 +196,10 @@ def sites(scored: DataFrame) -> DataFrame:
         return float(np.clip(share * (1 - share) / between - 1, 1.0, 10_000.0))
 
     k_host = strength(hosts, F.col("host_good"), F.col("host_n"), F.lit(share))
-    hosts = hosts.select("host", ((F.col("host_good") + k_host * share) / (F.col("host_n") + k_host)).alias("p_host"))
-    hosts = hosts.withColumnRenamed("host", "of_host")
+    hosts = hosts.select(F.col("host").alias("of_host"), "host_good", "host_n", ((F.col("host_good") + k_host * share) / (F.col("host_n") + k_host)).alias("p_host"))
     both = paths.join(hosts, paths["host"].eqNullSafe(hosts["of_host"]))
     k_path = strength(both, F.col("good"), F.col("n"), F.col("p_host"))
-    return both.select("host", "path", ((F.col("good") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_site"), F.lit(share).alias("p_all"))
+    return both.select("host", "path", ((F.col("good") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_site"), F.lit(share).alias("p_all"), "good", "n", "host_good", "host_n", F.lit(k_host).alias("k_host"), F.lit(k_path).alias("k_path"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = THRESHOLD, sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
@@ -197,14 +213,18 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
         return docs.select(*carry, *(F.lit(1.0).alias(c) for c in ("p_doc", "p_site", "posterior")))
     scratch = Scratch(docs.sparkSession, "site-bayes")
     own = docs.select(F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), *carry)
-    scored = _logits(own.select("_host", "_path", "_text"), model, "_text").select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_logit")))).alias("p"))
-    site = scratch.keep(sites(scratch.keep(scored, "scored")), "sites")
-    site = site.withColumnsRenamed({"host": "_s_host", "path": "_s_path", "p_site": "_p_site", "p_all": "_p_all"})
+    # Texts are read once: what they say is kept with the columns that are returned.
+    scored = scratch.keep(_logits(own, model, "_text").drop("_text").withColumn("_p", 1 / (1 + F.exp(-F.col("_logit")))), "scored")
+    site = scratch.keep(sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p"))), "sites")
+    site = site.drop("p_site").withColumnsRenamed({c: f"_s_{c}" for c in site.columns if c != "p_site"})
     near = F.broadcast(site) if site.count() <= FEW_SITES else site
-    joined = own.join(near, F.col("_host").eqNullSafe(F.col("_s_host")) & F.col("_path").eqNullSafe(F.col("_s_path"))).drop("_host", "_path", "_s_host", "_s_path")
+    joined = scored.join(near, F.col("_host").eqNullSafe(F.col("_s_host")) & F.col("_path").eqNullSafe(F.col("_s_path")))
+    # The site's share by its other documents: the document's own evidence counts once.
+    at = lambda c: F.col(f"_s_{c}")
+    p_host = (at("host_good") - F.col("_p") + at("k_host") * at("p_all")) / (at("host_n") - 1 + at("k_host"))
+    p_site = (at("good") - F.col("_p") + at("k_path") * p_host) / (at("n") - 1 + at("k_path"))
     odds = lambda p: F.log(p / (1 - p))
     bound = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
-    out = _logits(joined, model, "_text")
-    posterior = 1 / (1 + F.exp(-(F.col("_logit") + odds(bound(F.col("_p_site"))) - odds(bound(F.col("_p_all"))))))
-    out = out.withColumn("p_doc", 1 / (1 + F.exp(-F.col("_logit")))).withColumn("posterior", posterior)
-    return out.where(F.col("posterior") >= threshold).select(*carry, "p_doc", F.col("_p_site").alias("p_site"), "posterior")
+    out = joined.withColumns({"p_doc": F.col("_p"), "p_site": p_site})
+    out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("_logit") + odds(bound(F.col("p_site"))) - odds(bound(at("p_all")))))))
+    return out.where(F.col("posterior") >= threshold).select(*carry, "p_doc", "p_site", "posterior")
