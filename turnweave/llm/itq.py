@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-A bounded sample gives several rotations, each learned to bring the rotated vectors
-close to their signs, and each sign's threshold, so that signs are balanced. They
-are a binary code, cut into substrings; two vectors meet in a table where a substring
-is equal. Substrings grow with the logarithm of the number of vectors, and
-there are as many tables as the wanted recall at the similarity asks for.
+A bounded sample gives the mean and the principal axes of the unit vectors, and
+several rotations of the centred and projected vectors, each learned to bring them
+close to their signs. The signs are a binary code, cut into substrings; two vectors
+meet in a table where a substring is equal. Substrings grow with the logarithm of
+the number of vectors, and there are as many tables as the wanted recall at the
+similarity asks for, by the angle that two such vectors have as seen from the mean.
 
 In a bucket the original vectors decide, by cosine in double precision. A pair
 counts in the first table in which it meets, so each vector's links in all
@@ -42,17 +43,15 @@ TILE = 512
 
 
 class Codes:
-    """Rotations and the tables over their signs."""
+    """Rotations about the mean, and the tables over their signs."""
 
-    def __init__(self, sample: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int):
+    def __init__(self, mean: np.ndarray, rotation: np.ndarray, bits: int, tables: int):
         self.bits, self.tables = bits, tables
-        self.rotation = np.concatenate(rotations, axis=1)[:, : bits * tables]
-        #: Half of the sample lies on each side.
-        self.middle = np.median(sample @ self.rotation, axis=0)
+        self.mean, self.rotation = mean, rotation[:, : bits * tables]
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """One key for each vector and table."""
-        signs = (vectors @ self.rotation > self.middle).reshape(len(vectors), self.tables, self.bits)
+        signs = ((vectors - self.mean) @ self.rotation > 0).reshape(len(vectors), self.tables, self.bits)
         return signs @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
 
 
@@ -61,17 +60,23 @@ def learn(sample: np.ndarray, n: int, cosine: float = COSINE, recall: float = RE
     rng = np.random.default_rng(seed)
     width = sample.shape[1]
     bits = int(np.clip(math.ceil(math.log2(max(n, 2))) - 3, 4, 40))
-    same = 1 - math.acos(cosine) / math.pi
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
     v = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    mean = v.mean(axis=0)
+    v = v - mean
+    # Two vectors as far apart as the cosine allows, both as near to the mean as most vectors aren't.
+    near = max(float(np.quantile((v * v).sum(axis=1), 0.1)), 1e-9)
+    same = 1 - math.acos(max(-1.0, 1 - (1 - cosine) / near)) / math.pi
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]
+    v = v @ axes
     rotations = []
     for _ in range(math.ceil(bits * tables / width)):
         r = np.linalg.qr(rng.standard_normal((width, width)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = w.T @ u.T
-        rotations.append(r)
-    return Codes(v, rotations, bits, tables)
+        rotations.append(axes @ r)
+    return Codes(mean, np.concatenate(rotations, axis=1), bits, tables)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -105,7 +110,9 @@ def _keyed(codes: Codes):
                 continue
             keys = codes.keys(_unit(_matrix(b.column(1))))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, codes.tables), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], names=["id", "vector", "copies", "keys"])
+            # What goes to each table: as many bytes a key as its bits need.
+            packed = keys.astype("<i8").view(np.uint8).reshape(len(keys), codes.tables, 8)[:, :, : -(-codes.bits // 8)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists, pa.array([p.tobytes() for p in packed], pa.binary())], names=["id", "vector", "copies", "keys", "code"])
 
     return run
 
@@ -124,8 +131,8 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _tiles(cosine: float):
-    """Links within tiles: rows (table, key, i, j, side, id, copies, vector, keys), tiles in a row."""
+def _tiles(cosine: float, tables: int):
+    """Links within tiles: rows (table, key, i, j, side, id, copies, vector, code), tiles in a row."""
 
     def tile(table: int, same: bool, left: tuple, right: tuple) -> list[np.ndarray]:
         (ia, ca, va, ka), (ib, cb, vb, kb) = left, right
@@ -133,7 +140,7 @@ def _tiles(cosine: float):
         close = cos >= cosine
         if table:
             a, b = np.nonzero(close)
-            close[a, b] = (ka[a, :table] != kb[b, :table]).all(axis=1)
+            close[a, b] = (ka[a, :table] != kb[b, :table]).any(axis=2).all(axis=1)
         if same:
             np.fill_diagonal(close, False)
         # Each vector's count, and the smallest id of its component in the tile, so that every link of the tile stays in; both ends of a link in a tile of two blocks.
@@ -165,7 +172,7 @@ def _tiles(cosine: float):
                 if e - s < 2:
                     continue
                 v = _unit(_matrix(t.column("vector").slice(s, e - s).combine_chunks()))
-                k_ = t.column("keys").slice(s, e - s).combine_chunks().flatten().to_numpy().reshape(e - s, -1)
+                k_ = np.frombuffer(b"".join(t.column("code").slice(s, e - s).to_pylist()), dtype=np.uint8).reshape(e - s, tables, -1)
                 part = lambda x: (ids[s:e][x], copies[s:e][x], v[x], k_[x])  # noqa: B023, E731
                 same = bool(k[2, s] == k[3, s])
                 one = np.ones(e - s, dtype=bool)
@@ -200,7 +207,7 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     drawn = same.orderBy(F.xxhash64("same")).limit(sample).select("vector").collect()
     codes = learn(np.stack([np.frombuffer(r["vector"], dtype=np.float64) for r in drawn]), same.count(), cosine, recall)
     # Keys are computed once for each vector: in another batch a sign could round the other way.
-    coded = scratch.keep(same.select("id", "vector", "copies").mapInArrow(_keyed(codes), "id long, vector binary, copies long, keys array<long>"), "keys")
+    coded = scratch.keep(same.select("id", "vector", "copies").mapInArrow(_keyed(codes), "id long, vector binary, copies long, keys array<long>, code binary"), "keys")
     keyed = coded.select("id", F.posexplode("keys").alias("table", "key"))
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
     placed = keyed.join(sizes, ["table", "key"]).withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
@@ -208,9 +215,9 @@ def near_vectors(rows: DataFrame, id: str = "vec_id", vector: str = "embedding",
     # A block is the left or right side of a tile with each block, and both sides of its own.
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = placed.select("table", "key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    tiles = placed.join(coded, "id").select("table", "key", "i", "j", "side", "id", "copies", "vector", "keys")
+    tiles = placed.join(coded.drop("keys"), "id").select("table", "key", "i", "j", "side", "id", "copies", "vector", "code")
     tiles = tiles.repartition("table", "key", "i", "j").sortWithinPartitions("table", "key", "i", "j")
-    links = scratch.keep(tiles.mapInArrow(_tiles(cosine), "id long, n long, least long").groupBy("id", "least").agg(F.sum("n").alias("n")), "links")
+    links = scratch.keep(tiles.mapInArrow(_tiles(cosine, codes.tables), "id long, n long, least long").groupBy("id", "least").agg(F.sum("n").alias("n")), "links")
     labels = components(links.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
     of_text = same.join(links.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     of_text = of_text.select("same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
