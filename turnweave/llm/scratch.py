@@ -23,7 +23,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = LOCAL_DIR
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._forget)
 
