@@ -106,11 +106,6 @@ def w(word, start=None, end=None):
     return {"word": word} if start is None else {"word": word, "start": start, "end": end}
 
 
-def test_new_words_share_a_gap():
-    out = time_words([w("a", 0.0, 1.0), w("x"), w("y"), w("b", 2.0, 3.0)], 0.0, 3.0)
-    assert [(x["start"], x["end"]) for x in out] == [(0.0, 1.0), (1.0, 1.5), (1.5, 2.0), (2.0, 3.0)]
-
-
 def timed(spark, words, low, high):
     kind = "w array<struct<word:string,start:double,end:double>>, low double, high double"
     df = spark.createDataFrame([([(x["word"], x.get("start"), x.get("end")) for x in words], low, high)], kind)
@@ -121,6 +116,11 @@ def lengths(words):
     return [round(x.end - x.start, 6) for x in words]
 
 
+def test_new_words_share_a_gap(spark):
+    out = timed(spark, [w("a", 0.0, 1.0), w("x"), w("y"), w("b", 2.0, 3.0)], 0.0, 3.0)
+    assert [(x.start, x.end) for x in out] == [(0.0, 1.0), (1.0, 1.5), (1.5, 2.0), (2.0, 3.0)]
+
+
 def test_new_words_borrow_from_both_sides(spark):
     assert lengths(timed(spark, [w("a", 0.0, 1.0), w("x"), w("b", 1.0, 2.0)], 0.0, 2.0)) == [0.95, 0.1, 0.95]
     assert lengths(timed(spark, [w("a", 0.0, 0.1), w("x"), w("b", 0.1, 2.0)], 0.0, 2.0)) == [0.1, 0.1, 1.8]
