@@ -82,7 +82,7 @@ def test_word_distance_and_chains():
 
     for _ in range(300):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
-        assert chaining._distance(a, b) == plain(a, b)
+        assert chaining.edit_distance(a, b) == plain(a, b)
     segments = [(10, 110, 4, 4), (20, 121, 4, 4), (30, 130, 4, 4), (15, 500, 4, 4), (40, 90, 4, 4), (50, 151, 4, 4), (52, 156, 4, 4)]
     assert chaining.chains(segments)[0] == [0, 1, 2, 5]
 
