@@ -1,6 +1,8 @@
 """Folds, intervals, paths, writers, metrics, sources and streams against models."""
 
+import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -334,3 +336,26 @@ def test_a_job_with_fake_models(spark):
     words = jobs.align_words(asked, {"h": 1, "i": 2, "|": 3, "y": 4}, "sharp").orderBy("word_idx").collect()
     assert [r.word for r in words] == ["hi", "yo"]
     assert all(200 <= r.start_ms < r.end_ms <= 800 for r in words) and words[0].end_ms <= words[1].start_ms
+
+
+def test_best_paths_equal_all_paths_tried():
+    """Every choice of frames at which a path moves on, by its sum of log probabilities."""
+    rng = random.Random(3)
+
+    def plain(emission, tokens):
+        sums = []
+        for at in itertools.combinations(range(len(emission)), len(tokens)):
+            chosen = dict(zip(at, tokens))
+            value = lambda t: emission[t][0] if t not in chosen else max(emission[t][1:]) if chosen[t] < 0 else emission[t][chosen[t]]  # noqa: B023, E731
+            sums.append(sum(value(t) for t in range(at[-1] + 1)))
+        return max(sums, default=None)
+
+    for _ in range(80):
+        frames, n = rng.randint(1, 7), rng.randint(1, 3)
+        emission = np.array([[-rng.random() * 3 for _ in range(4)] for _ in range(frames)])
+        tokens = [rng.choice([1, 2, 3, -1]) for _ in range(n)]
+        path, want = ctc.best_path(emission, tokens), plain(emission, tokens)
+        assert (path is None) == (want is None)
+        if path:
+            assert [p[1] for p in path] == list(range(path[0][1], path[-1][1] + 1)) and sorted({p[0] for p in path}) == list(range(n))
+            assert sum(math.log(p[2]) for p in path) + sum(emission[t][0] for t in range(path[0][1])) == pytest.approx(want)

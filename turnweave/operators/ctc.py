@@ -23,18 +23,23 @@ def best_path(emission: np.ndarray, tokens: list[int], blank: int = 0) -> list[t
         emission = np.concatenate([emission, rest.max(axis=1, keepdims=True)], axis=1)
     tokens = np.array([emission.shape[1] - 1 if k == -1 else k for k in tokens])
     stay, move = emission[:, blank], emission[:, tokens]
-    best = np.full((frames + 1, n + 1), -np.inf)
-    best[0, 0] = 0.0
-    best[1:, 0] = np.cumsum(stay)
-    best[max(frames + 1 - n, 0) :, 0] = np.inf  # a path can't begin so late
-    best[0, 1:] = -np.inf
+    # Scores of the prefixes of the tokens after each frame; of each step only whether it moved on is kept.
+    score = np.full(n + 1, -np.inf)
+    score[0] = 0.0 if n <= frames else np.inf
+    moved = np.empty((frames, n), dtype=bool)
+    whole = np.full(frames + 1, -np.inf)
     for t in range(frames):
-        best[t + 1, 1:] = np.maximum(best[t, 1:] + stay[t], best[t, :-1] + move[t])
+        waits, moves = score[1:] + stay[t], score[:-1] + move[t]
+        moved[t] = moves > waits
+        score[1:] = np.where(moved[t], moves, waits)
+        # A path can't begin so late that the tokens don't fit in any more.
+        score[0] = score[0] + stay[t] if t < frames - n else np.inf
+        whole[t + 1] = score[n]
     path, j = [], n
-    for t in range(int(np.argmax(best[:, n])), 0, -1):
-        moved = best[t - 1, j - 1] + move[t - 1, j - 1] > best[t - 1, j] + stay[t - 1]
-        path.append((j - 1, t - 1, float(np.exp(move[t - 1, j - 1] if moved else stay[t - 1]))))
-        j -= int(moved)
+    for t in reversed(range(int(np.argmax(whole)))):
+        on = moved[t, j - 1]
+        path.append((j - 1, t, float(np.exp((move[t, j - 1] if on else stay[t])))))
+        j -= int(on)
         if j == 0:
             return path[::-1]
     return None

@@ -282,6 +282,17 @@ def f10_borrowed(s, d):
     return interpolate.time_turns(rows).select("recording_id", F.col("turn").alias("seg_idx"), "word_idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
+@query("f11_paths")
+def f11_paths(s, d):
+    """Each recording's segments as frames over five symbols, and the best path of a few tokens; tested against all paths."""
+    from ..operators import ctc
+
+    frame = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: -((F.col("event_id") * (k + 3) * 31 + k * 17) % 97).cast("double") / 50)
+    rows = i.segments(s, d).groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", frame.alias("f")))), lambda x: x["f"]).alias("emission"))
+    tokens = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size("emission") - 1, F.lit(4)), F.lit(1))), lambda k: F.when((F.col("recording_id") + k) % 7 == 0, -1).otherwise((F.col("recording_id") * k) % 4 + 1).cast("int"))
+    return ctc.paths(rows.select(F.col("recording_id").alias("id"), "emission", tokens.alias("tokens"))).select("id", "step", "token", "frame", F.round("score", 9).alias("score"))
+
+
 @query("m9_realigned")
 def m9_realigned(s, d):
     """M9: texts of segments with a word put in and one taken out, timed anew; longest common runs aren't SQL's to find."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from .files import tree
 
 
 def _listed(spark: SparkSession, store: str) -> DataFrame:
-    if not os.path.isdir(f"{store}/objects") or not os.listdir(f"{store}/objects"):
+    files, path = objects.opened(f"{store}/objects")
+    if not files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         return spark.createDataFrame([], "hash string, size bigint")
     spark.dataSource.register(objects.Listing)
     return spark.read.format("objects").option("path", f"{store}/objects").load()
@@ -33,8 +36,9 @@ def push(spark: SparkSession, folder: str, store: str) -> dict[str, int]:
     gone = manifest.orphans(_listed(spark, store), local)
 
     def remove(rows: Iterator[Row]) -> None:
+        files, path = objects.opened(f"{store}/objects")
         for r in rows:
-            os.remove(os.path.join(f"{store}/objects", r["hash"]))
+            files.delete_file(f"{path}/{r['hash']}")
 
     gone.foreachPartition(remove)
     return {k: counts.get(k, 0) for k in ("upload", "skip", "collect")}
@@ -49,18 +53,22 @@ def restore(spark: SparkSession, store: str, folder: str, busy: bool = False) ->
         raise ValueError("nothing to restore")
 
     def fetch(rows: Iterator[Row]) -> None:
+        kept, at = objects.opened(f"{store}/objects")
+        files, path = objects.opened(folder)
         for r in rows:
-            target = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(os.path.join(f"{store}/objects", r["hash"]), "rb") as source, open(f"{target}.tmp", "wb") as out:
-                out.write(source.read())
-            os.replace(f"{target}.tmp", target)
+            target = f"{path}/{r['path']}"
+            part = f"{target}.{uuid.uuid4().hex}.tmp"
+            files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with kept.open_input_stream(f"{at}/{r['hash']}") as source, files.open_output_stream(part) as out:
+                shutil.copyfileobj(source, out)
+            files.move(part, target)
 
     wanted.select("path", "hash").foreachPartition(fetch)
 
     def remove(rows: Iterator[Row]) -> None:
+        files, path = objects.opened(folder)
         for r in rows:
-            os.remove(os.path.join(folder, r["path"]))
+            files.delete_file(f"{path}/{r['path']}")
 
     manifest.stray(tree(spark, folder), wanted).select("path").foreachPartition(remove)
     return wanted.count()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -33,25 +35,35 @@ class _Reader(DataSourceReader):
         self.path, self.page = path, page
 
     def partitions(self) -> list[InputPartition]:
-        names = sorted(n for n in os.listdir(self.path) if not n.endswith(".tmp"))
+        """Pages of names; sizes are asked for by the tasks."""
+        store, folder = opened(self.path)
+        names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file and not f.base_name.endswith(".tmp"))
         return [_Page(names[i : i + self.page]) for i in range(0, len(names), self.page)]
 
     def read(self, partition: _Page) -> Iterator[Row]:
-        for n in partition.names:
-            yield Row(hash=n, size=os.path.getsize(os.path.join(self.path, n)))
+        store, folder = opened(self.path)
+        for f in store.get_file_info([f"{folder}/{n}" for n in partition.names]):
+            yield Row(hash=f.base_name, size=f.size)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, which all machines must reach, and the path in it."""
+    store, folder = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return store, folder.rstrip("/")
 
 
 def put(files: DataFrame, folder: str) -> None:
     """Store rows (hash, content) under their hashes, each at once or not at all; what is there stays."""
 
     def write(rows: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
+        store, path = opened(folder)
+        store.create_dir(path, recursive=True)
         for r in rows:
-            target = os.path.join(folder, r["hash"])
-            if not os.path.exists(target):
-                part = f"{target}.{os.getpid()}.tmp"
-                with open(part, "wb") as f:
+            target = f"{path}/{r['hash']}"
+            if store.get_file_info(target).type == fs.FileType.NotFound:
+                part = f"{target}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(part) as f:
                     f.write(r["content"])
-                os.replace(part, target)
+                store.move(part, target)
 
     files.select("hash", "content").dropDuplicates(["hash"]).foreachPartition(write)
