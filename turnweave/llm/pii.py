@@ -198,7 +198,7 @@ def labelled(docs: DataFrame, doc: str, text: str, sample: int = SAMPLE, made: i
     broken = chosen.select("id", "text", F.explode(candidates(F.col("text"), {k: F.col(f"b_{k}") for k in KINDS})).alias("c")).where(_broken(F.col("c"), F.col("text")))
     found = own.unionByName(broken.select(F.xxhash64("id", "c.start").alias("id"), "c", F.lit(0.0).alias("label"))).withColumn("made", F.lit(False))
     rows = shown.unionByName(found).select((F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("held"), "made", F.col("c.kind").alias("kind"), F.col("c.features").alias("features"), "label")
-    rows = Scratch(spark, "pii").keep(rows, "labelled")
+    rows = Scratch(spark, "pii").keep(rows, "labelled").coalesce(8)  # a few thousand rows, which each tree reads again
     # What the sample shows weighs a quarter of the generated examples at most, however large it is.
     total = {r["made"]: r["count"] for r in rows.groupBy("made").count().collect()}
     weight = min(1.0, total.get(True, 0) / (4.0 * max(total.get(False, 0), 1)))
