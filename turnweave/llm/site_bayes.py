@@ -212,9 +212,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     if model is None:
         return docs.select(*carry, *(F.lit(1.0).alias(c) for c in ("p_doc", "p_site", "posterior")))
     scratch = Scratch(docs.sparkSession, "site-bayes")
-    own = docs.select(F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), F.col(text).alias("_text"), *carry)
+    read = text if text in carry else "_text"
+    own = docs.select(F.col(host).cast("string").alias("_host"), F.col(path).cast("string").alias("_path"), *([] if text in carry else [F.col(text).alias(read)]), *carry)
     # Texts are read once: what they say is kept with the columns that are returned.
-    scored = scratch.keep(_logits(own, model, "_text").drop("_text").withColumn("_p", 1 / (1 + F.exp(-F.col("_logit")))), "scored")
+    scored = scratch.keep(_logits(own, model, read).drop("_text").withColumn("_p", 1 / (1 + F.exp(-F.col("_logit")))), "scored")
     site = scratch.keep(sites(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_p").alias("p"))), "sites")
     site = site.drop("p_site").withColumnsRenamed({c: f"_s_{c}" for c in site.columns if c != "p_site"})
     near = F.broadcast(site) if site.count() <= FEW_SITES else site
