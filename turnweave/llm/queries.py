@@ -76,6 +76,12 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 _FAIR_MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -230,9 +236,42 @@ FROM d LEFT JOIN joined USING (r)
 """
 
 
+#: Each filter of each order judged by comparing all documents of a part with all orders.
+_FILTERS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lowest AS (SELECT text, min(doc_id) AS lowest FROM d GROUP BY text
+), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1
+), m AS (
+  SELECT part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN doc_id > lowest THEN 16 ELSE 0 END) AS mask,
+         doc_id IN (SELECT doc_id FROM good WHERE doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM toxic WHERE doc_id IS NOT NULL) AS toxic
+  FROM d JOIN lowest USING (text)
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM m GROUP BY part, mask
+), letter(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before FROM orders, range(1, 6) r(step)
+), rows_ AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(g) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(t) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM c, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM rows_
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL, "op9_license_index": _licences_sql(), "op10_linked_secrets": _secrets_sql()}
+    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL, "op9_license_index": _licences_sql(), "op10_linked_secrets": _secrets_sql(), "op13_filter_audit": _FILTERS_SQL}
