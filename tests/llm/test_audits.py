@@ -1,9 +1,12 @@
-"""Audits of filters against plain counting."""
+"""Audits of filters and sources against plain counting."""
 
 import itertools
+import random
 import re
+from collections import Counter
 
 import pytest
+from turnweave.llm import divergence as dv
 from turnweave.llm.filter_audit import LETTERS, filter_audit, plain_changes
 
 
@@ -71,3 +74,52 @@ def test_filter_audit_of_one_text_in_all_rows(spark):
     assert found["0", "EABCD", 1] == [1, 999, 0, 0, 0, 0, found["0", "EABCD", 1][-1]]
     assert found["1", "EABCD", 1][:2] == [0, 1000]
     assert found["0", "ABCDE", 1][:2] == [0, 1000] and found["0", "ABCDE", 1][4] == 1
+
+
+def differences(docs, documents, top):
+    """Every pair of sources term by term, in whole numbers."""
+    tokens = [(lang or "", source or "", Counter(re.findall(rb"[a-z\x80-\xff]+", bytes((text or "").encode()).lower()))) for text, lang, source in docs]
+    out = set()
+    for lang in {x[0] for x in tokens}:
+        own = [x for x in tokens if x[0] == lang]
+        total, docs_of = Counter(), Counter()
+        for *_, c in own:
+            total.update(c)
+            docs_of.update(c.keys())
+        kept = [t for t in total if docs_of[t] >= documents]
+        count = {s: Counter() for s in {x[1] for x in own}}
+        for _, s, c in own:
+            count[s].update(c)
+        v, n = len(kept), sum(total[t] for t in kept)
+        whole = {s: sum(c[t] for t in kept) + 5 * v for s, c in count.items()}
+        p = {s: {t: 1 + 10**9 * (c[t] + 5) // whole[s] for t in kept} for s, c in count.items()}
+        q = {t: 1 + 10**9 * (total[t] + 5) // (n + 5 * v) for t in kept}
+        for s in count:
+            pairs = sorted((-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in count if o != s)
+            terms = sorted((q[t] - p[s][t], t) for t in kept if count[s][t] and p[s][t] > q[t])[:top]
+            out |= {(lang, s, part, item.decode(), -value, rank + 1) for part, rows in (("pair", pairs), ("term", terms)) for rank, (value, item) in enumerate(rows)}
+    return out
+
+
+@pytest.mark.parametrize(("block", "chunk", "slab", "piece"), [(32, 1024, 16, 1 << 22), (2, 3, 2, 64), (1, 1, 1, 7)])
+def test_divergence_equals_plain_counting(spark, monkeypatch, block, chunk, slab, piece):
+    monkeypatch.setattr(dv, "SLAB", slab)
+    monkeypatch.setattr(dv, "PIECE", piece)
+    monkeypatch.setattr(dv, "GATHERED", 20)
+    rng = random.Random(5)
+    terms = [f"t{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(25)] + ["é", "ÉA", "Ab", "aB", "日本"]
+    docs = [(rng.choice((" ", "1", "-\n")).join(rng.choices(terms[: rng.randint(3, 30)], k=rng.randint(0, 40))), rng.choice(("en", "de", None)), rng.choice(("a", "b", "c", "ä", "", None, "f"))) for _ in range(150)]
+    docs += [(None, "en", "only null"), ("rare words alone", "fr", "x"), ("more rare words", "fr", "y"), ("", "fr", None), ("one", "it", "one")] + [docs[0]] * 3 + [("long" * 50_000 + " tail", "en", "a")]
+    frame = spark.createDataFrame([(*d, 1, "x") for d in docs], "text string, lang string, source string, n int, term string")
+    found = [tuple(r) for r in dv.divergence(frame, documents=4, top=6, block=block, chunk=chunk).collect()]
+    assert len(found) == len(set(found)) and set(found) == differences(docs, 4, 6)
+    assert dv.divergence(frame.limit(0)).count() == 0
+
+
+def test_shares_are_exact_for_large_counts(spark):
+    rng = random.Random(6)
+    rows = [(c := rng.randrange(10**15), c + rng.randrange(1, 10**15)) for _ in range(200)] + [(1, 1), (7, 10**12)]
+    want = [1 + 10**9 * c // w for c, w in rows]
+    counts, wholes = zip(*rows, strict=True)
+    assert dv.shares(dv.np.array(counts), dv.np.array(wholes)).tolist() == want
+    assert [r.p for r in spark.createDataFrame(rows, "c long, w long").select(dv._share("c", "w").alias("p")).collect()] == want

@@ -76,6 +76,12 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(_documents(spark, sf_dir))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import filter_audit
 
@@ -236,6 +242,34 @@ FROM d LEFT JOIN joined USING (r)
 """
 
 
+#: Shares of all kept terms in all groups, and every pair of sources term by term.
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), w AS (SELECT r, lang, source, unnest(t) AS term FROM d
+), counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL
+), kept AS (SELECT lang, term, sum(n) AS total FROM counts GROUP BY lang, term HAVING sum(docs) >= 30
+), g AS (SELECT DISTINCT lang, source FROM d
+), v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT c.lang, source, term, c.n, CAST(1 + (1000000000::HUGEINT * (c.n + 5)) // (sum(c.n) OVER (PARTITION BY c.lang, source) + 5 * v.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (c.total + 5)) // (v.n + 5 * v.v) AS BIGINT) AS q
+  FROM c JOIN v ON v.lang = c.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+), all_ AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM all_
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 #: Each filter of each order judged by comparing all documents of a part with all orders.
 _FILTERS_SQL = r"""
 WITH d AS (
@@ -274,4 +308,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL, "op9_license_index": _licences_sql(), "op10_linked_secrets": _secrets_sql(), "op13_filter_audit": _FILTERS_SQL}
+    return {"op3_fair_mix": _FAIR_MIX_SQL, "op6_bag_minhash": _NEAR_SQL, "op7_itq": _VECTORS_SQL, "op9_license_index": _licences_sql(), "op10_linked_secrets": _secrets_sql(), "op12_source_divergence": _DIVERGENCE_SQL, "op13_filter_audit": _FILTERS_SQL}
