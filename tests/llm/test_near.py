@@ -261,3 +261,29 @@ def test_leaks_of_very_long_texts_and_other_kinds_of_ids(spark):
     got = sorted((str(r.doc_id), r.item_id, r.distance) for r in edit_match.find_leaks(docs, items).collect())
     assert got == [("2024-01-01", 1.5, 1), ("None", 1.5, 0)]
     assert edit_match.without_leaks(docs, items).count() == 0
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.96, 0.999])
+def test_vectors_about_a_common_direction(spark, mean):
+    """Recall against brute force however close all vectors lie, with few tables."""
+    rng = np.random.default_rng(3)
+    width, n = 64, 600
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = np.eye(width)[0] * mean**0.5 + unit(rng.standard_normal((n, width))) * (1 - mean) ** 0.5
+    near = unit(base[: n // 2]) + 0.42 * unit(rng.standard_normal((n // 2, width)))
+    v = np.concatenate([base, near])
+    cos = unit(v) @ unit(v).T >= 0.9
+    np.fill_diagonal(cos, False)
+    assert itq.learn(v, 10**6).tables <= itq.TABLES
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.n_links for r in itq.near_vectors(rows).collect()}
+    assert all(found[i] <= cos[i].sum() for i in found)
+    assert sum(found.values()) >= 0.9 * cos.sum()
+
+
+def test_equal_close_and_single_vectors_are_one_component(spark):
+    rng = np.random.default_rng(4)
+    for v in ([[1.0, 2.0]] * 5, [[3.0] * 8], (1 + 0.01 * rng.standard_normal((40, 16))).tolist()):
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        found = itq.near_vectors(rows).collect()
+        assert [(r.n_links, r.component_id) for r in found] == [(len(v) - 1, 0)] * len(v)

@@ -6,6 +6,9 @@ close to their signs. The signs are a binary code, cut into substrings; two vect
 meet in a table where a substring is equal. Substrings grow with the logarithm of
 the number of vectors, and there are as many tables as the wanted recall at the
 similarity asks for, by the angle that two such vectors have as seen from the mean.
+The nearer all vectors lie to the mean, the less a bit tells of a pair; then
+substrings are cut short so that ``TABLES`` tables still have the recall, down to
+none: vectors that are all similar share one bucket, which is compared in tiles.
 
 In a bucket the original vectors decide, by cosine in double precision. A pair
 counts in the first table in which it meets, so each vector's links in all
@@ -38,6 +41,8 @@ COSINE = 0.9
 RECALL = 0.97
 #: Vectors that rotations are learned from.
 SAMPLE = 5_000
+#: Most tables; where the similarity asks for more, substrings get shorter and buckets larger instead.
+TABLES = 96
 #: Rows of one side of a tile.
 TILE = 512
 
@@ -55,6 +60,16 @@ class Codes:
         return signs @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
 
 
+def _layout(same: float, bits: int, recall: float, most: int = TABLES) -> tuple[int, int]:
+    """Bits of a substring, at most ``bits``, and tables, where a pair's bit is equal with probability ``same``."""
+    while bits:
+        missed = math.log1p(-min(same**bits, 1 - 1e-12))
+        if missed < 0 and (tables := math.ceil(math.log(1 - recall) / missed)) <= most:
+            return bits, tables
+        bits -= 1
+    return 0, 1
+
+
 def learn(sample: np.ndarray, n: int, cosine: float = COSINE, recall: float = RECALL, rounds: int = 20, seed: int = 7) -> Codes:
     """ITQ from ``sample``, for ``n`` vectors; further rotations start from other random ones."""
     rng = np.random.default_rng(seed)
@@ -66,11 +81,11 @@ def learn(sample: np.ndarray, n: int, cosine: float = COSINE, recall: float = RE
     # Two vectors as far apart as the cosine allows, both as near to the mean as most vectors aren't.
     near = max(float(np.quantile((v * v).sum(axis=1), 0.1)), 1e-9)
     same = 1 - math.acos(max(-1.0, 1 - (1 - cosine) / near)) / math.pi
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
+    bits, tables = _layout(same, bits, recall)
     axes = np.linalg.eigh(v.T @ v)[1][:, ::-1]
     v = v @ axes
     rotations = []
-    for _ in range(math.ceil(bits * tables / width)):
+    for _ in range(max(1, math.ceil(bits * tables / width))):
         r = np.linalg.qr(rng.standard_normal((width, width)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
@@ -111,7 +126,7 @@ def _keyed(codes: Codes):
             keys = codes.keys(_unit(_matrix(b.column(1))))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, codes.tables), pa.int32()), pa.array(keys.ravel()))
             # What goes to each table: as many bytes a key as its bits need.
-            packed = keys.astype("<i8").view(np.uint8).reshape(len(keys), codes.tables, 8)[:, :, : -(-codes.bits // 8)]
+            packed = keys.astype("<i8").view(np.uint8).reshape(len(keys), codes.tables, 8)[:, :, : max(1, -(-codes.bits // 8))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists, pa.array([p.tobytes() for p in packed], pa.binary())], names=["id", "vector", "copies", "keys", "code"])
 
     return run
