@@ -105,6 +105,12 @@ def test_model_is_measured_on_held_out_candidates_and_uses_context(spark, sf_dir
         assert sum(taken) >= 0.95 * len(taken) and sum(taken) >= 0.9 * sum(label for label, _ in mine), kind
 
 
+def test_model_is_the_same_in_any_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, other = (pii.fit(docs.repartition(n), "doc_id", "text") for n in (1, 7))
+    assert one.trees == other.trees and one.thresholds == other.thresholds
+
+
 def test_redaction(docs):
     found = pii.find_pii(docs)
     red = {r.doc_id: r.red for r in found.select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("red")).collect()}

@@ -9,6 +9,8 @@ contexts, and the sample's numbers that break a kind's check. On the other half
 of these, a kind's threshold is the least score above which nearly all candidates
 are good; where a kind has few, the share of all kinds counts in. The trees become
 one SQL expression, so that one pass over the texts finds, scores and redacts.
+Labelled candidates are sorted into one task for the fit (a bounded sample), so a
+table gives the same trees on any number of cores and in any partitioning.
 
 Defined results: null text is empty; repeated rows count each; a table without
 personal data still has a model, from the generated examples; of accepted
@@ -45,6 +47,8 @@ WIDE = {
 SAMPLE = 20_000
 #: Generated examples of each kind.
 EXAMPLES = 3_000
+#: Most labelled candidates that a model is fitted on and measured with, chosen by a hash of what they are.
+LABELLED = 200_000
 #: Share of good ones among the candidates above a threshold.
 PRECISION = 0.98
 #: Candidates of all kinds that count with a kind's own when its threshold is set.
@@ -198,7 +202,9 @@ def labelled(docs: DataFrame, doc: str, text: str, sample: int = SAMPLE, made: i
     broken = chosen.select("id", "text", F.explode(candidates(F.col("text"), {k: F.col(f"b_{k}") for k in KINDS})).alias("c")).where(_broken(F.col("c"), F.col("text")))
     found = own.unionByName(broken.select(F.xxhash64("id", "c.start").alias("id"), "c", F.lit(0.0).alias("label"))).withColumn("made", F.lit(False))
     rows = shown.unionByName(found).select((F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == 0).alias("held"), "made", F.col("c.kind").alias("kind"), F.col("c.features").alias("features"), "label")
-    rows = Scratch(spark, "pii").keep(rows, "labelled").coalesce(8)  # a few thousand rows, which each tree reads again
+    # The trees must not depend on how many cores there are: these rows go to one task in one order, up to a bound.
+    rows = Scratch(spark, "pii").keep(rows.orderBy(F.xxhash64("kind", "features", "label"), "kind", "features", "label", "held", "made").limit(LABELLED), "labelled")
+    rows = rows.repartition(1).sortWithinPartitions("kind", "features", "label", "held", "made")
     # What the sample shows weighs a quarter of the generated examples at most, however large it is.
     total = {r["made"]: r["count"] for r in rows.groupBy("made").count().collect()}
     weight = min(1.0, total.get(True, 0) / (4.0 * max(total.get(False, 0), 1)))

@@ -53,6 +53,12 @@ def _checked(number: Column) -> Column:
     return F.filter(whole, lambda n: luhn(n))[0]
 
 
+def _unchecked(number: Column, key: str) -> Column:
+    """A number with a last digit that fails the Luhn check: what breaks the check is no card, however it is spelled."""
+    whole = F.transform(F.array(*(F.lit(str(d)) for d in range(10))), lambda d: F.concat(number, d))
+    return F.get(F.filter(whole, lambda n: ~luhn(n)), _draw(key, 9).cast("int"))
+
+
 def respelled(kind: str, text: Column) -> Column:
     """A span of the exact pattern, written in another way that candidates cover."""
     d = digits(text)
@@ -104,9 +110,11 @@ def _bad(kind: str) -> list[Column]:
         small = [_between(f"small{i}", 0, 12) for i in range(4)]
         return [F.concat_ws(" . ", *small), F.concat_ws(". ", *small), F.concat_ws(".", small[0], small[1], n("w", 3), n("z", 3)), F.concat_ws(" . ", n("k", 3), n("l", 3), n("m", 3), n("o", 3)), F.concat_ws(" .", *small)]
     if kind == "card":
+        wrong = _unchecked(F.concat(n("s", 4), n("t", 4), n("u", 4), n("v", 3)), "wrong")
+        fours = [F.substring(wrong, 1 + 4 * i, 4) for i in range(4)]
         return [
             F.concat(F.lit("978-"), n("g", 1), F.lit("-"), n("h", 2), F.lit("-"), n("k", 6), F.lit("-"), n("l", 1)), n("m", 15), F.concat(n("o", 1), F.lit("."), n("p", 14)), F.concat(year, month, day, F.lit(" "), n("r", 8)),
-            F.concat_ws("-", n("s", 4), n("t", 4), n("u", 4), n("v", 4)), F.concat_ws(".", n("s", 4), n("t", 4), n("u", 4), n("v", 4)), F.concat_ws("/", n("s", 4), n("t", 4), n("u", 4), n("v", 4)),
+            *(F.concat_ws(mark, *fours) for mark in ("-", ".", "/")),
         ]
     hour, minute = _two("hour", 0, 23), _two("minute", 0, 59)
     return [
