@@ -76,6 +76,12 @@ def op10_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in digests(found).items()))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import tree_scores
+
+    return tree_scores(_documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
