@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import Run, scan
+
+#: Frames of a bin, and milliseconds of a bin of regions.
+FRAMES, SPANS_MS = 4096, 3_600_000
+
 
 def ranges(items: Column, first: Column, cut, carry) -> Column:
     """(from, to) ranges, to exclusive, into which a fold cuts a list before each item that ``cut(state, item)`` holds for.
@@ -54,29 +58,78 @@ def batches(texts: DataFrame, most: int = 100, chars: int = 25_000) -> DataFrame
     return placed.select("doc", "x.pos", F.col("batch").cast("long").alias("batch"), F.col("place").cast("long").alias("place"))
 
 
-def regions(scores: DataFrame, onset: float = 0.5, offset: float = 0.363) -> DataFrame:
+def regions(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, width: int = FRAMES) -> DataFrame:
     """Active regions of a score series, without a longest duration: on above ``onset``, off below ``offset``.
 
     scores: recording_id, frame, t_ms, score. The state at a frame is that of the
-    last frame that decides it, so no loop is needed.
+    last frame that decides it, carried from bin to bin of ``width`` frames, so neither a loop
+    nor a task of a whole recording is needed.
     """
-    order = W.partitionBy("recording_id").orderBy("frame")
     decides = F.when(F.col("score") > onset, 1).when(F.col("score") < offset, 0)
-    rows = scores.withColumn("on", F.coalesce(F.last(decides, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
-    rows = rows.withColumn("was", F.coalesce(F.lag("on").over(order), F.lit(0)))
-    rows = rows.withColumn("region", F.sum(((F.col("on") == 1) & (F.col("was") == 0)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = scan(scores, ["recording_id"], ["frame"], width, on=Run("last", decides), was=Run("last", decides, own=False)).fillna(0, ["on", "was"])
+    rows = scan(rows, ["recording_id"], ["frame"], width, region=Run("sum", ((F.col("on") == 1) & (F.col("was") == 0)).cast("long")))
     inside = rows.where("on = 1 or was = 1")  # the frame that switches off ends its region
-    return inside.groupBy("recording_id", "region").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms")).withColumn("region", F.col("region").cast("long") - 1)
+    return inside.groupBy("recording_id", "region").agg(F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("end_ms")).withColumn("region", F.col("region") - 1)
+
 
+def _pieces(scores: DataFrame, onset: float, offset: float, max_ms: int, width: int) -> DataFrame:
+    """Parts of a recording in which regions don't depend on what came before: rows (recording_id, piece, frame, t_ms, score).
 
-def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_ms: int | None = None, min_on_ms: int = 0, min_off_ms: int = 0, pad_onset_ms: int = 0, pad_offset_ms: int = 0) -> DataFrame:
+    After two frames in a row below ``offset`` no region is open, whatever cuts there
+    were. If the next one is no longer than ``max_ms``, nothing cuts it, and the frame that ends it is
+    known: from there on all goes as from a recording's first frame. That frame ends one piece and heads the next.
+    All this holds where frames are evenly spaced (within half of the least step) and at most an eighteenth
+    of ``max_ms`` apart: then a cut, in the later half of a region, leaves less than ``max_ms`` of it.
+    Any other recording is one piece.
+    """
+    low, high = F.col("score") < offset, F.col("score") > onset
+    key = ["recording_id"]
+    rows = scan(scores, key, ["frame"], width, last=Run("last", F.struct("score", "t_ms"), own=False))
+    rows = rows.withColumn("gap", F.col("t_ms") - F.col("last.t_ms"))
+    uneven = (F.max("gap") * 18 > max_ms) | (F.max("gap") * 2 > F.min("gap") * 3)
+    coarse = rows.groupBy(*key).agg(uneven.alias("uneven")).where("uneven").select(F.col("recording_id").alias("coarse"), "uneven")
+    # What was decided last before a frame: nothing open for sure, or a frame that opens a region, with the time of the first such one.
+    quiet = low & (F.col("last.score") < offset)
+    rows = scan(rows, key, ["frame"], width, quiet=Run("last", F.when(quiet, F.col("frame")), own=False), ended=Run("last", F.when(low, F.col("frame")), own=False), loud=Run("last", F.when(high, F.col("frame")), own=False))
+    opens = high & F.col("quiet").isNotNull() & (F.coalesce("loud", F.lit(-1).cast("long")) < F.col("quiet"))
+    rows = scan(rows, key, ["frame"], width, opened=Run("last", F.when(opens, F.struct("frame", "t_ms")), own=False))
+    known = low & F.col("opened").isNotNull() & (F.coalesce("ended", F.lit(-1).cast("long")) < F.col("opened.frame")) & (F.col("t_ms") - F.col("opened.t_ms") <= max_ms)
+    rows = rows.join(coarse, rows["recording_id"].eqNullSafe(F.col("coarse")), "left").withColumn("sync", known & F.col("uneven").isNull()).drop("coarse", "uneven")
+    rows = scan(rows, key, ["frame"], width, piece=Run("last", F.when(F.col("sync"), F.col("frame")), own=False))
+    both = F.when(F.col("sync"), F.array("piece", "frame")).otherwise(F.array("piece"))
+    return rows.withColumn("piece", F.explode(both)).select("recording_id", "piece", "frame", "t_ms", "score")
+
+
+def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_ms: int | None = None, min_on_ms: int = 0, min_off_ms: int = 0, pad_onset_ms: int = 0, pad_offset_ms: int = 0, width: int = FRAMES) -> DataFrame:
     """As ``regions``, and a region longer than ``max_ms`` is cut where its score is least, in the later half of it.
 
     A frame that causes a cut can't also end the region, and a region's scores
     begin with that of the last frame before it, both as the reference has it.
     Padded regions that then overlap are one, and those less than ``min_off_ms`` apart.
+    Without ``max_ms`` regions come from scans over bins of ``width`` frames; with it a fold
+    goes over each piece of a recording that stands by itself.
     """
-    frames = scores.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("frame", "t_ms", "score"))).alias("f"))
+    if max_ms is None:
+        # A first frame above the onset opens a region as any other does.
+        spans = regions(scores, onset, offset, width)
+    else:
+        spans = _cut_regions(_pieces(scores, onset, offset, max_ms, width), onset, offset, max_ms)
+    spans = spans.select("recording_id", (F.col("start_ms").cast("long") - pad_onset_ms).alias("start_ms"), (F.col("end_ms").cast("long") + pad_offset_ms).alias("end_ms"))
+    order = ["start_ms", "end_ms"]
+    if pad_onset_ms or pad_offset_ms or min_off_ms:
+        spans = scan(spans, ["recording_id"], order, SPANS_MS, reached=Run("max", F.col("end_ms"), own=False))
+        gap = F.col("start_ms") - F.col("reached")
+        new = (F.col("reached").isNull() | ((gap > 0) & (gap >= min_off_ms))).cast("int")
+        spans = scan(spans, ["recording_id"], order, SPANS_MS, island=Run("sum", new))
+        spans = spans.groupBy("recording_id", "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
+    spans = spans.where(F.col("end_ms") - F.col("start_ms") >= min_on_ms)
+    spans = scan(spans, ["recording_id"], order, SPANS_MS, region=Run("sum", F.lit(1).cast("long"), own=False))
+    return spans.select("recording_id", F.coalesce("region", F.lit(0).cast("long")).alias("region"), "start_ms", "end_ms")
+
+
+def _cut_regions(scores: DataFrame, onset: float, offset: float, max_ms: int) -> DataFrame:
+    """Regions (recording_id, start_ms, end_ms) by a fold over each piece."""
+    frames = scores.groupBy("recording_id", "piece").agg(F.array_sort(F.collect_list(F.struct("frame", "t_ms", "score"))).alias("f"))
     frames = frames.withColumn("f", F.transform("f", lambda x, i: F.struct(i.alias("i"), x["t_ms"].cast("long").alias("t"), x["score"].cast("double").alias("y"))))
     head = F.col("f")[0]
     # The scores searched for a cut: that of one earlier frame (-1: none), and of all from ``low`` on.
@@ -92,7 +145,7 @@ def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_m
         return F.array_min(both)
 
     def step(acc: Column, x: Column) -> Column:
-        long = F.lit(False) if max_ms is None else x["t"] - acc["start"] > max_ms
+        long = x["t"] - acc["start"] > max_ms
         cut = least(acc, x)
         state = lambda on, start, earlier, low, found: F.struct(on.alias("on"), start.alias("start"), earlier.alias("earlier"), low.alias("low"), found.alias("found"))
         closed = lambda to: F.array_append(acc["found"], F.struct(acc["start"].alias("from"), to.alias("to")))
@@ -106,15 +159,7 @@ def binarize(scores: DataFrame, onset: float = 0.5, offset: float = 0.363, max_m
         return F.when(acc["on"], F.array_append(acc["found"], F.struct(acc["start"].alias("from"), F.element_at("f", -1)["t"].alias("to")))).otherwise(acc["found"])
 
     spans = frames.select("recording_id", F.explode(F.aggregate(F.slice("f", 2, F.size("f")), zero, step, finish)).alias("s"))
-    spans = spans.select("recording_id", (F.col("s.from") - pad_onset_ms).alias("start_ms"), (F.col("s.to") + pad_offset_ms).alias("end_ms"))
-    order = W.partitionBy("recording_id").orderBy("start_ms", "end_ms")
-    if pad_onset_ms or pad_offset_ms or min_off_ms:
-        reached = F.max("end_ms").over(order.rowsBetween(W.unboundedPreceding, -1))
-        gap = F.col("start_ms") - reached
-        spans = spans.withColumn("_new", (reached.isNull() | ((gap > 0) & (gap >= min_off_ms))).cast("int")).withColumn("_k", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        spans = spans.groupBy("recording_id", "_k").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_k")
-    spans = spans.where(F.col("end_ms") - F.col("start_ms") >= min_on_ms)
-    return spans.select("recording_id", (F.row_number().over(order) - 1).cast("long").alias("region"), "start_ms", "end_ms")
+    return spans.select("recording_id", F.col("s.from").alias("start_ms"), F.col("s.to").alias("end_ms"))
 
 
 def drop_short(spans: DataFrame, least_ms: int) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import Run, scan
+
 #: Width of a bin of the binned join.
 BIN_MS = 60_000
 
@@ -55,35 +56,32 @@ def dominant_speaker(probes: DataFrame, spans: DataFrame, nearest: bool = False,
     return out.join(near, ["recording_id", "probe_id"], "left").withColumn("speaker", F.coalesce("speaker", "near")).drop("near")
 
 
-def nearest_span(probes: DataFrame, spans: DataFrame) -> DataFrame:
+def nearest_span(probes: DataFrame, spans: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
     """Each probe with the span whose middle is nearest.
 
-    Per recording, the last span middle at or before the probe's and the first
-    after it are carried along by time, so a recording's rows are sorted, not paired.
+    The last span middle at or before the probe's and the first after it are
+    carried along time from bin to bin, so a recording's rows are neither paired nor sorted in one task.
     """
     middle = lambda start, end: F.col(start) + F.col(end)  # noqa: E731  twice the middle, in whole numbers
     known = spans.where("s_start is not null and s_end is not null").withColumn("mid", middle("s_start", "s_end"))
     # Of spans with one middle only the first can be chosen.
     known = known.groupBy("recording_id", "mid").agg(F.min_by(F.struct("s_start", "ord", "speaker"), F.struct("s_start", "ord")).alias("span"))
-    asked = probes.withColumn("mid", middle("p_start", "p_end")).select("recording_id", "mid", "probe_id", F.lit(None).cast(known.schema["span"].dataType).alias("span"))
-    both = known.select("recording_id", "mid", F.lit(None).cast(asked.schema["probe_id"].dataType).alias("probe_id"), "span").unionByName(asked)
-    order = W.partitionBy("recording_id").orderBy("mid")
+    asked = probes.where("p_start is not null and p_end is not null").withColumn("mid", middle("p_start", "p_end"))
+    asked = asked.select("recording_id", "mid", F.lit(1).alias("kind"), "probe_id", F.lit(None).cast(known.schema["span"].dataType).alias("span"))
+    both = known.select("recording_id", "mid", F.lit(0).alias("kind"), F.lit(None).cast(asked.schema["probe_id"].dataType).alias("probe_id"), "span").unionByName(asked)
     at = F.when(F.col("span").isNotNull(), F.struct("mid", "span"))
-    back = F.last(at, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(order.rangeBetween(1, W.unboundedFollowing))
-    rows = both.withColumns({"back": back, "ahead": ahead}).where("probe_id is not null")
+    rows = scan(both, ["recording_id"], ["mid", "kind"], 2 * bin_ms, back=Run("last", at), ahead=Run("next", at)).where("kind = 1")
     gap = lambda c: F.abs(F.col("mid") - F.col(f"{c}.mid"))
     choice = F.array_min(F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(f"{c}.span.s_start").alias("s_start"), F.col(f"{c}.span.ord").alias("ord"), F.col(f"{c}.span.speaker").alias("speaker"))) for c in ("back", "ahead")))))
     return rows.withColumn("choice", choice).where("choice is not null").select("recording_id", "probe_id", "choice.speaker", F.col("choice.gap").alias("gap2_ms"))
 
 
-def as_of(asks: DataFrame, words: DataFrame) -> DataFrame:
-    """Each ask (recording_id, ask_id, at_ms) with the last word that starts by then: one sort per recording, no pairs."""
-    rows = words.where("start_ms is not null").select("recording_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.struct("start_ms", "word_idx", "word").alias("w"), F.lit(None).cast(asks.schema["ask_id"].dataType).alias("ask_id"))
-    asked = asks.select("recording_id", F.col("at_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["w"].dataType).alias("w"), "ask_id")
-    order = W.partitionBy("recording_id").orderBy("at", "kind", "w.word_idx").rowsBetween(W.unboundedPreceding, 0)
-    found = rows.unionByName(asked).withColumn("w", F.last("w", ignorenulls=True).over(order)).where("kind = 1")
-    return found.select("recording_id", "ask_id", F.col("at").alias("at_ms"), "w.word_idx", "w.word")
+def as_of(asks: DataFrame, words: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
+    """Each ask (recording_id, ask_id, at_ms) with the last word that starts by then, carried from bin to bin of time."""
+    rows = words.where("start_ms is not null").select("recording_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.col("word_idx").alias("place"), F.struct("start_ms", "word_idx", "word").alias("w"), F.lit(None).cast(asks.schema["ask_id"].dataType).alias("ask_id"))
+    asked = asks.select("recording_id", F.col("at_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["place"].dataType).alias("place"), F.lit(None).cast(rows.schema["w"].dataType).alias("w"), "ask_id")
+    found = scan(rows.unionByName(asked), ["recording_id"], ["at", "kind", "place"], bin_ms, found=Run("last", F.col("w"))).where("kind = 1")
+    return found.select("recording_id", "ask_id", F.col("at").alias("at_ms"), "found.word_idx", "found.word")
 
 
 def active_speakers(spans: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
@@ -91,10 +89,10 @@ def active_speakers(spans: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     return spans.where((F.col("s_start") < end_ms) & (F.col("s_end") > start_ms) & (F.least("s_end", F.lit(end_ms)) > F.greatest("s_start", F.lit(start_ms)))).select("recording_id", "speaker").distinct()
 
 
-def support(spans: DataFrame, collar_ms: int) -> DataFrame:
+def support(spans: DataFrame, collar_ms: int, bin_ms: int = BIN_MS) -> DataFrame:
     """Union of spans of a recording; gaps of at most ``collar_ms`` close."""
-    order = W.partitionBy("recording_id").orderBy("s_start", "s_end")
-    before = F.max("s_end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    rows = spans.withColumn("new", F.coalesce((F.col("s_start") - before > collar_ms).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["s_start", "s_end"]
+    rows = scan(spans, ["recording_id"], order, bin_ms, before=Run("max", F.col("s_end"), own=False))
+    rows = rows.withColumn("new", F.coalesce((F.col("s_start") - F.col("before") > collar_ms).cast("int"), F.lit(1)))
+    rows = scan(rows, ["recording_id"], order, bin_ms, island=Run("sum", F.col("new")))
     return rows.groupBy("recording_id", "island").agg(F.min("s_start").alias("s_start"), F.max("s_end").alias("s_end"), F.count("*").alias("n")).drop("island")

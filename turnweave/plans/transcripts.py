@@ -213,9 +213,28 @@ def f8_regions(s, d):
     return folds.regions(_scores(s, d))
 
 
-@query("f8_binarized")
+@query(
+    "f8_binarized",
+    f"""WITH RECURSIVE {_SCORES},
+f AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY frame) AS i, {{'y': score, 't': t_ms}} AS x FROM scores),
+st AS (
+  SELECT recording_id, i, x, x.y > 0.5 AS act, x.t AS start, [x] AS held, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM f WHERE i = 1
+  UNION ALL
+  SELECT recording_id, i, x, CASE WHEN NOT act THEN x.y > 0.5 ELSE long OR x.y >= 0.363 END, CASE WHEN NOT act AND x.y > 0.5 THEN x.t WHEN act AND long THEN held[cut].t ELSE start END,
+         CASE WHEN NOT act THEN held WHEN long THEN list_append(held[cut + 1:], x) WHEN x.y < 0.363 THEN [x] ELSE list_append(held, x) END,
+         CASE WHEN act AND (long OR x.y < 0.363) THEN start END, CASE WHEN act AND long THEN held[cut].t WHEN act AND x.y < 0.363 THEN x.t END
+  FROM (SELECT s.recording_id, f.i, f.x, act, start, held, f.x.t - start > 200000 AS long, len(held) // 2 + list_position(held[len(held) // 2 + 1:], list_min(held[len(held) // 2 + 1:])) AS cut
+        FROM st s JOIN f ON f.recording_id = s.recording_id AND f.i = s.i + 1)
+), spans AS (
+  SELECT recording_id, a - 100 AS a, b + 100 AS b FROM st WHERE a IS NOT NULL
+  UNION ALL SELECT recording_id, start - 100, x.t + 100 FROM st QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY i DESC) = 1 AND act
+), m AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY recording_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS new FROM spans
+), g AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m
+)
+SELECT recording_id, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY min(a)) - 1 AS BIGINT) AS region, CAST(min(a) AS BIGINT) AS start_ms, CAST(max(b) AS BIGINT) AS end_ms FROM g GROUP BY recording_id, k""",
+)
 def f8_binarized(s, d):
-    """F8 with a longest duration and padding: a fold over each recording's frames."""
+    """F8 with a longest duration and padding."""
     return folds.binarize(_scores(s, d), max_ms=200_000, pad_onset_ms=100, pad_offset_ms=100)
 
 
