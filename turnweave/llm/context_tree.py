@@ -47,7 +47,7 @@ BUCKET_BYTES, LEAST, MOST = 32 << 20, 12, 100_000
 #: Most shares that grams and words are dealt out to.
 SHARES = 4096
 #: Bytes that are handled at once, and counts that are gathered before equal ones are added up.
-PIECE, GATHERED = 1 << 22, 1 << 22
+PIECE, GATHERED = 1 << 20, 1 << 21
 #: What is counted.
 GRAM, WORD = 0, 1
 
@@ -163,8 +163,13 @@ def _share(keys: np.ndarray, shares: int) -> np.ndarray:
     return (hashing.mix(keys) % np.uint64(shares)).astype(np.int64)
 
 
-def _bytes(texts: pa.Array) -> list[bytes]:
-    return texts.cast(pa.binary()).to_pylist()
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch's rows with their texts, about ``PIECE`` bytes at a time."""
+    group = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) // PIECE
+    cuts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(batch)].tolist(), len(batch)]
+    for low, high in zip(cuts, cuts[1:]):
+        part = batch.slice(low, high - low)
+        yield part, part["text"].cast(pa.binary()).to_pylist()
 
 
 def _counted(shares: int):
@@ -178,11 +183,11 @@ def _counted(shares: int):
                 continue
             bucket = batch["bucket"][0].as_py()
             for train in (True, False):
-                texts = _bytes(batch.filter(pc.equal(batch["train"], train))["text"])
-                for tally, found in zip(tallies, (_gram_keys(texts), (w for w, _ in words(texts))), strict=True):
-                    for keys in found:
-                        distinct, counts = np.unique(keys, return_counts=True)
-                        tally.add(distinct, counts if train else np.zeros_like(counts))
+                for _, texts in _parts(batch.filter(pc.equal(batch["train"], train))):
+                    for tally, found in zip(tallies, (_gram_keys(texts), (w for w, _ in words(texts))), strict=True):
+                        for keys in found:
+                            distinct, counts = np.unique(keys, return_counts=True)
+                            tally.add(distinct, counts if train else np.zeros_like(counts))
         for kind, tally in zip((GRAM, WORD), tallies, strict=True):
             keys, counts = tally.result() if bucket is not None else (np.empty(0, np.uint64),) * 2
             if len(keys):
@@ -386,23 +391,27 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lookups is None:
             lookups = {kind: Lookup(*map(np.concatenate, zip(*parts, strict=True))) if parts else None for kind, parts in held.items()}
             held = {}
-        texts = _bytes(rows["text"])
-        score, base = np.zeros(len(texts)), np.zeros(len(texts))
-        n_words, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for keys, starts, pads, first in grams(texts):
-            pad = np.zeros(len(keys), dtype=bool)
-            pad[pads] = True
-            value = np.zeros(len(keys))
-            value[~pad] = lookups[GRAM](keys[~pad])
-            sums = np.add.reduceat(value, starts)
-            score[first : first + len(sums)] += sums
-        for keys, of in words(texts):
-            value = lookups[WORD](keys)
-            n_words += np.bincount(of, minlength=len(texts))
-            known += np.bincount(of, value > 0, len(texts)).astype(np.int64)
-            base += np.bincount(of, value, len(texts))
-        n_bytes = np.array([len(t) for t in texts], dtype=np.int64)
-        yield pa.record_batch([rows["doc"], rows["train"], *map(pa.array, (n_bytes, n_words, known, base, score))], names=["doc", "train", "n_bytes", "n_words", "known", "base", "score"])
+        for part, texts in _parts(rows):
+            yield _scores(part, texts, lookups)
+
+
+def _scores(rows: pa.RecordBatch, texts: list[bytes], lookups: dict[int, Lookup]) -> pa.RecordBatch:
+    score, base = np.zeros(len(texts)), np.zeros(len(texts))
+    n_words, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for keys, starts, pads, first in grams(texts):
+        pad = np.zeros(len(keys), dtype=bool)
+        pad[pads] = True
+        value = np.zeros(len(keys))
+        value[~pad] = lookups[GRAM](keys[~pad])
+        sums = np.add.reduceat(value, starts)
+        score[first : first + len(sums)] += sums
+    for keys, of in words(texts):
+        value = lookups[WORD](keys)
+        n_words += np.bincount(of, minlength=len(texts))
+        known += np.bincount(of, value > 0, len(texts)).astype(np.int64)
+        base += np.bincount(of, value, len(texts))
+    n_bytes = np.array([len(t) for t in texts], dtype=np.int64)
+    return pa.record_batch([rows["doc"], rows["train"], *map(pa.array, (n_bytes, n_words, known, base, score))], names=["doc", "train", "n_bytes", "n_words", "known", "base", "score"])
 
 
 def is_held_out(doc: Column) -> Column:
