@@ -50,6 +50,8 @@ SHARES = 4096
 PIECE, GATHERED = 1 << 20, 1 << 21
 #: What is counted.
 GRAM, WORD = 0, 1
+#: Texts and lists are long: fewer of them in a batch between Spark and Python than Spark's own limits have.
+BATCHES = {"spark__sql__execution__arrow__maxBytesPerBatch": str(8 << 20)}
 
 
 def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -429,8 +431,8 @@ def tree_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc", "text"), F.lit(buckets)).cast("int"))
 
     counts = rows.select("bucket", "train", "text").repartitionById(buckets, F.col("bucket"))
-    counts = scratch.keep(counts.mapInArrow(_counted(shares), "id int, bucket int, keys array<long>, n array<long>"), "counts")
-    sums = scratch.keep(counts.repartitionById(2 * shares, F.col("id")).mapInArrow(_summed(shares, shares), "id int, fold int, keys array<long>, n array<long>"), "sums")
+    counts = scratch.keep(counts.mapInArrow(_counted(shares), "id int, bucket int, keys array<long>, n array<long>"), "counts", **BATCHES)
+    sums = scratch.keep(counts.repartitionById(2 * shares, F.col("id")).mapInArrow(_summed(shares, shares), "id int, fold int, keys array<long>, n array<long>"), "sums", **BATCHES)
     words_n, words_v = sums.where("fold < 0").select(F.explode("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
     values = _gram_values(sums.where("fold >= 0").select("fold", "keys", "n"), shares, scratch)
     values = values.unionByName(sums.where("fold < 0").select("id", "keys", F.transform("n", lambda n: F.log10(n + 1)).alias("v")))
@@ -438,10 +440,13 @@ def tree_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     nothing = lambda kind: F.lit(None).cast(kind)
     asked = values.select("id", F.lit(0).alias("side"), nothing("int").alias("bucket"), "keys", "v").unionByName(counts.select("id", F.lit(1).alias("side"), "bucket", "keys", nothing("array<double>").alias("v")))
     answers = asked.repartitionById(2 * shares, F.col("id")).sortWithinPartitions("side").mapInArrow(_answered(shares), "bucket int, kind int, keys array<long>, v array<double>")
-    given = answers.select("bucket", F.lit(0).alias("side"), "kind", "keys", "v", nothing(docs.schema[doc].dataType).alias("doc"), nothing("boolean").alias("train"), nothing("string").alias("text"))
+    given = scratch.keep(answers, "answers", **BATCHES).select("bucket", F.lit(0).alias("side"), "kind", "keys", "v", nothing(docs.schema[doc].dataType).alias("doc"), nothing("boolean").alias("train"), nothing("string").alias("text"))
+    scratch.drop("counts", "sums")
     asking = rows.select("bucket", F.lit(1).alias("side"), nothing("int").alias("kind"), nothing("array<long>").alias("keys"), nothing("array<double>").alias("v"), "doc", "train", "text")
     fields = [T.StructField("doc", docs.schema[doc].dataType), T.StructField("train", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_words", "known")), *(T.StructField(c, T.DoubleType()) for c in ("base", "score"))]
     scored = given.unionByName(asking).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("side").mapInArrow(_scored, T.StructType(fields))
+    scored = scratch.keep(scored, "scored", **BATCHES)
+    scratch.drop("answers")
     # One end a text: a token that each training text has.
     whole = words_n + trained
     vocabulary = words_v + (1 if trained else 0)
