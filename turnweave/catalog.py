@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import status, transcripts
+from .plans import status, streams, transcripts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return transcripts.QUERIES | status.QUERIES
+    return transcripts.QUERIES | status.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return transcripts.SQL | status.SQL
+    return transcripts.SQL | status.SQL | streams.SQL

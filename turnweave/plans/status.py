@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts, times
 from ..operators import ctc, edits, manifest, metrics, sessions
-from ..streaming import status
+from ..streaming import channels, status
 from . import inputs as i
 
 QUERIES, SQL = {}, {}
@@ -166,10 +166,7 @@ def w2_until_final(s, d):
 @query("w1_bounded_channel", f"WITH {_EVENTS} SELECT id, seq FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) <= 64")
 def w1_bounded_channel(s, d):
     """Of what a channel gets before it is read, the first 64."""
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.partitionBy("id").orderBy("seq"))
-    return _status(s, d).withColumn("n", n).where("n <= 64").select("id", "seq")
+    return channels.buffered(_status(s, d), "id", "seq")
 
 
 @query("w8_latest_translation", "SELECT user_id AS id, event_type AS lang, arg_max(CASE WHEN event_id % 6 = 0 THEN 'error' ELSE 'done' END, event_id) AS status, arg_max(CASE WHEN event_id % 4 != 0 THEN 'svc' || CAST(event_id % 3 AS VARCHAR) END, event_id) AS service, arg_max_null(CASE WHEN event_id % 6 = 0 THEN 'e' || CAST(event_id AS VARCHAR) END, event_id) AS error FROM events GROUP BY ALL")
