@@ -359,3 +359,30 @@ def test_best_paths_equal_all_paths_tried():
         if path:
             assert [p[1] for p in path] == list(range(path[0][1], path[-1][1] + 1)) and sorted({p[0] for p in path}) == list(range(n))
             assert sum(math.log(p[2]) for p in path) + sum(emission[t][0] for t in range(path[0][1])) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("cells", [1, 50, 1000])
+def test_best_paths_are_the_same_from_kept_columns(monkeypatch, cells):
+    rng = np.random.default_rng(cells)
+    for frames, n in ((1, 1), (3, 5), (40, 7), (200, 30), (333, 100), (64, 64)):
+        emission = np.log(rng.dirichlet(np.ones(6), frames)).round(1)
+        tokens = rng.choice([1, 2, 3, 4, 5, -1], n).tolist()
+        want = ctc.best_path(emission, tokens)
+        with monkeypatch.context() as m:
+            m.setattr(ctc, "CELLS", cells)
+            m.setattr(ctc, "WAYS", 3)
+            assert ctc.best_path(emission, tokens) == want
+
+
+def test_long_alignments_need_little_memory():
+    """Frames times tokens are 48 million steps, with their scores 400 MB in one array."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    frames, n = 12_000, 4_000
+    emission = np.log(rng.dirichlet(np.ones(8), frames))
+    tracemalloc.start()
+    path = ctc.best_path(emission, rng.integers(1, 8, n).tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert path[0][0] == 0 and path[-1][0] == n - 1 and peak < 40 << 20

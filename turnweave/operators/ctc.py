@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,40 +11,88 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Columns kept of a stretch of frames from which the way back is found, and steps that are kept bit by bit.
+WAYS, CELLS = 16, 1 << 24
+
+
+class _Trellis:
+    """Scores of a text's prefixes after each frame, one frame at a time."""
+
+    def __init__(self, emission: np.ndarray, tokens: list[int], blank: int):
+        if -1 in tokens:
+            rest = np.delete(emission, blank, axis=1)
+            emission = np.concatenate([emission, rest.max(axis=1, keepdims=True)], axis=1)
+        self.emission, self.blank = emission, blank
+        self.tokens = np.array([emission.shape[1] - 1 if k == -1 else k for k in tokens])
+        self.frames, self.n = len(emission), len(tokens)
+
+    def first(self) -> np.ndarray:
+        score = np.full(self.n + 1, -np.inf)
+        score[0] = 0.0 if self.n <= self.frames else np.inf
+        return score
+
+    def step(self, score: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores after frame ``t`` of as many prefixes as given, and which of them moved on."""
+        stay = self.emission[t, self.blank]
+        waits, moves = score[1:] + stay, score[:-1] + self.emission[t, self.tokens[: len(score) - 1]]
+        moved = moves > waits
+        after = np.empty_like(score)
+        after[1:] = np.where(moved, moves, waits)
+        # A path can't begin so late that the tokens don't fit in any more.
+        after[0] = score[0] + stay if t < self.frames - self.n else np.inf
+        return after, moved
+
+    def back(self, score: np.ndarray, low: int, high: int, j: int) -> Iterator[tuple[int, int, bool]]:
+        """(prefix, frame, moved) from frame ``high - 1`` back to ``low`` or the first token; ``score``: before ``low``.
+
+        A prefix depends on shorter ones only, so the columns beyond ``j`` are left out. A long stretch is
+        run through once more in parts, from columns kept along it.
+        """
+        score = score[: j + 1]
+        if (high - low) * j <= CELLS or high - low <= WAYS:
+            moved = np.empty((high - low, j), dtype=bool)
+            for t in range(low, high):
+                score, moved[t - low] = self.step(score, t)
+            for t in reversed(range(low, high)):
+                yield j, t, bool(moved[t - low, j - 1])
+                j -= int(moved[t - low, j - 1])
+                if not j:
+                    return
+            return
+        width = -(-(high - low) // WAYS)
+        kept = {low: score}
+        for t in range(low, low + (high - low - 1) // width * width):
+            score, _ = self.step(score, t)
+            if (t + 1 - low) % width == 0:
+                kept[t + 1] = score
+        for begin in sorted(kept, reverse=True):
+            for j, t, on in self.back(kept.pop(begin), begin, min(begin + width, high), j):
+                yield j, t, on
+            j -= int(on)
+            if not j:
+                return
+
+
 def best_path(emission: np.ndarray, tokens: list[int], blank: int = 0) -> list[tuple[int, int, float]] | None:
     """(token, frame, probability) of the best path in time order; none if the first token isn't reached.
 
     A token of -1 stands for any but the blank. The path is the last column's
     greatest entry followed back; staying wins over moving on where they are equal.
+    Memory grows with the frames and with the tokens, not with their product.
     """
-    frames, n = len(emission), len(tokens)
-    if not n or not frames:
+    if not len(tokens) or not len(emission):
         return None
-    if -1 in tokens:
-        rest = np.delete(emission, blank, axis=1)
-        emission = np.concatenate([emission, rest.max(axis=1, keepdims=True)], axis=1)
-    tokens = np.array([emission.shape[1] - 1 if k == -1 else k for k in tokens])
-    stay, move = emission[:, blank], emission[:, tokens]
-    # Scores of the prefixes of the tokens after each frame; of each step only whether it moved on is kept.
-    score = np.full(n + 1, -np.inf)
-    score[0] = 0.0 if n <= frames else np.inf
-    moved = np.empty((frames, n), dtype=bool)
-    whole = np.full(frames + 1, -np.inf)
-    for t in range(frames):
-        waits, moves = score[1:] + stay[t], score[:-1] + move[t]
-        moved[t] = moves > waits
-        score[1:] = np.where(moved[t], moves, waits)
-        # A path can't begin so late that the tokens don't fit in any more.
-        score[0] = score[0] + stay[t] if t < frames - n else np.inf
-        whole[t + 1] = score[n]
-    path, j = [], n
-    for t in reversed(range(int(np.argmax(whole)))):
-        on = moved[t, j - 1]
-        path.append((j - 1, t, float(np.exp((move[t, j - 1] if on else stay[t])))))
+    trellis = _Trellis(emission, tokens, blank)
+    score = trellis.first()
+    whole = np.full(trellis.frames + 1, -np.inf)
+    for t in range(trellis.frames):
+        score, _ = trellis.step(score, t)
+        whole[t + 1] = score[-1]
+    path, j = [], trellis.n
+    for j, t, on in trellis.back(trellis.first(), 0, int(np.argmax(whole)), trellis.n):
+        path.append((j - 1, t, float(np.exp(emission[t, blank] if not on else trellis.emission[t, trellis.tokens[j - 1]]))))
         j -= int(on)
-        if j == 0:
-            return path[::-1]
-    return None
+    return path[::-1] if not j else None
 
 
 def paths(rows: DataFrame, blank: int = 0) -> DataFrame:
