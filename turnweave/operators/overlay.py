@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .writers import WRITERS
+
 
 def entries(segments: DataFrame, translated: DataFrame) -> DataFrame:
     """Overlay entries from segments and translations of equal place; without a start none; the last of equal starts holds.
@@ -27,6 +29,16 @@ def translated(segments: DataFrame, overlay: DataFrame) -> DataFrame:
     return out.drop("src", "tr", "_has")
 
 
+def exported(segments: DataFrame, entries: DataFrame, lang: str, form: str) -> DataFrame:
+    """Lines of a translation in a writer's form, from the segments as they stand now; recordings without the language have none.
+
+    entries: recording_id, lang, start_ms, src, tr.
+    """
+    own = entries.where(F.col("lang") == lang).drop("lang")
+    known = segments.join(own.select("recording_id").distinct(), "recording_id", "left_semi")
+    return WRITERS[form](translated(known, own))
+
+
 def legacy_entries(rows: DataFrame) -> DataFrame:
     """Entries of the older form, which keeps no source text: recording_id, start_ms, text, place."""
     newest = F.row_number().over(W.partitionBy("recording_id", "start_ms").orderBy(F.desc("place")))

@@ -420,16 +420,6 @@ def a23_compression(s, d):
     return metrics.compression_ratio(i.table(s, d, "conversations")).select("conv_id", "turn", "ratio")
 
 
-@query("j12_details", f"WITH {i.SESSIONS} SELECT s.id, s.status, count(l.l_orderkey) AS n_segments, max(c.c_name) AS name FROM sessions s JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = s.id LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY s.id, s.status")
-def j12_details(s, d):
-    """A session with its segments and names, whatever is missing."""
-    n = i.table(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.count("*").alias("n_segments"))
-    owner = i.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("c_custkey"))
-    names = i.table(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    rows = i.sessions(s, d).join(owner, "id").join(n, "id", "left").join(names, "c_custkey", "left")
-    return rows.select("id", "status", F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "name")
-
-
 @query("m14_migrated", "SELECT c_custkey AS id, c_name AS name, NULL::VARCHAR AS model FROM customer UNION ALL SELECT s_suppkey, s_name, 'base' FROM supplier")
 def m14_migrated(s, d):
     """Appended rows that have a column more."""

@@ -641,3 +641,67 @@ def f25_concatenated(s, d):
 @query("f14_frame_times", f"WITH {i.SEGMENTS} SELECT recording_id, seg_idx, CAST(floor(CAST(seg_idx * (end_ms - start_ms) AS DOUBLE) / 200 + 0.5) AS BIGINT) AS at_ms FROM seg")
 def f14_frame_times(s, d):
     return i.segments(s, d).select("recording_id", "seg_idx", align.frame_ms(F.col("seg_idx"), F.col("end_ms") - F.col("start_ms"), F.lit(200)).alias("at_ms"))
+
+
+def _record_parts(s, d):
+    """Segments, overlay entries by language, names, and edits of recordings whose ids are sessions' ids."""
+    seg = i.segments(s, d).withColumn("recording_id", F.col("recording_id").cast("string"))
+    n = F.col("event_id")
+    each = seg.where(n % 11 != 0).withColumn("lang", F.explode(F.when(n % 4 == 0, F.array(F.lit("de"))).otherwise(F.array(F.lit("de"), F.lit("fr")))))
+    src = F.when(n % 7 == 0, F.lit(None)).when(n % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    entries = each.groupBy("recording_id", "lang", "start_ms").agg(F.max_by(F.struct(src.alias("src"), F.concat(F.col("lang"), F.lit(" "), F.upper("text")).alias("tr")), "seg_idx").alias("e")).select("recording_id", "lang", "start_ms", "e.src", "e.tr")
+    names = seg.where((F.col("recording_id").cast("long") + F.length("speaker")) % 3 == 0).select("recording_id", "speaker", F.concat(F.lit("N "), F.col("speaker")).alias("name")).distinct()
+    return seg, entries, names, seg.where(n % 50 == 0).select("recording_id")
+
+
+_RECORDS = (
+    _TURNS
+    + """,
+ent AS (SELECT CAST(recording_id AS VARCHAR) AS id, lang, start_ms, arg_max_null(CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN text || '!' ELSE text END, seg_idx) AS src, arg_max(lang || ' ' || upper(text), seg_idx) AS tr
+        FROM seg, (VALUES ('de'), ('fr')) AS l(lang) WHERE event_id % 11 != 0 AND (lang = 'de' OR event_id % 4 != 0) GROUP BY ALL),
+nam AS (SELECT DISTINCT CAST(recording_id AS VARCHAR) AS id, speaker, 'N ' || speaker AS name FROM seg WHERE (recording_id + length(speaker)) % 3 = 0),
+lng AS (SELECT DISTINCT id, lang FROM ent),
+tra AS (SELECT s.recording_id, s.seg_idx, lng.lang, e.lang IS NOT NULL AND (e.src IS NULL OR e.src = s.text) AS fresh, e.tr, s.text FROM seg s JOIN lng ON lng.id = CAST(s.recording_id AS VARCHAR)
+        LEFT JOIN ent e ON e.id = lng.id AND e.lang = lng.lang AND e.start_ms = s.start_ms),
+shw AS (SELECT recording_id, seg_idx, string_agg(lang || ':' || CASE WHEN fresh THEN tr ELSE text END || ':' || CAST(NOT fresh AS VARCHAR), ';' ORDER BY lang) AS t FROM tra GROUP BY ALL),
+cnt AS (SELECT CAST(recording_id AS VARCHAR) AS id, lang, count(*) AS n, count(*) FILTER (NOT fresh) AS stale FROM tra GROUP BY ALL)"""
+)
+_NAMED = "coalesce(nam.name, " + _LABEL + ")"
+
+
+@query(
+    "j12_details",
+    f"""WITH {i.SESSIONS}, {_RECORDS},
+sg AS (SELECT CAST(s.recording_id AS VARCHAR) AS id, string_agg(s.seg_idx || '|' || s.start_ms || '|' || coalesce(CAST(s.end_ms AS VARCHAR), '') || '|' || {_NAMED.format('s.speaker')} || '|' || s.text || '|' || coalesce(shw.t, ''), chr(10) ORDER BY s.seg_idx) AS segments
+       FROM seg s LEFT JOIN nam ON nam.id = CAST(s.recording_id AS VARCHAR) AND nam.speaker = s.speaker LEFT JOIN shw ON shw.recording_id = s.recording_id AND shw.seg_idx = s.seg_idx GROUP BY 1),
+tn AS (SELECT CAST(t.recording_id AS VARCHAR) AS id, string_agg(turn || '|' || {_NAMED.format('t.speaker')} || '|' || start_ms || '|' || coalesce(CAST(end_ms AS VARCHAR), '') || '|' || text, chr(10) ORDER BY turn) AS turns
+       FROM turns t LEFT JOIN nam ON nam.id = CAST(t.recording_id AS VARCHAR) AND nam.speaker = t.speaker GROUP BY 1)
+SELECT s.id, s.status, coalesce((SELECT string_agg(speaker || '=' || name, ',' ORDER BY speaker) FROM nam WHERE nam.id = s.id), '') AS names, coalesce(sg.segments, '') AS segments, coalesce(tn.turns, '') AS turns,
+       coalesce((SELECT string_agg(lang || ':' || n || '/' || stale, ',' ORDER BY lang) FROM cnt WHERE cnt.id = s.id), '') AS translations, EXISTS (SELECT 1 FROM seg WHERE event_id % 50 = 0 AND CAST(recording_id AS VARCHAR) = s.id) AS can_undo
+FROM sessions s LEFT JOIN sg ON sg.id = s.id LEFT JOIN tn ON tn.id = s.id""",
+)
+def j12_details(s, d):
+    """A session's whole record, whatever is missing, printed part by part."""
+    from ..operators.details import details
+
+    x = details(i.sessions(s, d), *_record_parts(s, d))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = lambda c, f, mark="\n": F.array_join(F.transform(c, f), mark)
+    one = lambda t: F.concat_ws(":", t["lang"], t["text"], t["stale"].cast("string"))
+    return x.select(
+        "id", "status", rows(F.array_sort(F.map_entries("names")), lambda e: F.concat_ws("=", e["key"], e["value"]), ",").alias("names"),
+        rows("segments", lambda g: F.concat_ws("|", g["seg_idx"], text(g["start_ms"]), text(g["end_ms"]), g["label"], g["text"], rows(g["translations"], one, ";"))).alias("segments"),
+        rows("turns", lambda t: F.concat_ws("|", t["turn"], t["label"], text(t["start_ms"]), text(t["end_ms"]), t["text"])).alias("turns"),
+        rows("translations", lambda t: F.concat(t["lang"], F.lit(":"), t["n"], F.lit("/"), t["stale"]), ",").alias("translations"), "can_undo",
+    )
+
+
+@query(
+    "k16_translated_srt",
+    f"""WITH {_RECORDS}, own AS (SELECT s.recording_id, s.seg_idx, s.start_ms, s.end_ms, s.speaker, CASE WHEN t.fresh THEN t.tr ELSE s.text END AS shown FROM seg s JOIN tra t ON t.recording_id = s.recording_id AND t.seg_idx = s.seg_idx AND t.lang = 'fr' WHERE s.end_ms IS NOT NULL)
+SELECT CAST(recording_id AS VARCHAR) AS recording_id, seg_idx AS line, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) AS VARCHAR) || chr(10) || {_HOURS.format('start_ms', ',')} || ' --> ' || {_HOURS.format('end_ms', ',')} || chr(10) || {_SAID.format('trim(shown)')} || chr(10) AS text FROM own""",
+)
+def k16_translated_srt(s, d):
+    """Subtitles in French, from the segments as they stand and their overlay; recordings without one have none."""
+    seg, entries, _, _ = _record_parts(s, d)
+    return overlay.exported(seg.where("end_ms is not null"), entries, "fr", "srt")
