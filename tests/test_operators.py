@@ -386,3 +386,43 @@ def test_long_alignments_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert path[0][0] == 0 and path[-1][0] == n - 1 and peak < 40 << 20
+
+
+def test_edit_distances_in_a_growing_band_equal_a_table():
+    rng = random.Random(8)
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [prev := i + 1] + [prev := min(prev + 1, row[j + 1] + 1, row[j] + (x != y)) for j, y in enumerate(b)]
+        return row[-1]
+
+    for _ in range(400):
+        a = [rng.choice("abcé") for _ in range(rng.randint(0, 40))]
+        b = list(a) if rng.random() < 0.6 else [rng.choice("abcé") for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choices("abz", k=rng.randint(0, 2))
+        want = table(a, b)
+        assert metrics.edit_distance("".join(a), "".join(b)) == metrics.edit_distance(a, b) == want
+        if a and b:
+            x, y = metrics._codes(a, b)
+            assert metrics._near_distance(x, y, 100) == want and (want == 0 or metrics._near_distance(x, y, want - 1) is None) and metrics.far_distance(a, b) == want
+
+
+def test_long_near_texts_are_compared_fast():
+    import time
+    import tracemalloc
+
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    b = list(a)
+    for at in range(5, len(b), 6000):
+        b[at] = "changed"
+    del b[100_000:100_003]
+    began = time.perf_counter()
+    tracemalloc.start()
+    assert metrics.edit_distance(a, b) == 53
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.perf_counter() - began < 10 and peak < 100 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,70 @@ from ..functions.texts import normal_words
 
 
 def edit_distance(a, b) -> int:
-    """Least number of changes between two sequences, by bits of one long number (Myers), for any number of different items."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
+    """Least number of changes between two strings or lists, for any number of different items.
+
+    What they begin and end with alike is cut off. Then the band of diagonals within ``e`` changes grows with
+    ``e`` until it holds the distance, so near texts take time and memory by their distance, not by their
+    product; where that would cost more than comparing all (the band reaches about an eighth of
+    their length), ``far_distance`` does, in memory linear in their length.
+    """
+    if a == b:
+        return 0
+    x, y = _codes(a, b)
+    n = min(len(x), len(y))
+    head = _alike(x, y, 0, 0)
+    tail = _alike(x[::-1], y[::-1], 0, 0) if head < n else 0
+    tail = min(tail, n - head)
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    if not len(x) or not len(y):
+        return max(len(x), len(y))
+    found = _near_distance(x, y, max(64, int((len(x) * len(y)) ** 0.5) // 8))
+    return found if found is not None else far_distance(x.tolist(), y.tolist())
+
+
+def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(a, str) and isinstance(b, str):
+        return tuple(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
+    numbers: dict = {}
+    return tuple(np.array([numbers.setdefault(w, len(numbers)) for w in t], dtype=np.int64) for t in (a, b))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """How many items are equal from ``x[i]`` and ``y[j]`` on."""
+    begin, width = i, 16
+    while True:
+        n = min(width, len(x) - i, len(y) - j)
+        apart = np.flatnonzero(x[i : i + n] != y[j : j + n])
+        if len(apart) or not n:
+            return i + (int(apart[0]) if len(apart) else 0) - begin
+        i, j, width = i + n, j + n, width * 2
+
+
+def _near_distance(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
+    """The distance if it is at most ``most``: for each number of changes the farthest place on each diagonal."""
+    goal = len(y) - len(x)
+    reach = np.full(1, _alike(x, y, 0, 0))  # in x, by diagonal
+    for e in range(most + 1):
+        if abs(goal) <= e and reach[goal + e] >= len(x):
+            return e
+        wide = np.full(2 * e + 5, -2)
+        wide[2:-2] = reach
+        # An item of y more, one of x more, or one of each.
+        reach = np.maximum(np.maximum(wide[:-2], wide[2:] + 1), wide[1:-1] + 1)
+        diagonal = np.arange(-e - 1, e + 2)
+        reach = np.minimum(np.minimum(reach, len(x)), len(y) - diagonal)
+        live = np.flatnonzero((reach >= 0) & (reach + diagonal >= 0))
+        for _ in range(4):  # most stop at once
+            live = live[(reach[live] < len(x)) & (reach[live] + diagonal[live] < len(y))]
+            live = live[x[reach[live]] == y[reach[live] + diagonal[live]]]
+            reach[live] += 1
+        for k in live:
+            reach[k] += _alike(x, y, int(reach[k]), int(reach[k] + diagonal[k]))
+    return None
+
+
+def far_distance(a, b) -> int:
+    """The distance of sequences that aren't empty, by bits of one long number (Myers)."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -33,7 +95,7 @@ def error_rates(pairs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+        return pd.Series([None if x is None or y is None else edit_distance(x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y)) for x, y in zip(a, b)], dtype="Int64")
 
     rows = pairs.withColumns({"_r": normal_words(F.col("reference")), "_h": normal_words(F.col("hypothesis"))})
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")

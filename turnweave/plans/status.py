@@ -304,6 +304,38 @@ def a17_word_error_rates(s, d):
     return metrics.error_rates(_neighbours(s, d)).select("id", "wer")
 
 
+_TURN_PAIRS = r"""n AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM conversations),
+p AS (SELECT r.id, r.x AS r, h.x AS h FROM n r JOIN n h ON h.conv_id = r.conv_id AND h.turn = r.turn + 1)"""
+
+
+def _turn_pairs(s, d):
+    c = i.table(s, d, "conversations")
+    following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
+    return c.join(following, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("reference"), "hypothesis")
+
+
+@query("a17_turn_character_error_rates", f"WITH {_TURN_PAIRS}, c AS (SELECT id, translate(replace(r, ' ', ''), 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS r, translate(replace(h, ' ', ''), 'ßäçèéêíñóöü', 'ABCDEFGHIJK') AS h FROM p) SELECT id, round(levenshtein(r, h) / greatest(length(r), 1), 4) AS cer FROM c")
+def a17_turn_character_error_rates(s, d):
+    """A17 between neighbouring turns of a conversation; the SQL's distance counts bytes, so it writes each letter as one."""
+    return metrics.error_rates(_turn_pairs(s, d)).select("id", "cer")
+
+
+@query(
+    "a17_turn_word_error_rates",
+    f"""WITH RECURSIVE {_TURN_PAIRS},
+w AS (SELECT id, list_filter(string_split(r, ' '), lambda v: v != '') AS a, list_filter(string_split(h, ' '), lambda v: v != '') AS b FROM p),
+t AS (
+  SELECT id, a, b, 0 AS i, range(0, len(b) + 1) AS row FROM w
+  UNION ALL
+  SELECT id, a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: j + list_min(list_transform(range(1, j + 1), lambda k: u[k] - k)))
+  FROM (SELECT *, list_transform(range(0, len(b) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(row[j + 1] + 1, row[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END) END) AS u FROM t WHERE i < len(a))
+)
+SELECT id, round(row[len(b) + 1] / greatest(len(a), 1), 4) AS wer FROM t WHERE i = len(a)""",
+)
+def a17_turn_word_error_rates(s, d):
+    return metrics.error_rates(_turn_pairs(s, d)).select("id", "wer")
+
+
 @query("a18_speaker_counts", "SELECT user_id AS id, count(DISTINCT event_type) AS speakers FROM events GROUP BY user_id")
 def a18_speaker_counts(s, d):
     return i.table(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.countDistinct("event_type").alias("speakers"))
