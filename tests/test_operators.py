@@ -426,3 +426,37 @@ def test_long_near_texts_are_compared_fast():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert time.perf_counter() - began < 10 and peak < 100 << 20
+
+
+def test_segments_of_many_languages_split_by_their_own_rules(spark):
+    from turnweave.operators import cue_rules
+
+    said = "one two three four five six seven eight et neuf ten eleven twelve thirteen fourteen"
+    rows = [("r", k, lang, 0.0, 9.0, said, None) for k, lang in enumerate(("en", "fr", "xx", "zh"))]
+    df = spark.createDataFrame(rows, "recording_id string, seg_idx long, lang string, start double, end double, text string, words array<struct<word:string,start:double,end:double>>")
+    own = cue_rules.conjunctions(spark).unionByName(spark.createDataFrame([("xx", "Eight")], "lang string, word string"))
+    rules = cue_rules.rules(df, own)
+    got = {}
+    for r in subtitles.split_by_language(df, rules).orderBy("seg_idx", "part").collect():
+        got.setdefault(r.seg_idx, []).append(r.text)
+    for k, (lang, *_) in enumerate([(r[2],) for r in rows]):
+        words = frozenset(cue_rules.CONJUNCTIONS.get(lang, "").split()) | (frozenset({"eight"}) if lang == "xx" else frozenset())
+        alone = subtitles.split_cues(df.where(F.col("seg_idx") == k).drop("lang"), subtitles.Splitter(lang, words)).orderBy("part").collect()
+        assert got[k] == [r.text for r in alone]
+    assert len({tuple(v) for v in got.values()}) == 4 and any(p.startswith("et ") for p in got[1]) and any(p.startswith("eight") for p in got[2])
+
+
+def test_numbered_files_are_written_only_if_split(spark):
+    cues = spark.createDataFrame([("r", 1, 0, 1.0, 2.5, " late "), ("r", 0, 1, 0.5, 1.0, "b"), ("r", 0, 0, 0.0, 0.5, "a")], "recording_id string, seg_idx long, part long, start double, end double, text string")
+    two = spark.createDataFrame([("r",), ("r",), ("none",)], "recording_id string")
+    lines, counts = writers.numbered(cues, two)
+    assert [r.text for r in lines.orderBy("line").collect()] == ["1\n00:00:00,000 --> 00:00:00,500\na\n", "2\n00:00:00,500 --> 00:00:01,000\nb\n", "3\n00:00:01,000 --> 00:00:02,500\nlate\n"]
+    assert {r.recording_id: r.n for r in counts.collect()} == {"r": 3, "none": 0}
+    lines, counts = writers.numbered(cues, two, split=False, vtt=True)
+    assert {(r.recording_id, r.text) for r in lines.collect()} == {("r", "WEBVTT\n"), ("none", "WEBVTT\n")} and {r.n for r in counts.collect()} == {0, 3}
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.createDataFrame([(list(range(n)),)], "v array<int>").select(subtitles.running_sums(F.col("v")).alias("s")).first()
+        assert row.s == [k * (k - 1) // 2 for k in range(n + 1)]

@@ -82,6 +82,24 @@ def rttm(spans: DataFrame) -> DataFrame:
     return spans.select("recording_id", F.col("ord").alias("line"), line.alias("text"))
 
 
+def numbered(cues: DataFrame, recordings: DataFrame, split: bool = True, vtt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A subtitle file of each recording as lines (recording_id, line, text), and how many cues each has (recording_id, n).
+
+    cues: recording_id, seg_idx, part, start, end (seconds), text; recordings: recording_id. Cues are written only if they were
+    ``split``; a file without any has its head alone (VTT) or is empty. All are counted either way.
+    """
+    n = F.row_number().over(W.partitionBy("recording_id").orderBy("seg_idx", "part"))
+    stamp = lambda c: timestamp(F.bround(F.col(c) * 1000, 0).cast("long"), "." if vtt else ",", True)
+    lines = cues.withColumn("line", n.cast("long")).select(
+        "recording_id", "line", F.concat(F.col("line").cast("string"), F.lit("\n"), stamp("start"), F.lit(" --> "), stamp("end"), F.lit("\n"), strip(F.coalesce("text", F.lit(""))), F.lit("\n")).alias("text")
+    )
+    if not split:
+        lines = lines.limit(0)
+    head = recordings.select("recording_id").distinct().select("recording_id", F.lit(0).cast("long").alias("line"), F.lit("WEBVTT\n").alias("text"))
+    counts = recordings.select("recording_id").distinct().join(cues.groupBy("recording_id").agg(F.count("*").alias("n")), "recording_id", "left").fillna(0, ["n"])
+    return (head.unionByName(lines) if vtt else lines), counts
+
+
 WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "txt": txt, "vtt": lambda s: vtt(cues(s)), "srt": lambda s: srt(cues(s)), "tsv": tsv, "json": json, "aud": aud,
 }

@@ -569,15 +569,68 @@ def f17_karaoke(s, d):
     return subtitles.karaoke(i.words(s, d))
 
 
-@query("f20_split_cues")
-def f20_split_cues(s, d):
-    """Split cues of conversation turns; each second turn has words, of which each fifth has no time."""
+def _conjunctions_sql() -> str:
+    from ..operators.cue_rules import CONJUNCTIONS
+
+    return ", ".join(f"('{lang}', [{', '.join(repr(w) for w in words.split())}])" for lang, words in CONJUNCTIONS.items())
+
+
+#: Turns of conversations in five languages as segments; each second turn has words, of which each fifth has no time. Words are looked at one by one.
+_SPLIT = f"""con(lang, words) AS (VALUES {_conjunctions_sql()}),
+tu AS (SELECT conv_id, turn, text, turn * 30.0::DOUBLE AS s0, ['en', 'fr', 'de', 'es', 'zh'][conv_id % 5 + 1] AS lang, turn % 2 = 0 AS timed, lead(turn * 30.0::DOUBLE) OVER (PARTITION BY conv_id ORDER BY turn) AS following,
+              list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda v: v != '') AS w FROM conversations),
+sg AS (SELECT tu.*, len(w) AS n, CASE WHEN tu.lang = 'zh' THEN 30 ELSE 45 END AS longest, CASE WHEN tu.lang = 'zh' THEN 20 ELSE 30 END AS least, CASE WHEN tu.lang = 'zh' THEN '，' ELSE ',' END AS comma, CASE WHEN tu.lang = 'zh' THEN 0 ELSE 1 END AS sp,
+              coalesce(con.words, []) AS conj FROM tu LEFT JOIN con ON con.lang = tu.lang WHERE len(w) > 0),
+pt AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS held, CAST(list_sum(list_transform(w, lambda v: length(v) + CASE WHEN timed THEN 0 ELSE sp END)) AS BIGINT) AS ahead, CAST([] AS BIGINT[]) AS cuts FROM sg
+  UNION ALL
+  SELECT conv_id, turn, i + 1, CASE WHEN long AND held >= least THEN mid + 1 WHEN NOT long AND aft THEN i + 1 WHEN NOT long AND bef THEN i ELSE last END,
+         CASE WHEN long AND held >= least THEN CAST(coalesce(list_sum(list_transform(w[mid + 2:i + 1], lambda v: length(v) + CASE WHEN timed THEN 0 ELSE sp END)), 0) AS BIGINT) WHEN NOT long AND aft THEN 0 WHEN NOT long AND bef THEN size ELSE held + size END,
+         left_, CASE WHEN long AND held >= least THEN list_append(cuts, mid) WHEN NOT long AND aft THEN list_append(cuts, i) WHEN NOT long AND bef THEN list_append(cuts, i - 1) ELSE cuts END
+  FROM (SELECT *, held + size >= longest AS long, held >= least AND left_ >= least AND suffix(x, comma) AS aft, held >= least AND left_ >= least AND list_contains(conj, lower(x)) AS bef, CAST(floor((last + i) / 2 + 0.5) AS BIGINT) AS mid
+        FROM (SELECT pt.*, sg.* EXCLUDE (conv_id, turn), w[i + 1] AS x, length(w[i + 1]) + sp AS size, ahead - length(w[i + 1]) - sp AS left_ FROM pt JOIN sg USING (conv_id, turn) WHERE i < n))
+), tm AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b FROM sg WHERE timed
+  UNION ALL
+  SELECT conv_id, turn, i + 1, CASE WHEN i % 5 != 2 THEN s0 + i * 0.25::DOUBLE ELSE b END, CASE WHEN i % 5 != 2 THEN s0 + i * 0.25::DOUBLE + 0.2::DOUBLE WHEN i + 1 < n THEN s0 + (i + 1) * 0.25::DOUBLE WHEN coalesce(following, 0) = 0 THEN b + length(w[i + 1]) * 0.25::DOUBLE WHEN following - b <= 1 THEN following ELSE following - 0.5 END
+  FROM tm JOIN sg USING (conv_id, turn) WHERE i < n
+), ct AS (SELECT conv_id, turn, unnest(list_concat([-1], cuts)) AS lo, unnest(list_append(cuts, n - 1)) AS hi, generate_subscripts(list_append(cuts, n - 1), 1) - 1 AS part FROM pt JOIN sg USING (conv_id, turn) WHERE i = n
+), pc AS (SELECT sg.*, lo + 1 AS lo, hi + 1 AS hi, part FROM ct JOIN sg USING (conv_id, turn) WHERE hi > lo
+), tc AS (
+  SELECT pc.*, CASE WHEN timed THEN f.a ELSE s0 + 29 * lo / n::DOUBLE END AS a, CASE WHEN timed THEN l.b ELSE s0 + 29 * hi / n::DOUBLE END AS b, CASE WHEN hi >= n THEN following WHEN timed THEN x.a END AS near
+  FROM pc LEFT JOIN tm f ON f.conv_id = pc.conv_id AND f.turn = pc.turn AND f.i = lo + 1 LEFT JOIN tm l ON l.conv_id = pc.conv_id AND l.turn = pc.turn AND l.i = hi LEFT JOIN tm x ON x.conv_id = pc.conv_id AND x.turn = pc.turn AND x.i = hi + 1
+), cue AS (
+  SELECT conv_id AS recording_id, CAST(turn AS BIGINT) AS seg_idx, CAST(part AS BIGINT) AS part, a AS "start", CASE WHEN near != 0 AND near - b <= 0.8::DOUBLE THEN near ELSE b END AS "end", CASE WHEN sp = 0 THEN array_to_string(w[lo + 1:hi], '') ELSE array_to_string(w[lo + 1:hi], ' ') END AS text FROM tc
+)"""
+
+
+def _split_cues(s, d):
+    from ..operators import cue_rules
+
     c = i.table(s, d, "conversations")
     start = F.col("turn") * 30.0
-    parts = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es", "zh"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    parts = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: w != "")
     word = lambda w, k: F.struct(w.alias("word"), F.when(k % 5 != 2, start + k * 0.25).alias("start"), F.when(k % 5 != 2, start + k * 0.25 + 0.2).alias("end"))
-    rows = c.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), start.alias("start"), (start + 29).alias("end"), "text", F.when(F.col("turn") % 2 == 0, F.transform(parts, word)).alias("words"))
-    return subtitles.split_cues(rows, subtitles.Splitter("en", frozenset({"and", "or", "but"})))
+    rows = c.select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), lang.alias("lang"), start.alias("start"), (start + 29).alias("end"), "text", F.when(F.col("turn") % 2 == 0, F.transform(parts, word)).alias("words"))
+    return subtitles.split_by_language(rows, cue_rules.rules(rows, cue_rules.conjunctions(s)))
+
+
+@query("f20_split_cues", f'WITH RECURSIVE {_SPLIT} SELECT recording_id, seg_idx, part, round("start", 6) AS "start", round("end", 6) AS "end", text FROM cue')
+def f20_split_cues(s, d):
+    """Split cues of turns in five languages, each by its own rules."""
+    return _split_cues(s, d).withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
+
+
+_MILLIS = "CAST(round_even({0} * 1000, 0) AS BIGINT)"
+
+
+@query("k15_numbered_files", f"""WITH RECURSIVE {_SPLIT}, num AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx, part) AS k, {_MILLIS.format('"start"')} AS ms0, {_MILLIS.format('"end"')} AS ms1 FROM cue)
+SELECT recording_id, k AS line, CAST(k AS VARCHAR) || chr(10) || {_HOURS.format('ms0', '.')} || ' --> ' || {_HOURS.format('ms1', '.')} || chr(10) || trim(text) || chr(10) AS text FROM num UNION ALL SELECT DISTINCT conv_id, 0, 'WEBVTT' || chr(10) FROM conversations""")
+def k15_numbered_files(s, d):
+    """Split cues as a numbered file for each recording."""
+    c = i.table(s, d, "conversations").select(F.col("conv_id").alias("recording_id"))
+    return writers.numbered(_split_cues(s, d), c, vtt=True)[0]
 
 
 @query("f22_next_start", f"WITH {i.SEGMENTS} SELECT recording_id, seg_idx, lead(start_ms) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS next_ms, CASE WHEN lead(start_ms) OVER (PARTITION BY recording_id ORDER BY seg_idx) - end_ms <= 800 THEN lead(start_ms) OVER (PARTITION BY recording_id ORDER BY seg_idx) ELSE end_ms END AS shown_to FROM seg")
