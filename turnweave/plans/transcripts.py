@@ -393,6 +393,48 @@ def f23_sentence_spans(s, d):
     return rows.select("id", "sentence", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to"))
 
 
+def _clamped(p: str) -> str:
+    return f"least(greatest({p}, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE)"
+
+
+def _likelihood(k: str, n: str, p: str) -> str:
+    return f"({k} * ln({_clamped(p)}) + ({n} - {k}) * ln(1 - {_clamped(p)}))"
+
+
+#: Texts of documents with the last words of some sentences made abbreviations, so that there is something to learn.
+_BOUNDS = rf"""docs AS (SELECT doc_id AS id, lang, regexp_replace(text, ' (\p{{L}}+), (\p{{L}})', ' \1 ' || CASE lang WHEN 'de' THEN 'bzw.' WHEN 'fr' THEN 'p.ex.' ELSE 'etc.' END || ' \2', 'g') AS text FROM documents),
+tok AS (SELECT lang, unnest(w) AS w, unnest(list_concat([NULL], w[1:len(w) - 1])) AS b FROM (SELECT lang, list_filter(string_split_regex(text, '\s+'), lambda v: v != '') AS w FROM docs)),
+pl AS (SELECT lang, lower(regexp_replace(w, '[^\p{{L}}\p{{N}}.-]', '', 'g')) AS w, lower(regexp_replace(b, '[^\p{{L}}\p{{N}}.-]', '', 'g')) AS b FROM tok),
+ty AS (SELECT lang, rtrim(w, '.') AS type, suffix(w, '.') AS period, rtrim(b, '.') AS before, coalesce(suffix(b, '.'), false) AS aft FROM pl WHERE rtrim(w, '.') != ''),
+cn AS (SELECT lang, type, count(*) AS n, count(*) FILTER (period) AS k FROM ty GROUP BY ALL),
+wh AS (SELECT lang, sum(n)::DOUBLE AS every, sum(k)::DOUBLE AS periods FROM cn GROUP BY lang),
+sh AS (
+  SELECT lang, type FROM (SELECT cn.lang, type, n, k, every, periods, length(type) - length(replace(type, '.', '')) AS inside FROM cn JOIN wh ON wh.lang = cn.lang WHERE k > 0 AND NOT regexp_full_match(type, '[0-9.-]+'))
+  WHERE length(type) > inside AND -2 * ({_likelihood('k', 'n', 'periods / every')} - {_likelihood('k', 'n', '0.99::DOUBLE')}) * exp(-(length(type) - inside)) * (inside + 1) * pow((length(type) - inside)::DOUBLE, -(n - k)) >= 0.3
+), en AS (SELECT ty.lang, ty.type, count(*) AS first FROM ty WHERE aft AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.lang = ty.lang AND sh.type = ty.before) GROUP BY ALL),
+br AS (SELECT lang, sum(first)::DOUBLE AS b FROM en GROUP BY lang),
+st AS (
+  SELECT lang, type FROM (SELECT en.lang, en.type, first::DOUBLE AS first, n::DOUBLE AS n, b, every, (n - first) / greatest(every - b, 1) AS rest FROM en JOIN cn ON cn.lang = en.lang AND cn.type = en.type JOIN br ON br.lang = en.lang JOIN wh ON wh.lang = en.lang)
+  WHERE first / b > rest AND 2 * ({_likelihood('first', 'b', 'first / b')} + {_likelihood('(n - first)', '(every - b)', 'rest')} - {_likelihood('first', 'b', 'n / every')} - {_likelihood('(n - first)', '(every - b)', 'n / every')}) >= 30
+), pr AS (SELECT id, lang, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS k, unnest(p) AS part FROM (SELECT id, lang, string_split(regexp_replace(text, '([.!?])(\s+)', '\1' || chr(1) || '\2' || chr(1), 'g'), chr(1)) AS p FROM docs)),
+nb AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, lead(part, 2) OVER (PARTITION BY id ORDER BY k) AS following FROM pr),
+lw AS (SELECT *, lower(regexp_replace(regexp_extract(part, '(\S*)$', 1), '[^\p{{L}}\p{{N}}.-]', '', 'g')) AS last, regexp_extract(coalesce(following, ''), '^(\S*)', 1) AS nw FROM nb WHERE k % 2 = 0),
+go AS (SELECT *, suffix(last, '.') AND (EXISTS (SELECT 1 FROM sh WHERE sh.lang = lw.lang AND sh.type = rtrim(lw.last, '.')) OR regexp_full_match(rtrim(last, '.'), '\p{{L}}'))
+              AND NOT (regexp_matches(nw, '^[^\p{{L}}]*\p{{Lu}}') AND EXISTS (SELECT 1 FROM st WHERE st.lang = lw.lang AND st.type = rtrim(lower(regexp_replace(lw.nw, '[^\p{{L}}\p{{N}}.-]', '', 'g')), '.'))) AS goes_on FROM lw),
+gr AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM go)"""
+
+
+@query("f23_spans_by_language", f'WITH {_BOUNDS} SELECT id, CAST(sentence AS BIGINT) AS sentence, CAST(min(f) AS BIGINT) AS "from", CAST(max(f + length(part)) AS BIGINT) AS "to" FROM gr GROUP BY id, sentence HAVING max(f + length(part)) > min(f)')
+def f23_spans_by_language(s, d):
+    """sentence bounds with abbreviations and sentence starters learned from the corpus by language."""
+    from ..operators import sentence_bounds
+
+    short = F.when(F.col("lang") == "de", "bzw.").when(F.col("lang") == "fr", "p.ex.").otherwise("etc.")
+    text = F.regexp_replace(F.col("text"), F.lit(r" (\p{L}+), (\p{L})"), F.concat(F.lit(" $1 "), short, F.lit(" $2")))
+    docs = i.table(s, d, "documents").select(F.col("doc_id").alias("id"), "lang", text.alias("text"))
+    return sentence_bounds.spans(docs, sentence_bounds.learn(docs))
+
+
 @query("a2_sentences", f"""WITH {_CHARS}, {_SPANS_SQL} SELECT id, sentence, coalesce(string_agg(char, '' ORDER BY char_idx) FILTER (char_idx < "to"), '') AS text, min(start_ms) AS start_ms, max(end_ms) FILTER (char != ' ') AS end_ms FROM timed JOIN spans USING (id) WHERE char_idx >= "from" AND char_idx <= "to" GROUP BY id, sentence""")
 def a2_sentences(s, d):
     """A2 with the reference's closed upper bound."""
