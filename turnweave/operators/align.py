@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .interpolate import once
+from .arrays import once, running_sums
 
 #: Characters of a bin when characters meet sentences.
 BIN = 256
@@ -58,55 +58,50 @@ def words(chars: DataFrame) -> DataFrame:
     return chars.where("char != ' '").groupBy("id", "word_idx").agg(text.alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), score.alias("score"))
 
 
-def word_runs(text: Column, chars: Column) -> Column:
-    """``words`` within a text's row: (word_idx, word, start_ms, end_ms, score) from its characters (char, start_ms, end_ms, score).
+def word_runs(text: Column, starts: Column, ends: Column, scores: Column) -> Column:
+    """``words`` within a text's row: (word_idx, word, start_ms, end_ms, score) from its characters' starts, ends and scores.
 
-    Nothing is shuffled: words are the runs between blanks, cut from the list of characters.
+    Nothing is shuffled: a word's place is the sum of the lengths before it, and its times are slices of the
+    lists. A list holds nothing for a character that has no time (null).
     """
+    first = F.startswith(text, F.lit(" ")).cast("int")
 
-    def cut(x: Column) -> Column:
-        blanks = F.filter(F.transform(x, lambda c, i: F.when(c["char"] == " ", i)), lambda i: i.isNotNull())
-        first = F.startswith(text, F.lit(" ")).cast("int")
+    def cut(parts: Column) -> Column:
+        # One more for the blank after each.
+        places = running_sums(F.transform(parts, lambda w: F.length(w) + 1))
+        given = F.struct(starts.alias("starts"), ends.alias("ends"), scores.alias("scores"), places.alias("places"))
 
-        def runs(b: Column) -> Column:
-            bounds = F.zip_with(F.concat(F.array(F.lit(-1)), b), F.concat(b, F.array(F.size(x))), lambda p, q: F.struct((p + 1).alias("from"), q.alias("to")))
-            numbered = F.filter(F.transform(bounds, lambda r, k: F.struct(F.greatest(k - first, F.lit(0)).cast("long").alias("k"), F.slice(x, r["from"] + 1, r["to"] - r["from"]).alias("c"))), lambda r: F.size(r["c"]) > 0)
-            return F.transform(numbered, word)
+        def found(x: Column) -> Column:
+            numbered = F.transform(parts, lambda w, k: F.struct(F.greatest(k - first, F.lit(0)).cast("long").alias("word_idx"), w.alias("word"), (F.get(x["places"], k) + 1).cast("int").alias("at"), F.length(w).alias("n")))
+            return F.transform(F.filter(numbered, lambda w: w["n"] > 0), lambda w: word(x, w))
 
-        return once(blanks, runs)
+        return once(given, found)
 
-    def word(r: Column) -> Column:
-        scores = F.filter(F.transform(r["c"], lambda c: c["score"]), lambda v: v.isNotNull())
-        mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, v: a + v) / F.size(scores))
-        return F.struct(
-            r["k"].alias("word_idx"), F.array_join(F.transform(r["c"], lambda c: c["char"]), "").alias("word"), F.array_min(F.transform(r["c"], lambda c: c["start_ms"])).alias("start_ms"),
-            F.array_max(F.transform(r["c"], lambda c: c["end_ms"])).alias("end_ms"), (F.floor(mean * 1000 + 0.5) / 1000).alias("score"),
-        )
+    def word(x: Column, w: Column) -> Column:
+        own = lambda c: F.slice(x[c], w["at"], w["n"])
+        mean = once(F.array_compact(own("scores")), lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)))
+        return F.struct(w["word_idx"].alias("word_idx"), w["word"].alias("word"), F.array_min(own("starts")).alias("start_ms"), F.array_max(own("ends")).alias("end_ms"), (F.floor(mean * 1000 + 0.5) / 1000).alias("score"))
 
-    return once(chars, cut)
+    return once(F.split(text, " ", -1), cut)
 
 
-def sentence_runs(text: Column, chars: Column, strict: bool = False) -> Column:
+def sentence_runs(text: Column, starts: Column, ends: Column, strict: bool = False) -> Column:
     """``sentences`` within a text's row: (sentence, text, start_ms, end_ms), by the bounds of ``sentence_spans``."""
     parts = F.split(text, r"(?<=[.!?])\s+", -1)
     gaps = F.regexp_extract_all(text, F.lit(r"(?<=[.!?])\s+"), F.lit(0))
+    # A blank's end doesn't count.
+    spoken = F.zip_with(ends, F.split(text, ""), lambda e, c: F.when(c != " ", e))
 
     def cut(x: Column) -> Column:
-        sizes = F.zip_with(x["parts"], x["gaps"], lambda p, g: F.struct(F.length(p).alias("n"), (F.length(p) + F.coalesce(F.length(g), F.lit(0))).alias("step")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out"))
-        step = lambda acc, s: F.struct((acc["at"] + s["step"]).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("from"), (acc["at"] + s["n"]).alias("to"))).alias("out"))
-        spans = F.aggregate(sizes, zero, step, lambda acc: acc["out"])
-        numbered = F.filter(F.transform(spans, lambda r, k: F.struct(k.cast("long").alias("sentence"), r["from"].alias("from"), r["to"].alias("to"))), lambda r: r["to"] > r["from"])
-
-        def sentence(r: Column) -> Column:
-            own = F.slice(x["chars"], r["from"] + 1, r["to"] - r["from"] + (0 if strict else 1))
-            said = F.array_join(F.transform(F.slice(x["chars"], r["from"] + 1, r["to"] - r["from"]), lambda c: c["char"]), "")
-            ends = F.transform(F.filter(own, lambda c: c["char"] != " "), lambda c: c["end_ms"])
-            return F.struct(r["sentence"].alias("sentence"), said.alias("text"), F.array_min(F.transform(own, lambda c: c["start_ms"])).alias("start_ms"), F.array_max(ends).alias("end_ms"))
+        places = running_sums(F.zip_with(x["parts"], x["gaps"], lambda p, g: F.length(p) + F.coalesce(F.length(g), F.lit(0))))
+        return once(F.struct(x["parts"].alias("parts"), x["starts"].alias("starts"), x["ends"].alias("ends"), places.alias("places")), found)
 
-        return F.transform(numbered, sentence)
+    def found(x: Column) -> Column:
+        numbered = F.transform(x["parts"], lambda p, k: F.struct(k.cast("long").alias("sentence"), p.alias("text"), (F.get(x["places"], k) + 1).cast("int").alias("at"), (F.length(p) + (0 if strict else 1)).alias("n")))
+        times = lambda r: F.struct(r["sentence"].alias("sentence"), r["text"].alias("text"), F.array_min(F.slice(x["starts"], r["at"], r["n"])).alias("start_ms"), F.array_max(F.slice(x["ends"], r["at"], r["n"])).alias("end_ms"))
+        return F.transform(F.filter(numbered, lambda r: r["text"] != ""), times)
 
-    return once(F.struct(parts.alias("parts"), gaps.alias("gaps"), chars.alias("chars")), cut)
+    return once(F.struct(parts.alias("parts"), gaps.alias("gaps"), starts.alias("starts"), spoken.alias("ends")), cut)
 
 
 def sentence_spans(texts: DataFrame, text: str = "text") -> DataFrame:

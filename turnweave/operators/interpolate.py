@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import once
+
 #: Least width of a word, in milliseconds.
 MIN_WORD_MS = 100
 
@@ -72,11 +74,6 @@ def spread(rows: DataFrame, group: list[str], place: str) -> DataFrame:
     return rows.drop("_run", "_left", "_right", "_n", "_k", "_l", "_w")
 
 
-def once(value: Column, use) -> Column:
-    """``use(value)`` where value is computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def time_words(words: Column, low: Column, high: Column, least: float = MIN_WORD_MS / 1000) -> Column:
     """A turn's words, (word, start, end) in seconds, with times for those that have none.
 

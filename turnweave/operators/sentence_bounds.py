@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .interpolate import once
+from .arrays import once
 
 #: Least score of an abbreviation, and least likelihood ratio of a word that begins sentences.
 ABBREVIATION, STARTER = 0.3, 30.0
