@@ -109,3 +109,85 @@ def test_regions_with_cuts_equal_a_loop_at_any_width(spark, width, longest):
         pieces = folds._pieces(df, 0.5, 0.363, longest, width).groupBy("recording_id").agg(F.countDistinct("piece").alias("n"))
         n = {r.recording_id: r.n for r in pieces.collect()}
         assert n["even"] > 5 and n["nearly"] > 5 and n["uneven"] == 0
+
+
+@pytest.mark.parametrize("width", [1, 5, 4096])
+def test_pieces_of_turns_equal_a_loop_at_any_width(spark, width):
+    from turnweave.operators import turns
+
+    rng = random.Random(6)
+    rows, want = [], []
+    for rec in "abc":
+        held, made, at = [], [], 0
+        speaker, last = None, "none"
+        for k in range(150):
+            if rng.random() < (0.3 if rec != "c" else 0.02):
+                speaker = rng.choice(("A", "B", "", None))
+            n = rng.choice((None, 0, 40, 90, 150, 199, 200, 900))
+            seg = (rec, k, at, None if n is None else at + n, speaker, rng.choice((f" t{k} ", "", None)))
+            rows.append(seg)
+            at += (n or 0) + 5
+            if (speaker or None) != last:
+                made += [held] if held else []
+                held, last = [], speaker or None
+            held.append(seg)
+        for turn in [*made, held]:
+            pieces, ms = [[]], 0
+            for seg in turn:
+                if ms >= 200:
+                    pieces.append([])
+                    ms = 0
+                pieces[-1].append(seg)
+                ms += seg[3] - seg[2] if seg[3] is not None else 0
+            if ms < 200 and len(pieces) > 1:
+                pieces[-2:] = [pieces[-2] + pieces[-1]]
+            for p in pieces:
+                want.append((rec, p[0][4] or None, p[0][2], next((s[3] for s in reversed(p) if s[3] is not None), None), " ".join(s[5].strip() for s in p if s[5] and s[5].strip()), p[0][1], p[-1][1]))
+    df = spark.createDataFrame(rows, "recording_id string, seg_idx long, start_ms long, end_ms long, speaker string, text string")
+    found = turns.coalesce_segments(df, width=width).orderBy("recording_id", "seg_idx").collect()
+    assert [(r.recording_id, r.speaker, r.start_ms, r.end_ms, r.text, r.from_idx, r.to_idx) for r in found] == want
+    assert [r.seg_idx for r in found] == [k for rec in "abc" for k in range(sum(w[0] == rec for w in want))]
+
+
+@pytest.mark.parametrize("bounds", [(20, 2), (12, 1), (30, 3)])
+def test_layouts_are_the_same_at_any_width_of_bins(spark, bounds):
+    from turnweave.operators import subtitles
+
+    rng = random.Random(7)
+    rows = []
+    for rec in "ab":
+        at = 0
+        for seg in range(40):
+            begin = at
+            for word in range(rng.randint(1, 8)):
+                timed = rng.random() < 0.8
+                rows.append((rec, seg, word, "w" * rng.randint(1, 9), at if timed else None, at + 100 if timed else None, "S", begin, begin + 3000))
+                at += rng.choice((100, 400, 2900, 3300))
+    df = spark.createDataFrame(rows, "recording_id string, seg_idx long, word_idx long, word string, start_ms long, end_ms long, speaker string, seg_start long, seg_end long")
+    options = subtitles.Layout(*bounds)
+
+    def cues(rec):
+        """Word by word, over all of a recording."""
+        own = [r for r in rows if r[0] == rec]
+        out, line, lines, last = [], 0, 0, own[0][7]
+        for k, (_, _, _, word, start, end, *_rest) in enumerate(own):
+            pause = start is not None and start - last > 3000
+            if line > 0 and line + len(word) <= bounds[0] and not pause:
+                line += len(word)
+                out[-1].append((word, start, end, " "))
+            else:
+                cue = k == 0 or pause or lines >= bounds[1]
+                lines = 1 if cue else lines + (line > 0)
+                line = len(word)
+                if cue:
+                    out.append([])
+                out[-1].append((word, start, end, "" if cue else " \n"))
+            last = start if start is not None else last
+        return [("".join(mark + w for w, *_, mark in c), [s for _, s, _, _ in c if s is not None], [e for _, _, e, _ in c if e is not None]) for c in out]
+
+    for width in (1, 3, 1024):
+        for rec in "ab":
+            found = subtitles.layout(df.where(F.col("recording_id") == rec), options, width_of_bin=width).orderBy("cue").collect()
+            want = cues(rec)
+            assert [r.text for r in found] == ["[S]: " + t for t, _, _ in want]
+            assert [(r.start_ms, r.end_ms) for r, w in zip(found, want, strict=True) if w[1]] == [(min(s), max(e)) for _, s, e in want if s]

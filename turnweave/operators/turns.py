@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import blank, strip
 from .folds import ranges
+from .scans import Run, scan
 
+#: Segments of a bin.
+SEGMENTS = 4096
 #: Seconds below which a piece of a turn is joined to its neighbour, in milliseconds.
 SLIVER_MS = 200
 
 
-def with_turns(segments: DataFrame) -> DataFrame:
-    """Add ``turn``: from 0, one more where the speaker changes; null and empty are one speaker."""
-    order = W.partitionBy("recording_id").orderBy("seg_idx")
-    speaker = F.nullif(F.col("speaker"), F.lit(""))
-    rows = segments.withColumn("_speaker", speaker)
-    before = F.lag("_speaker").over(order)
-    first = F.row_number().over(order) == 1
-    rows = rows.withColumn("_new", F.when(~first & ~before.eqNullSafe(F.col("_speaker")), 1).otherwise(0))
-    turn = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("turn", turn.cast("long")).withColumn("speaker", F.col("_speaker")).drop("_speaker", "_new")
+def with_turns(segments: DataFrame, width: int = SEGMENTS) -> DataFrame:
+    """Add ``turn``: from 0, one more where the speaker changes; null and empty are one speaker.
+
+    The speaker before and the number of changes are carried over bins of ``width`` segments.
+    """
+    key, order = ["recording_id"], ["seg_idx"]
+    rows = segments.withColumn("speaker", F.nullif(F.col("speaker"), F.lit("")))
+    rows = scan(rows, key, order, width, _before=Run("last", F.struct("speaker"), own=False))
+    new = F.when(F.col("_before").isNotNull() & ~F.col("_before.speaker").eqNullSafe(F.col("speaker")), 1).otherwise(0)
+    return scan(rows, key, order, width, turn=Run("sum", new.cast("long"))).drop("_before")
 
 
 def joined_text(separator: str = " ") -> Column:
@@ -55,16 +58,22 @@ def next_speaker_key(keys: DataFrame) -> DataFrame:
     return keys.groupBy("recording_id").agg(following.alias("n")).select("recording_id", F.concat(F.lit("SPEAKER_"), F.format_string("%02d", "n")).alias("speaker"))
 
 
-def coalesce_segments(segments: DataFrame, sliver_ms: int = SLIVER_MS) -> DataFrame:
+def coalesce_segments(segments: DataFrame, sliver_ms: int = SLIVER_MS, width: int = SEGMENTS) -> DataFrame:
     """Join short pieces within each turn until they reach ``sliver_ms``; a short rest joins the piece before.
 
-    A fold over a turn's segments finds where pieces end; the pieces are then
-    slices of the turn's list. Missing times count as 0.
+    A segment that is long enough by itself ends a piece, whatever came before it. So a turn is cut after
+    each of them, with a short rest left to the last part, and a fold over a part's segments finds
+    where its pieces end: no list is as long as a turn. Missing times count as 0.
     """
-    rows = with_turns(segments)
     length = F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)).cast("long")
-    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", length.alias("ms"), "start_ms", "end_ms", strip(F.coalesce("text", F.lit(""))).alias("text"))))
-    turn = rows.groupBy("recording_id", "turn").agg(F.first("speaker", ignorenulls=True).alias("speaker"), ordered.alias("segs"))
+    rows = with_turns(segments, width).withColumn("ms", length)
+    key, order, whole = ["recording_id", "turn"], ["seg_idx"], F.col("ms") >= sliver_ms
+    rows = scan(rows, key, order, width, part=Run("last", F.when(whole, F.col("seg_idx")), own=False), ahead=Run("next", F.when(whole, F.col("seg_idx"))))
+    rows = scan(rows, key, order, width, before=Run("last", F.when(whole, F.struct("part")), own=False))
+    rest = F.sum("ms").over(W.partitionBy(*key, "part"))
+    rows = rows.withColumn("part", F.when(F.col("ahead").isNull() & F.col("part").isNotNull() & (rest < sliver_ms), F.col("before.part")).otherwise(F.col("part")))
+    ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "ms", "start_ms", "end_ms", strip(F.coalesce("text", F.lit(""))).alias("text"))))
+    turn = rows.groupBy(*key, "part").agg(F.first("speaker", ignorenulls=True).alias("speaker"), ordered.alias("segs"))
     enough = lambda held, x: held >= sliver_ms  # noqa: E731  the piece before is complete
     carry = lambda held, x, cut: F.when(cut, x["ms"]).otherwise(held + x["ms"])
     pieces = ranges(F.col("segs"), F.lit(0).cast("long"), enough, carry)
@@ -83,5 +92,5 @@ def coalesce_segments(segments: DataFrame, sliver_ms: int = SLIVER_MS) -> DataFr
         "recording_id", "speaker", F.get(known("start_ms"), F.lit(0)).alias("start_ms"), F.try_element_at(known("end_ms"), F.lit(-1)).alias("end_ms"),
         F.array_join(texts, " ").alias("text"), F.col("p")[0]["seg_idx"].alias("from_idx"), F.element_at("p", -1)["seg_idx"].alias("to_idx"),
     )
-    place = F.row_number().over(W.partitionBy("recording_id").orderBy("from_idx")) - 1
-    return out.withColumn("seg_idx", place.cast("long"))
+    out = scan(out, ["recording_id"], ["from_idx"], width, seg_idx=Run("sum", F.lit(1).cast("long")))
+    return out.withColumn("seg_idx", F.col("seg_idx") - 1)
