@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -275,6 +276,21 @@ def test_sparse_sites_shrink_to_their_host(spark):
     assert got[("h", "p")] > 0.8 and got[("g", "p")] < 0.3 and 0.1 < got[("h", "q")] < 0.9
 
 
+@pytest.mark.parametrize("n", [2, 3, 6, 19, 60])
+def test_quality_from_few_labels(spark, n):
+    """No number of labels switches the classifier on or off: it starts near "good" and learns from each."""
+    rng = random.Random(n)
+    words = [f"w{k}" for k in range(200)]
+    text = lambda i: " ".join(rng.choices(words, k=60)) if i % 3 else " ".join(rng.choice(("BAD!!", "$$$", "99#")) for _ in range(60))
+    docs = spark.createDataFrame([(i, text(i), "s", "l") for i in range(300)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    assert site_bayes.fit(docs, labels) is not None
+    kept = {r.doc_id for r in site_bayes.keep_good(docs, labels).collect()}
+    assert {i for i in range(300) if i % 3} <= kept
+    if n >= 19:
+        assert not {i for i in range(300) if not i % 3} & kept
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert site_bayes.keep_good(odd, labels).count() == odd.count()

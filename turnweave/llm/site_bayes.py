@@ -13,7 +13,8 @@ there are 2 ** ``BITS`` at most, and a few numbers of each sampled document.
 
 Defined results: null text is empty; null host or path is a site of its own;
 repeated rows count each; of repeated labels the worst holds; labels of one kind
-only, or none, fit no classifier and keep all; columns named like those added are
+only, or none, fit no classifier and keep all; from the first label of each kind on
+there is one, which a prior keeps near "good" while labels are few; columns named like those added are
 replaced; an empty table gives none.
 """
 
@@ -38,6 +39,8 @@ BITS = 18
 #: Up to so many sites their table is broadcast, else joined as it is.
 FEW_SITES = 20_000
 THRESHOLD = 0.5
+#: Prior: good documents without features that the classifier sees besides the sampled ones, weight of small weights, spread of features.
+GOOD, SMALL, SPREAD = 10.0, 20.0, 0.05
 _TOP = 3
 
 
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     sizes = np.zeros((2, 2), dtype=np.int64)
     for r in rows.groupBy("half", "bad").count().collect():
         sizes[r["half"], int(r["bad"])] = r["count"]
-    if sizes.sum() < 20 or sizes[:, 1].sum() < 5 or sizes[:, 0].sum() < 5:
+    if not sizes[:, 1].sum() or not sizes[:, 0].sum():
         return None
     has = lambda h, bad: F.sum(((F.col("half") == h) & (F.col("bad") == F.lit(bool(bad)))).cast("long"))
     counts = rows.select("half", "bad", F.explode("words").alias("word")).groupBy("word").agg(*(has(h, bad).alias(f"n{h}{bad}") for h in (0, 1) for bad in (0, 1))).toArrow()
@@ -153,15 +156,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     # In an order of their own content, so that reruns add up alike.
     order = np.lexsort((bad, *x.T))
     x, bad = x[order], bad[order]
-    middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.concatenate([np.ones((len(x), 1)), (x - middle) / scale], axis=1)
+    n = len(x)
+    middle, scale = x.mean(axis=0), np.sqrt((n * x.var(axis=0) + GOOD * SPREAD**2) / (n + GOOD))
+    z = np.concatenate([np.ones((n, 1)), (x - middle) / scale], axis=1)
     y = (~bad).astype(np.float64)
     weights = np.zeros(z.shape[1])
-    ridge = np.eye(len(weights)) * 0.05
+    ridge = np.eye(len(weights)) * (0.05 + SMALL / n)
     ridge[0, 0] = 1e-6
     for _ in range(30):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(z @ weights, -30, 30)))
-        weights = weights + np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ weights)
+        slope, curve = z.T @ (y - p) - ridge @ weights, (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge
+        prior = 1 / (1 + np.exp(-np.clip(weights[0], -30, 30)))
+        slope[0] += GOOD * (1 - prior)
+        curve[0, 0] += GOOD * prior * (1 - prior)
+        weights = weights + np.linalg.solve(curve, slope)
     return Classifier(odds, weights, middle, scale)
 
 
