@@ -54,3 +54,22 @@ def test_enrolment(spark):
 def test_coerced_values(spark):
     df = spark.createDataFrame([("small",), ("x",), (None,)], "m string")
     assert [r[0] for r in df.select(texts.coerced(F.col("m"), ["small", "large"], "base")).collect()] == ["small", "base", "base"]
+
+
+def test_roots_and_signatures_of_groups_hash_sorted_lines(spark):
+    import hashlib
+    import random
+
+    from turnweave.operators import manifest
+
+    rng = random.Random(1)
+    rows = [(rng.choice(("a", "b", None, "one")) if k else "single", f"p{rng.randrange(10**6)}/é", f"h{k}", k, k * 7) for k in range(3000)]
+    df = spark.createDataFrame(rows, "group string, path string, hash string, size long, mtime_ns long").repartition(7)
+    roots = {r.group: (r.root, r.files) for r in manifest.root(df).collect()}
+    signatures = {r.group: r.signature for r in manifest.signature(df).collect()}
+    for group in {r[0] for r in rows}:
+        own = sorted(r for r in rows if r[0] == group)
+        own.sort(key=lambda r: r[1].encode())
+        assert roots[group] == (hashlib.sha256("".join(f"{p}\0{h}\0" for _, p, h, *_ in own).encode()).hexdigest(), len(own))
+        assert signatures[group] == hashlib.sha256("\0".join(f"{p}\0{s}\0{m}" for _, p, _, s, m in own).encode()).hexdigest()
+    assert manifest.root(df.limit(0)).count() == 0

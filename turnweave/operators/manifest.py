@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def changed(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -34,17 +40,51 @@ def totals(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
 
 
+def _digests(rows: DataFrame, group: str, name: str, ends: bool) -> DataFrame:
+    """SHA-256 over each group's lines by path: rows (group, ``name``, files). ``ends``: the mark stands after each line, else between them.
+
+    rows: group, path, line. Each group is sorted by Spark, spilling where it must, and streams through the
+    hash batch by batch: no list of a group's lines is made. One hash over one order can't be split, so a group
+    is a task's work; groups are spread.
+    """
+    kind = rows.schema[group].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, digest, n = None, None, 0
+        for batch in batches:
+            found = []
+            for g, line in zip(batch["g"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if digest is None or g != own:
+                    if digest is not None:
+                        found.append((own, digest.hexdigest(), n))
+                    own, digest, n = g, hashlib.sha256(), 0
+                if n and not ends:
+                    digest.update(b"\0")
+                if line is not None:
+                    digest.update(line.encode())
+                if ends:
+                    digest.update(b"\0")
+                n += 1
+            yield table(found)
+        yield table([] if digest is None else [(own, digest.hexdigest(), n)])
+
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((to_arrow_type(kind), pa.string(), pa.int64()))], names=["g", name, "files"])
+
+    dealt = rows.select(F.col(group).alias("g"), "path", "line").repartition("g").sortWithinPartitions("g", "path", "line")
+    fields = T.StructType([T.StructField("g", kind), T.StructField(name, T.StringType()), T.StructField("files", T.LongType())])
+    return dealt.mapInArrow(run, fields).withColumnRenamed("g", group)
+
+
 def root(manifest: DataFrame, group: str = "group") -> DataFrame:
     """One hash over the paths and hashes of each group, by path."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("\0"), x["hash"], F.lit("\0")))
-    return manifest.groupBy(group).agg(F.sha2(F.array_join(parts, ""), 256).alias("root"), F.count("*").alias("files"))
+    return _digests(manifest.select(group, "path", F.concat("path", F.lit("\0"), "hash").alias("line")), group, "root", True)
 
 
 def signature(files: DataFrame, group: str = "group") -> DataFrame:
     """One hash over paths, sizes and times: cheaper than contents."""
     line = F.concat_ws("\0", F.col("path"), F.col("size").cast("string"), F.col("mtime_ns").cast("string"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"])
-    return files.groupBy(group).agg(F.sha2(F.array_join(parts, "\0"), 256).alias("signature"))
+    return _digests(files.select(group, "path", line.alias("line")), group, "signature", False).drop("files")
 
 
 def link_state(local: Column, remote: Column) -> Column:

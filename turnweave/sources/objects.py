@@ -1,4 +1,4 @@
-"""A store of objects by content hash: a paged listing as a data source, and a sink that skips what is there."""
+"""A store of objects by content hash: a listing as a data source, and a sink that skips what is there."""
 
 from __future__ import annotations
 
@@ -12,7 +12,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Listing(DataSource):
-    """``spark.dataSource.register(Listing)``, then format ``objects`` with the option ``path``; one page a partition."""
+    """``spark.dataSource.register(Listing)``, then format ``objects`` with the option ``path``; rows (hash, size).
+
+    A flat folder has one listing, which names and sizes come with; a task makes it, so names never
+    pass through the driver. Spark deals the rows out to the tasks that follow.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -22,28 +26,21 @@ class Listing(DataSource):
         return "hash string, size bigint"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("page", 1000)))
-
-
-class _Page(InputPartition):
-    def __init__(self, names: list[str]):
-        self.names = names
+        return _Reader(self.options["path"])
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, page: int):
-        self.path, self.page = path, page
+    def __init__(self, path: str):
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        """Pages of names; sizes are asked for by the tasks."""
-        store, folder = opened(self.path)
-        names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file and not f.base_name.endswith(".tmp"))
-        return [_Page(names[i : i + self.page]) for i in range(0, len(names), self.page)]
+        return [InputPartition(0)]
 
-    def read(self, partition: _Page) -> Iterator[Row]:
+    def read(self, partition: InputPartition) -> Iterator[Row]:
         store, folder = opened(self.path)
-        for f in store.get_file_info([f"{folder}/{n}" for n in partition.names]):
-            yield Row(hash=f.base_name, size=f.size)
+        for f in store.get_file_info(fs.FileSelector(folder)):
+            if f.is_file and not f.base_name.endswith(".tmp"):
+                yield Row(hash=f.base_name, size=f.size)
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
