@@ -53,22 +53,22 @@ at_ AS (
          coalesce((SELECT min(x.seq) FROM log x WHERE x.channel = a.channel AND x.subscriber = a.subscriber AND x.kind IN ('subscribe', 'leave') AND x.seq > a.seq), 1000000000000) AS until
   FROM at_ a LEFT JOIN news n ON n.channel = a.channel AND n.seq = a.last_seq LEFT JOIN news r ON r.channel = a.channel AND r.seq = a.result_seq WHERE a.kind = 'subscribe'
 ), begins AS (
-  SELECT channel, subscriber, since, since AS at, 0 AS place, CASE WHEN {replay} THEN 'replay' ELSE 'initial' END AS kind, CASE WHEN {replay} THEN result_seq ELSE last_seq END AS seq,
+  SELECT channel, subscriber, since, since AS "at", 0 AS place, CASE WHEN {replay} THEN 'replay' ELSE 'initial' END AS kind, CASE WHEN {replay} THEN result_seq ELSE last_seq END AS seq,
          CASE WHEN {replay} THEN result_status ELSE last_status END AS status, CASE WHEN {replay} THEN result_payload ELSE last_payload END AS payload, remote
   FROM sub WHERE ({replay}) OR ({initial})
 ), stays AS (SELECT s.* FROM sub s LEFT JOIN begins b USING (channel, subscriber, since) WHERE b.kind IS NULL OR (b.kind = 'initial' AND NOT {final('b.status')})
 ), sent AS (
-  SELECT s.channel, s.subscriber, s.since, p.seq, p.status, p.payload, p.remote, (SELECT min(x.seq) FROM log x WHERE x.channel = s.channel AND x.subscriber = s.subscriber AND x.kind = 'read' AND x.seq > p.seq AND x.seq < s.until) AS at
+  SELECT s.channel, s.subscriber, s.since, p.seq, p.status, p.payload, p.remote, (SELECT min(x.seq) FROM log x WHERE x.channel = s.channel AND x.subscriber = s.subscriber AND x.kind = 'read' AND x.seq > p.seq AND x.seq < s.until) AS "at"
   FROM stays s JOIN at_ p ON p.channel = s.channel AND p.kind = 'publish' AND p.seq > s.since AND p.seq < s.until
 ), placed AS (
-  SELECT *, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY channel, subscriber, since, at) - {contract.size}, 0) AS lost FROM sent WHERE at IS NOT NULL WINDOW w AS (PARTITION BY channel, subscriber, since, at ORDER BY seq)
+  SELECT *, row_number() OVER w AS place, greatest(count(*) OVER (PARTITION BY channel, subscriber, since, "at") - {contract.size}, 0) AS lost FROM sent WHERE "at" IS NOT NULL WINDOW w AS (PARTITION BY channel, subscriber, since, "at" ORDER BY seq)
 ), held AS (
-  SELECT *, min(CASE WHEN {final('status')} THEN seq END) OVER (PARTITION BY channel, subscriber, since) AS over FROM placed WHERE place <= {contract.size}
+  SELECT *, min(CASE WHEN {final('status')} THEN seq END) OVER (PARTITION BY channel, subscriber, since) AS stop FROM placed WHERE place <= {contract.size}
 ), all_ AS (
-  SELECT channel, subscriber, at, place, kind, nullif(seq, -1) AS seq, status, payload, CASE WHEN {reprobe('status')} THEN remote END AS remote, 0 AS lost FROM begins
-  UNION ALL SELECT channel, subscriber, at, place - 1, 'event', seq, status, payload, CASE WHEN {reprobe('status')} THEN remote END, lost FROM held WHERE over IS NULL OR seq <= over
+  SELECT channel, subscriber, "at", place, kind, nullif(seq, -1) AS seq, status, payload, CASE WHEN {reprobe('status')} THEN remote END AS remote, 0 AS lost FROM begins
+  UNION ALL SELECT channel, subscriber, "at", place - 1, 'event', seq, status, payload, CASE WHEN {reprobe('status')} THEN remote END, lost FROM held WHERE stop IS NULL OR seq <= stop
 )
-SELECT channel, subscriber, CAST(at AS BIGINT) AS at, CAST(place AS INTEGER) AS place, kind, CAST(seq AS BIGINT) AS seq, status, payload, remote, CAST(lost AS BIGINT) AS lost FROM all_"""
+SELECT channel, subscriber, CAST("at" AS BIGINT) AS "at", CAST(place AS INTEGER) AS place, kind, CAST(seq AS BIGINT) AS seq, status, payload, remote, CAST(lost AS BIGINT) AS lost FROM all_"""
 
 
 def _add(name: str, contract: channels.Contract, doc: str) -> None:
