@@ -67,11 +67,11 @@ def coalesce_segments(segments: DataFrame, sliver_ms: int = SLIVER_MS, width: in
     """
     length = F.coalesce(F.col("end_ms") - F.col("start_ms"), F.lit(0)).cast("long")
     rows = with_turns(segments, width).withColumn("ms", length)
-    key, order, whole = ["recording_id", "turn"], ["seg_idx"], F.col("ms") >= sliver_ms
-    rows = scan(rows, key, order, width, part=Run("last", F.when(whole, F.col("seg_idx")), own=False), ahead=Run("next", F.when(whole, F.col("seg_idx"))))
-    rows = scan(rows, key, order, width, before=Run("last", F.when(whole, F.struct("part")), own=False))
+    key, whole = ["recording_id", "turn"], F.col("ms") >= sliver_ms
+    rows = scan(rows, key, ["seg_idx"], width, part=Run("sum", whole.cast("long"), own=False), ahead=Run("next", F.when(whole, F.lit(True))))
     rest = F.sum("ms").over(W.partitionBy(*key, "part"))
-    rows = rows.withColumn("part", F.when(F.col("ahead").isNull() & F.col("part").isNotNull() & (rest < sliver_ms), F.col("before.part")).otherwise(F.col("part")))
+    short = F.col("ahead").isNull() & (F.col("part") > 0) & (rest < sliver_ms)
+    rows = rows.withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).withColumn("part", F.col("part") - short.cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "ms", "start_ms", "end_ms", strip(F.coalesce("text", F.lit(""))).alias("text"))))
     turn = rows.groupBy(*key, "part").agg(F.first("speaker", ignorenulls=True).alias("speaker"), ordered.alias("segs"))
     enough = lambda held, x: held >= sliver_ms  # noqa: E731  the piece before is complete
