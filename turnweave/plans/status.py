@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import texts, times
+from ..functions import aligners, texts, times
 from ..operators import ctc, edits, manifest, metrics, sessions
 from ..streaming import channels, status
 from . import inputs as i
@@ -412,6 +412,28 @@ def p16_numerals(s, d):
     return i.table(s, d, "conversations").select("conv_id", "turn", texts.has_numeral(F.col("text")).alias("numeral"))
 
 
+def _aligners_sql() -> str:
+    return ", ".join(f"('{lang}', '{model}', '{kind}')" for kind, table in (("bundle", aligners.BUNDLES), ("hub", aligners.HUB)) for lang, model in table.items())
+
+
+@query("n5_aligners", f"""WITH known(lang, model, kind) AS (VALUES {_aligners_sql()}), d AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'ja' WHEN 1 THEN 'xx' WHEN 2 THEN 'sv' ELSE lang END AS language, CASE doc_id % 10 WHEN 0 THEN 'own/model' WHEN 1 THEN ' ' WHEN 2 THEN 'VOXPOPULI_ASR_BASE_10K_IT' END AS chosen FROM documents)
+SELECT doc_id, coalesce(nullif(trim(chosen), ''), model) AS model, CASE WHEN nullif(trim(chosen), '') IS NULL THEN kind WHEN chosen IN (SELECT model FROM known WHERE kind = 'bundle') THEN 'bundle' ELSE 'hub' END AS kind FROM d LEFT JOIN known ON known.lang = d.language""")
+def n5_aligners(s, d):
+    """The model that aligns each text's language."""
+    n = F.col("doc_id")
+    language = F.when(n % 7 == 0, "ja").when(n % 7 == 1, "xx").when(n % 7 == 2, "sv").otherwise(F.col("lang"))
+    chosen = F.when(n % 10 == 0, "own/model").when(n % 10 == 1, " ").when(n % 10 == 2, "VOXPOPULI_ASR_BASE_10K_IT")
+    return i.table(s, d, "documents").select("doc_id", aligners.aligner(language, chosen).alias("a")).select("doc_id", "a.model", "a.kind")
+
+
+@query("n3_detected", "WITH e AS (SELECT user_id AS recording_id, event_type AS language, max(floor(value)) / 128 AS probability, sum(floor(value) * 100) AS length_ms FROM events GROUP BY ALL), l AS (SELECT recording_id, sum(length_ms) AS length_ms FROM e GROUP BY recording_id) SELECT e.recording_id, arg_min(language, (-probability, language)) AS language, max(probability) AS probability, bool_and(l.length_ms < 30000) AS short FROM e JOIN l ON l.recording_id = e.recording_id GROUP BY e.recording_id")
+def n3_detected(s, d):
+    """Each recording's language by a detector's scores; values stand for them."""
+    e = i.table(s, d, "events").select(F.col("user_id").alias("recording_id"), F.col("event_type").alias("language"), F.floor("value").alias("v"))
+    scores = e.groupBy("recording_id", "language").agg((F.max("v") / 128).alias("probability"))
+    return aligners.detected(scores, e.groupBy("recording_id").agg((F.sum("v") * 100).alias("length_ms")))
+
+
 @query("p17_options", "SELECT DISTINCT x, CASE WHEN regexp_full_match(x, '[0-9]+') THEN CAST(x AS INTEGER) END AS number, nullif(trim(x), '') AS text FROM (SELECT CAST(p_size AS VARCHAR) AS x FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT '  ')")
 def p17_options(s, d):
     """P17, P8."""

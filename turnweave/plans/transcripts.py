@@ -537,13 +537,16 @@ def k6_tsv(s, d):
     return writers.tsv(_full(s, d))
 
 
-@query("k7_audacity")
+_SECONDS = "CAST({0} // 1000 AS VARCHAR) || '.' || CASE WHEN {0} % 1000 = 0 THEN '0' ELSE rtrim(lpad(CAST({0} % 1000 AS VARCHAR), 3, '0'), '0') END"
+
+
+@query("k7_audacity", f"WITH {i.SEGMENTS} SELECT recording_id, seg_idx AS line, {_SECONDS.format('start_ms')} || chr(9) || {_SECONDS.format('end_ms')} || chr(9) || CASE WHEN speaker IS NOT NULL THEN '[[' || speaker || ']]' ELSE '' END || replace(trim(text), chr(9), ' ') AS text FROM seg WHERE end_ms IS NOT NULL")
 def k7_audacity(s, d):
-    """K7: raw seconds, which engines write differently; tested by value."""
+    """K7: seconds as numbers print."""
     return writers.aud(_full(s, d))
 
 
-@query("k8_json")
+@query("k8_json", f"""WITH {i.SEGMENTS} SELECT recording_id, 0 AS line, '{{"segments":[' || string_agg('{{"start_ms":' || start_ms || ',"end_ms":' || end_ms || ',"text":' || CAST(to_json(text) AS VARCHAR) || CASE WHEN speaker IS NULL THEN '' ELSE ',"speaker":' || CAST(to_json(speaker) AS VARCHAR) END || '}}', ',' ORDER BY seg_idx) || ']}}' AS text FROM seg WHERE end_ms IS NOT NULL GROUP BY recording_id""")
 def k8_json(s, d):
     return writers.json(_full(s, d))
 

@@ -26,11 +26,12 @@ class Registry:
         return rows.mapInPandas(self._known[name], self.schema)
 
 
-#: Audio bytes to samples; chunks to texts; text and audio to emissions; audio to turns and to speech scores; texts to translations.
+#: Audio bytes to samples; chunks to texts; first half minutes to languages; text and audio to emissions; audio to turns and to speech scores; texts to translations.
 DECODERS = Registry("decoder", "recording_id string, sample_rate int, pcm binary")
 TRANSCRIBERS = Registry("transcriber", "recording_id string, chunk long, start_ms long, end_ms long, text string, language string")
 ALIGNERS = Registry("aligner", "id string, emission array<array<float>>, tokens array<int>")
 DIARIZERS = Registry("diarizer", "recording_id string, ord long, s_start long, s_end long, speaker string")
+LANGUAGE_DETECTORS = Registry("language detector", "recording_id string, language string, probability double")
 DETECTORS = Registry("voice detector", "recording_id string, frame long, t_ms long, score double")
 TRANSLATORS = Registry("translator", "doc string, pos long, tr string")
 
