@@ -73,3 +73,33 @@ def test_roots_and_signatures_of_groups_hash_sorted_lines(spark):
         assert roots[group] == (hashlib.sha256("".join(f"{p}\0{h}\0" for _, p, h, *_ in own).encode()).hexdigest(), len(own))
         assert signatures[group] == hashlib.sha256("\0".join(f"{p}\0{s}\0{m}" for _, p, _, s, m in own).encode()).hexdigest()
     assert manifest.root(df.limit(0)).count() == 0
+
+
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        got = dict(zip(pool.map(lambda n: versions.publish(spark.range(n), root), range(1, 7)), range(1, 7), strict=True))
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] == versions.committed(spark, root)
+    assert all(versions.read(spark, root, version).count() == n for version, n in got.items())
+
+
+def test_a_file_that_changes_during_a_push_is_not_committed(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "src", tmp_path / "store"
+    src.mkdir()
+    (src / "a").write_text("one")
+    assert backup.push(spark, str(src), str(store))["upload"] == 1
+    (src / "a").write_text("two")
+    put = backup.objects.put
+
+    def late(files, folder):
+        (src / "a").write_text("three")
+        put(files, folder)
+
+    monkeypatch.setattr(backup.objects, "put", late)
+    with pytest.raises(RuntimeError, match="changed"):
+        backup.push(spark, str(src), str(store))
+    monkeypatch.undo()
+    assert versions.committed(spark, str(store / "manifest")) == [1]
+    assert backup.push(spark, str(src), str(store)) == {"upload": 1, "skip": 0, "collect": 1}

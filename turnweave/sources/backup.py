@@ -24,15 +24,22 @@ def _listed(spark: SparkSession, store: str) -> DataFrame:
 
 
 def push(spark: SparkSession, folder: str, store: str) -> dict[str, int]:
-    """Upload what the store lacks, commit the manifest, then collect objects that no file refers to."""
-    local = tree(spark, folder)
+    """Upload what the store lacks, commit the manifest, then collect objects that no file refers to.
+
+    The manifest is what one reading of the folder saw, and it is committed only if the store then has all of its
+    objects: a file that changes meanwhile makes the push fail, and the version before stays the newest.
+    """
+    name, local = versions.stage(tree(spark, folder), f"{store}/manifest")
     there = _listed(spark, store)
     remote = versions.read(spark, f"{store}/manifest")
     plan = manifest.push_plan(local, there.select("hash"), local.limit(0) if remote is None else remote)
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.sha2("content", 256).alias("hash"), "content")
-    objects.put(content.join(there.select("hash"), "hash", "left_anti"), f"{store}/objects")
-    versions.publish(local, f"{store}/manifest")
+    wanted = local.select("hash").distinct().join(there.select("hash"), "hash", "left_anti")
+    objects.put(content.join(wanted, "hash", "left_semi"), f"{store}/objects")
+    if not wanted.join(_listed(spark, store).select("hash"), "hash", "left_anti").isEmpty():
+        raise RuntimeError("files changed while they were pushed")
+    versions.commit(spark, f"{store}/manifest", name)
     gone = manifest.orphans(_listed(spark, store), local)
 
     def remove(rows: Iterator[Row]) -> None:
