@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_DIR = "/tmp/checkpoints"
-#: Lets Spark delete a query's shuffle files as soon as the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: Spark deletes the query's shuffle files as soon as it has ended, and long texts and lists go
+#: to Python in smaller batches than Spark's own, of which a worker and its executor hold several copies.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 class Scratch:
@@ -34,7 +35,7 @@ class Scratch:
     def keep(self, df: DataFrame, label: str, **settings: str) -> DataFrame:
         """``settings`` hold while the table is written; dots in their names are written as ``__``."""
         path = f"{self.root}/{label}"
-        wanted = {_CLEANUP: "true"} | {k.replace("__", "."): v for k, v in settings.items()}
+        wanted = WRITING | {k.replace("__", "."): v for k, v in settings.items()}
         before = {k: self.spark.conf.get(k, None) for k in wanted}
         for k, v in wanted.items():
             self.spark.conf.set(k, v)
