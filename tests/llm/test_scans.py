@@ -213,6 +213,21 @@ def test_odd_rows_of_scans(odd, none):
         assert f(odd).count() == odd.count() and f(none).count() == 0
 
 
+def test_columns_that_operators_use_themselves_are_dropped(spark):
+    from turnweave.llm import bag_minhash, itq
+
+    rows = [(i, f"some text number {i} of a few, written to bob@mail.com", "s", "l", i, "x") for i in range(30)]
+    for names, f in (
+        (("_b_email", "_all"), pii.find_pii), (("_new", "_b_card"), pii.find_pii), (("_doc", "_text"), bag_minhash.near_duplicates), (("_host", "_logit"), lambda d: site_bayes.keep_good(d, labels, threshold=0.0)),
+        (("_p", "_s_good"), lambda d: site_bayes.keep_good(d, labels, threshold=0.0)),
+    ):
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+        out = f(spark.createDataFrame(rows, f"doc_id long, text string, source string, lang string, {names[0]} long, {names[1]} string"))
+        assert not set(names) & set(out.columns) and out.count() == 30 and {"doc_id", "text", "source"} <= set(out.columns)
+    vectors = itq.near_vectors(spark.createDataFrame([(i, [1.0, float(i)], 7) for i in range(9)], "vec_id long, embedding array<double>, _id long"))
+    assert "_id" not in vectors.columns and vectors.count() == 9
+
+
 def test_quality_rejects_the_bad_and_keeps_the_good(spark):
     base = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))

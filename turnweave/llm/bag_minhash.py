@@ -20,7 +20,7 @@ gives no more links than join its components.
 Defined results: equal texts are one class; texts without words are classes of
 their own unless equal; null text is left alone as a class of its own; null ids
 keep a null class; of rows that share an id one is kept; columns
-named like those added are replaced; an empty table gives none.
+named like those added are replaced, and ones named ``_doc`` or ``_text`` dropped; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ vector with a multiplicity.
 Defined results: vectors that are null, zero, of another length, or hold null or
 non-finite components link with nothing; null ids keep a null component; rows
 that share an id and a vector count each; columns named like those added are
-replaced; an empty table gives none.
+replaced, and one named ``_id`` is dropped; an empty table gives none.
 """
 
 from __future__ import annotations

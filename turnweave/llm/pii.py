@@ -15,7 +15,8 @@ table gives the same trees on any number of cores and in any partitioning.
 Defined results: null text is empty; repeated rows count each; a table without
 personal data still has a model, from the generated examples; of accepted
 candidates that overlap the one of highest score stays; columns named ``base``
-and ``spans`` are replaced; an empty table gives none.
+and ``spans`` are replaced, and ones named ``_all``, ``_new`` or ``_b_`` and a kind dropped; very long texts are read whole;
+an empty table gives none.
 """
 
 from __future__ import annotations

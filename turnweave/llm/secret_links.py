@@ -8,7 +8,8 @@ those of tokens to the bins within a scope of them; they are joined on text and
 with the distance as a further condition, so a long text with many parts makes no
 more pairs than fit into a few bins.
 
-Defined results: null text is empty; repeated rows count each; an empty table
+Defined results: null text is empty; repeated rows count each; very long texts are read
+whole; only the id and the text are read, so other columns' names don't matter; an empty table
 gives none.
 """
 

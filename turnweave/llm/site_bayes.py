@@ -15,7 +15,7 @@ Defined results: null text is empty; null host or path is a site of its own;
 repeated rows count each; of repeated labels the worst holds; labels of one kind
 only, or none, fit no classifier and keep all; from the first label of each kind on
 there is one, which a prior keeps near "good" while labels are few; columns named like those added are
-replaced; an empty table gives none.
+replaced, and ones named ``_host``, ``_path``, ``_logit``, ``_p``, ``_text`` or with ``_s_`` before a name of ``sites`` dropped; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -215,7 +215,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
 
     ``carry``: columns of ``docs`` to return, all unless given.
     """
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("p_doc", "p_site", "posterior")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("p_doc", "p_site", "posterior", "_host", "_path", "_logit", "_p", "_text") and not c.startswith("_s_")]
     model = fit(docs, labels, doc, text, sample)
     if model is None:
         return docs.select(*carry, *(F.lit(1.0).alias(c) for c in ("p_doc", "p_site", "posterior")))
