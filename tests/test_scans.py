@@ -10,7 +10,7 @@ from turnweave.operators import folds, intervals
 from turnweave.operators.scans import Run, scan
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("width", [1, 7])
 def test_scans_equal_windows(spark, width):
     rng = random.Random(1)
     rows = [(rng.choice(("a", "b", None)), None if rng.random() < 0.05 else rng.randint(-50, 200), k, rng.choice((None, rng.randint(0, 9)))) for k in range(300)]
@@ -36,7 +36,7 @@ def test_a_hot_recording_is_spread_over_tasks(spark):
     assert max(per_task) < 20_000 and found.agg(F.max("s")).first()[0] == 180_000
 
 
-@pytest.mark.parametrize("bin_ms", [1, 90, 60_000])
+@pytest.mark.parametrize("bin_ms", [90, 60_000])
 def test_nearest_and_as_of_equal_brute_force(spark, bin_ms):
     rng = random.Random(2)
     spans = [(rng.choice("ab"), k, f"S{k % 4}", s := rng.randint(0, 3000), s + rng.choice((0, 10, 500))) for k in range(80)] + [("a", 99, "never", None, 3)]
@@ -87,8 +87,7 @@ def loop(frames, onset, offset, longest):
     return out + [(start, frames[-1][0])] * on
 
 
-@pytest.mark.parametrize("width", [1, 13, 4096])
-@pytest.mark.parametrize("longest", [None, 900, 2500])
+@pytest.mark.parametrize(("width", "longest"), [(1, 900), (13, None), (13, 2500), (4096, 900)])
 def test_regions_with_cuts_equal_a_loop_at_any_width(spark, width, longest):
     rng = random.Random(width + (longest or 0))
     data, rows = {}, []
@@ -111,7 +110,7 @@ def test_regions_with_cuts_equal_a_loop_at_any_width(spark, width, longest):
         assert n["even"] > 5 and n["nearly"] > 5 and n["uneven"] == 0
 
 
-@pytest.mark.parametrize("width", [1, 5, 4096])
+@pytest.mark.parametrize("width", [1, 5])
 def test_pieces_of_turns_equal_a_loop_at_any_width(spark, width):
     from turnweave.operators import turns
 
@@ -149,7 +148,7 @@ def test_pieces_of_turns_equal_a_loop_at_any_width(spark, width):
     assert [r.seg_idx for r in found] == [k for rec in "abc" for k in range(sum(w[0] == rec for w in want))]
 
 
-@pytest.mark.parametrize("bounds", [(20, 2), (12, 1), (30, 3)])
+@pytest.mark.parametrize("bounds", [(20, 2), (12, 1)])
 def test_layouts_are_the_same_at_any_width_of_bins(spark, bounds):
     from turnweave.operators import subtitles
 
@@ -185,7 +184,7 @@ def test_layouts_are_the_same_at_any_width_of_bins(spark, bounds):
             last = start if start is not None else last
         return [("".join(mark + w for w, *_, mark in c), [s for _, s, _, _ in c if s is not None], [e for _, _, e, _ in c if e is not None]) for c in out]
 
-    for width in (1, 3, 1024):
+    for width in (3, 1024):
         for rec in "ab":
             found = subtitles.layout(df.where(F.col("recording_id") == rec), options, width_of_bin=width).orderBy("cue").collect()
             want = cues(rec)
