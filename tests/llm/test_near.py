@@ -263,7 +263,7 @@ def test_leaks_of_very_long_texts_and_other_kinds_of_ids(spark):
     assert edit_match.without_leaks(docs, items).count() == 0
 
 
-@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8, 0.96, 0.999])
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.999])
 def test_vectors_about_a_common_direction(spark, mean):
     """Recall against brute force however close all vectors lie, with few tables."""
     rng = np.random.default_rng(3)

@@ -291,7 +291,7 @@ def test_sparse_sites_shrink_to_their_host(spark):
     assert got[("h", "p")] > 0.8 and got[("g", "p")] < 0.3 and 0.1 < got[("h", "q")] < 0.9
 
 
-@pytest.mark.parametrize("n", [2, 3, 6, 19, 60])
+@pytest.mark.parametrize("n", [2, 3, 19])
 def test_quality_from_few_labels(spark, n):
     """No number of labels switches the classifier on or off: it starts near "good" and learns from each."""
     rng = random.Random(n)
