@@ -131,6 +131,21 @@ def test_links_do_not_scatter_and_classes_join(spark):
     assert {r.class_id for r in found} == {40}
 
 
+def test_changed_copies_of_a_frequent_passage_are_all_linked(spark, monkeypatch):
+    """However many copies there are, each is linked with each other that is alike enough, also where seeds are compared in tiles."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    template = words(80)
+    copies = [[w if rng.random() < 0.9 else words(1)[0] for w in template] for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words(30) + c + words(30))) for i, c in enumerate(copies)], "doc_id long, text string")
+    wanted = {(i, j) for i in range(60) for j in range(i) if sum(x != y for x, y in zip(copies[i], copies[j])) <= 15}
+    found = {(r.doc_id, r.source_id) for r in chaining.fuzzy_passages(docs).collect()}
+    assert len(wanted) > 500 and len(wanted & found) >= 0.95 * len(wanted)
+    monkeypatch.setattr(chaining, "MANY", 17)
+    monkeypatch.setattr(chaining, "TILE", 7)
+    assert {(r.doc_id, r.source_id) for r in chaining.fuzzy_passages(docs).collect()} == found
+
+
 def test_smaller_least_lengths(spark):
     rng = random.Random(9)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
