@@ -4,7 +4,7 @@ After Kiss and Strunk (2006): a type is an abbreviation if it stands with a peri
 tokens do in general (a likelihood ratio), is short, has periods inside, and hardly ever comes without one. A word begins
 sentences if it follows a sentence's end far more often than it stands elsewhere. Counts go by
 (language, type) with partial sums, so neither a frequent word nor a large language is a hot key; what is
-learned is a row a language, joined with the texts (Spark broadcasts it if it is small).
+learned is a row a language, and is broadcast: joined by shuffle, all sentences of a language would meet in one task.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     rows = rows.groupBy("lang", "type", "period", F.when(F.col("after_period"), F.col("before")).alias("before")).agg(F.count("*").alias("n")).where("type != ''")
     counts = rows.groupBy("lang", "type").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("period"), F.col("n")).otherwise(0)).alias("k"))
     whole = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("k").alias("periods"))
-    counts = counts.join(whole, "lang")
+    counts = counts.join(F.broadcast(whole), "lang")
     inside = F.length("type") - F.length(F.replace("type", F.lit("."), F.lit("")))
     size = F.length("type") - inside
     ratio = -2 * (_likelihood(F.col("k"), F.col("n"), F.col("periods") / F.col("all")) - _likelihood(F.col("k"), F.col("n"), F.lit(0.99)))
@@ -56,7 +56,7 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     follows = rows.where("before is not null").groupBy("lang", "before", "type").agg(F.sum("n").alias("n"))
     ends = follows.join(short.withColumnRenamed("type", "before"), ["lang", "before"], "left_anti").groupBy("lang", "type").agg(F.sum("n").alias("first"))
     breaks = ends.groupBy("lang").agg(F.sum("first").alias("breaks"))
-    begins = ends.join(counts.select("lang", "type", "n", "all"), ["lang", "type"]).join(breaks, "lang")
+    begins = ends.join(counts.select("lang", "type", "n", "all"), ["lang", "type"]).join(F.broadcast(breaks), "lang")
     first, n, b, every = (F.col(c) for c in ("first", "n", "breaks", "all"))
     rest = (n - first) / F.greatest(every - b, F.lit(1))
     apart = _likelihood(first, b, first / b) + _likelihood(n - first, every - b, rest) - _likelihood(first, b, n / every) - _likelihood(n - first, every - b, n / every)
@@ -78,7 +78,7 @@ def spans(texts: DataFrame, learned: DataFrame, text: str = "text", lang: str =
     cut = once(both, lambda x: F.transform(x["parts"], lambda part, k: F.struct(part.alias("part"), F.coalesce(F.length(F.get(x["gaps"], k)), F.lit(0)).alias("gap"))))
     order = W.partitionBy("id").orderBy("k")
     rows = texts.select("id", F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.posexplode(cut).alias("k", "x")).select("id", "lang", "k", "x.part", "x.gap")
-    rows = rows.withColumn("following", F.coalesce(F.lead("part").over(order), F.lit(""))).join(learned, "lang", "left")
+    rows = rows.withColumn("following", F.coalesce(F.lead("part").over(order), F.lit(""))).join(F.broadcast(learned), "lang", "left")
     last, following = F.regexp_extract("part", r"(\S*)$", 1), F.regexp_extract("following", r"^(\S*)", 1)
     short = _plain(last).endswith(".") & (F.array_contains("abbreviations", _type(last)) | _type(last).rlike(r"^\p{L}$"))
     starts = following.rlike(r"^[^\p{L}]*\p{Lu}") & F.array_contains("starters", _type(following))
