@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import once
 from .interpolate import time_words
 
 #: Edits that a recording's log keeps.
 HISTORY = 100
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def kept_words(old: pd.Series, new: pd.Series) -> pd.Series:
-    """For each new word the place of the old word that it still is, else -1: the longest common runs of both."""
-    def places(was, now) -> list[int]:
-        out = [-1] * len(now)
-        for i, j, n in difflib.SequenceMatcher(None, list(was), list(now), autojunk=False).get_matching_blocks():
-            out[j : j + n] = range(i, i + n)
-        return out
+def kept_places(was: list[str], now: list[str]) -> list[int]:
+    """For each new word the place of the old word that it still is, else -1: the longest common run, then those on both sides of it.
 
-    return pd.Series([places(a, b) for a, b in zip(old, new)])
+    As ``difflib``'s matching blocks without junk, of which short lists cost it mostly its preparations.
+    """
+    out, at = [-1] * len(now), {}
+    for i, w in enumerate(now):
+        at.setdefault(w, []).append(i)
+    left = [(0, len(was), 0, len(now))]
+    while left:
+        low, high, begin, end = left.pop()
+        best, first, to, runs = 0, 0, 0, {}
+        for i in range(low, high):
+            runs, before = {}, runs
+            for j in at.get(was[i], ()):
+                if begin <= j < end:
+                    n = runs[j] = before.get(j - 1, 0) + 1
+                    if n > best:
+                        best, first, to = n, i - n + 1, j - n + 1
+        if best:
+            out[to : to + best] = range(first, first + best)
+            left += [(low, first, begin, to), (first + best, high, to + best, end)]
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def kept_words(old: pa.Array, new: pa.Array) -> pa.Array:
+    """``kept_places`` of two columns of lists."""
+    return pa.array([kept_places(a, b) for a, b in zip(old.to_pylist(), new.to_pylist())], pa.list_(pa.int32()))
 
 
 def realign(turns: DataFrame) -> DataFrame:
@@ -44,10 +62,11 @@ def realign(turns: DataFrame) -> DataFrame:
         was = F.get("_was", F.nullif(F.get("_kept", i), F.lit(-1)))
         return F.struct(w.alias("word"), F.when(timed(was), was["start"]).cast("double").alias("start"), F.when(timed(was), was["end"]).cast("double").alias("end"))
 
-    rows = rows.withColumn("_words", F.transform("_new", word))
-    known = F.exists("_words", lambda w: w["start"].isNotNull())
-    words = F.when(known, time_words(F.col("_words"), F.col("start").cast("double"), F.col("end").cast("double"))).otherwise(F.slice("_words", 1, 0))
-    return rows.withColumn("words", words).select(*turns.columns)
+    def timed_words(words: Column) -> Column:
+        known = F.exists(words, lambda w: w["start"].isNotNull())
+        return F.when(known, time_words(words, F.col("start").cast("double"), F.col("end").cast("double"))).otherwise(F.slice(words, 1, 0))
+
+    return rows.withColumn("words", once(F.transform("_new", word), timed_words)).select(*turns.columns)
 
 
 def splice(segments: DataFrame, edits: DataFrame) -> DataFrame:

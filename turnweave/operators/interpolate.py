@@ -84,13 +84,18 @@ def time_words(words: Column, low: Column, high: Column, least: float = MIN_WORD
     anchor that a gap has shortened from the left has that much less for the next
     one. A gap without a bound, or whose bounds are out of order, stays untimed.
     """
+    # The list is looked up for each gap, so it is computed once.
+    return once(F.struct(words.alias("words"), low.alias("low"), high.alias("high")), lambda x: _timed(x["words"], x["low"], x["high"], least))
+
+
+def _timed(words: Column, low: Column, high: Column, least: float) -> Column:
     kind = "array<struct<at:int,start:double,end:double>>"
     at = lambda w, i: F.struct(i.alias("at"), w["start"].alias("start"), w["end"].alias("end"))
     anchors = F.filter(F.transform(words, at), lambda a: a["start"].isNotNull()).cast(kind)
     none = F.lit(None).cast("double")
-    lefts = F.concat(F.array(F.struct(F.lit(-1).alias("at"), none.alias("start"), none.alias("end"))).cast(kind), anchors)
-    rights = F.concat(anchors, F.array(F.struct(F.size(words).alias("at"), none.alias("start"), none.alias("end"))).cast(kind))
-    gaps = F.zip_with(lefts, rights, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    lefts = lambda a: F.concat(F.array(F.struct(F.lit(-1).alias("at"), none.alias("start"), none.alias("end"))).cast(kind), a)
+    rights = lambda a: F.concat(a, F.array(F.struct(F.size(words).alias("at"), none.alias("start"), none.alias("end"))).cast(kind))
+    gaps = lambda x: F.zip_with(x["lefts"], x["rights"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     zero = F.struct(none.alias("start"), F.array().cast("array<struct<from:double,width:double,give:double,take:double>>").alias("out"))
 
     def step(state: Column, g: Column) -> Column:
@@ -116,8 +121,9 @@ def time_words(words: Column, low: Column, high: Column, least: float = MIN_WORD
 
         return F.flatten(F.transform(x["out"], part))
 
-    out = F.aggregate(gaps, zero, step, lambda state: state["out"])
-    return once(F.struct(lefts.alias("lefts"), rights.alias("rights"), out.alias("out")), rebuilt)
+    out = lambda x: F.aggregate(gaps(x), zero, step, lambda state: state["out"])
+    sides = once(anchors, lambda a: F.struct(lefts(a).alias("lefts"), rights(a).alias("rights")))
+    return once(sides, lambda x: once(F.struct(x["lefts"].alias("lefts"), x["rights"].alias("rights"), out(x).alias("out")), rebuilt))
 
 
 def time_turns(words: DataFrame) -> DataFrame:

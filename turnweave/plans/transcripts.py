@@ -340,7 +340,8 @@ def m9_realigned(s, d):
     words = F.transform("w", lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] / 1000.0).alias("start"), (x["end_ms"] / 1000.0).alias("end")))
     text = F.concat(F.lit("really "), F.array_join(F.transform(F.slice("w", 1, 2), lambda x: x["word"]), " "))
     rows = w.select("recording_id", F.col("seg_idx").alias("turn"), words.alias("words"), text.alias("text"), (F.col("seg_start") / 1000.0).alias("start"), (F.col("seg_end") / 1000.0).alias("end"))
-    return edits.realign(rows).select("recording_id", "turn", F.posexplode("words").alias("place", "w")).select("recording_id", "turn", F.col("place").cast("long").alias("place"), "w.word", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
+    # Of the inner form Spark would find the words once more to see which lists are empty.
+    return edits.realign(rows).select("recording_id", "turn", F.posexplode_outer("words").alias("place", "w")).where("place is not null").select("recording_id", "turn", F.col("place").cast("long").alias("place"), "w.word", F.round("w.start", 6).alias("start"), F.round("w.end", 6).alias("end"))
 
 
 _CHARS = """
