@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import once, running_sums
 
@@ -58,31 +61,64 @@ def words(chars: DataFrame) -> DataFrame:
     return chars.where("char != ' '").groupBy("id", "word_idx").agg(text.alias("word"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), score.alias("score"))
 
 
-def word_runs(text: Column, starts: Column, ends: Column, scores: Column) -> Column:
+def word_runs(text: Column, starts: Column, ends: Column, scores: Column, kind: str = "bigint") -> Column:
     """``words`` within a text's row: (word_idx, word, start_ms, end_ms, score) from its characters' starts, ends and scores.
 
-    Nothing is shuffled: a word's place is the sum of the lengths before it, and its times are slices of the
-    lists. A list holds nothing for a character that has no time (null).
+    Nothing is shuffled: a batch's texts and lists lie one after another, and each word is a stretch of them. A list holds
+    nothing for a character that has no time (null, or past its end). kind: the type of starts and ends.
     """
-    first = F.startswith(text, F.lit(" ")).cast("int")
-
-    def cut(parts: Column) -> Column:
-        # One more for the blank after each.
-        places = running_sums(F.transform(parts, lambda w: F.length(w) + 1))
-        given = F.struct(starts.alias("starts"), ends.alias("ends"), scores.alias("scores"), places.alias("places"))
-
-        def found(x: Column) -> Column:
-            numbered = F.transform(parts, lambda w, k: F.struct(F.greatest(k - first, F.lit(0)).cast("long").alias("word_idx"), w.alias("word"), (F.get(x["places"], k) + 1).cast("int").alias("at"), F.length(w).alias("n")))
-            return F.transform(F.filter(numbered, lambda w: w["n"] > 0), lambda w: word(x, w))
-
-        return once(given, found)
-
-    def word(x: Column, w: Column) -> Column:
-        own = lambda c: F.slice(x[c], w["at"], w["n"])
-        mean = once(F.array_compact(own("scores")), lambda s: F.when(F.size(s) > 0, F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / F.size(s)))
-        return F.struct(w["word_idx"].alias("word_idx"), w["word"].alias("word"), F.array_min(own("starts")).alias("start_ms"), F.array_max(own("ends")).alias("end_ms"), (F.floor(mean * 1000 + 0.5) / 1000).alias("score"))
-
-    return once(F.split(text, " ", -1), cut)
+    return F.arrow_udf(_word_runs, T.ArrayType(T.StructType.fromDDL(f"word_idx bigint, word string, start_ms {kind}, end_ms {kind}, score double")))(text, starts, ends, scores.cast("array<double>"))
+
+
+def _values(column: pa.Array, char_row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of characters by row and place in it, and which there are."""
+    column = column.cast(pa.list_(column.type.value_type))
+    flat, begin = column.values, column.offsets.to_numpy()
+    at = begin[:-1].astype(np.int64)[char_row] + place
+    there = (at < begin[1:][char_row]) & column.is_valid().to_numpy(zero_copy_only=False)[char_row]
+    if flat.null_count:
+        there &= np.append(flat.is_valid().to_numpy(zero_copy_only=False), False)[np.where(there, at, len(flat))]
+        flat = flat.fill_null(0)
+    return np.append(flat.to_numpy(), 0)[np.where(there, at, len(flat))], there
+
+
+def _word_runs(text: pa.Array, starts: pa.Array, ends: pa.Array, scores: pa.Array) -> pa.Array:
+    known = text.is_valid().to_numpy(zero_copy_only=False)
+    binary = text.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(binary.buffers()[1], dtype=np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    data = np.frombuffer(binary.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    at = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    first = np.searchsorted(at, offsets - offsets[0])
+    row = np.repeat(np.arange(len(text)), np.diff(first))
+    blank = data[at] == 0x20
+    spoken = np.flatnonzero(~blank)
+    # A word begins with its row's first character or after a blank.
+    new = np.ones(len(spoken), dtype=bool)
+    new[1:] = (np.diff(spoken) > 1) | (row[spoken[1:]] != row[spoken[:-1]])
+    begin = np.flatnonzero(new)
+    of = row[spoken[begin]]
+    blanks = np.concatenate([[0], np.cumsum(blank)])
+    index = blanks[spoken[begin]] - blanks[first[of]] - blank[first[of]]
+    sizes = np.diff(np.append(at, len(data)))[spoken]
+    place = spoken - first[row[spoken]]
+    kept = data[data != 0x20]
+    cut = np.append(0, np.cumsum(np.add.reduceat(sizes, begin) if len(begin) else sizes)).astype(np.int64)
+    words_ = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(kept))]).cast(pa.string())
+
+    def folded(column: pa.Array, fold: np.ufunc, least: bool) -> pa.Array:
+        values, there = _values(column, row[spoken], place)
+        bound = np.inf if values.dtype.kind == "f" else np.iinfo(values.dtype).max
+        values = np.where(there, values, bound if least else -bound).astype(values.dtype)
+        some = np.add.reduceat(there.astype(np.int64), begin) > 0 if len(begin) else there
+        return pa.array(fold.reduceat(values, begin) if len(begin) else values, column.type.value_type, mask=~some)
+
+    values, there = _values(scores, row[spoken], place)
+    total, n = (np.add.reduceat(v, begin) if len(begin) else v.astype(float) for v in (np.where(there, values, 0.0), there.astype(np.int64)))
+    mean = np.floor(np.nan_to_num(total / np.maximum(n, 1) * 1000 + 0.5)) / 1000
+    fields = [pa.array(np.maximum(index, 0).astype(np.int64)), words_, folded(starts, np.minimum, True), folded(ends, np.maximum, False), pa.array(mean, pa.float64(), mask=n == 0)]
+    found = pa.StructArray.from_arrays(fields, names=["word_idx", "word", "start_ms", "end_ms", "score"])
+    bounds = pa.array(np.searchsorted(of, np.arange(len(text) + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(bounds, found, mask=pa.array(~known))
 
 
 def sentence_runs(text: Column, starts: Column, ends: Column, strict: bool = False) -> Column:
