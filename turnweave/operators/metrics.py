@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import normal_words
 
+#: Items of a run that says how far two sequences are apart at least.
+GRAM = 5
+
 
 def edit_distance(a, b) -> int:
     """Least number of changes between two strings or lists, for any number of different items.
@@ -16,7 +19,7 @@ def edit_distance(a, b) -> int:
     What they begin and end with alike is cut off. Then the band of diagonals within ``e`` changes grows with
     ``e`` until it holds the distance, so near texts take time and memory by their distance, not by their
     product; where that would cost more than comparing all (the band reaches about an eighth of
-    their length), ``far_distance`` does, in memory linear in their length.
+    their length, and at once where their runs of ``GRAM`` items say so), ``far_distance`` does, in memory linear in their length.
     """
     if a == b:
         return 0
@@ -28,10 +31,30 @@ def edit_distance(a, b) -> int:
     x, y = x[head : len(x) - tail], y[head : len(y) - tail]
     if not len(x) or not len(y):
         return max(len(x), len(y))
-    found = _near_distance(x, y, max(64, int((len(x) * len(y)) ** 0.5) // 8))
+    most = max(16, min(len(x), len(y)) // 8)
+    found = _near_distance(x, y, most) if _least_distance(x, y) <= most else None
     return found if found is not None else far_distance(x.tolist(), y.tolist())
 
 
+def _least_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound that the distance doesn't fall below: a change touches ``GRAM`` runs of so many items on each side."""
+    apart = abs(len(x) - len(y))
+    if min(len(x), len(y)) < GRAM:
+        return apart
+    grams = []
+    for v in (x, y):
+        own, n = np.zeros(len(v) - GRAM + 1, dtype=np.uint64), len(v) - GRAM + 1
+        for k in range(GRAM):
+            own = own * np.uint64(0x9E3779B97F4A7C15) + v[k : k + n].astype(np.uint64) + np.uint64(1)
+        grams.append(own)
+    both = np.concatenate(grams)
+    order = np.argsort(both)
+    sign = np.where(order < len(grams[0]), 1, -1)
+    both = both[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return max(apart, -(-int(np.abs(np.add.reduceat(sign, first)).sum()) // (2 * GRAM)))
+
+
 def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(a, str) and isinstance(b, str):
         return tuple(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in (a, b))
@@ -74,34 +97,52 @@ def _near_distance(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
 
 
 def far_distance(a, b) -> int:
-    """The distance of sequences that aren't empty, by bits of one long number (Myers)."""
+    """The distance of sequences that aren't empty, by bits of one long number (Myers).
+
+    The longer one is in the bits: a step on long numbers costs less than as many short ones.
+    """
+    if len(a) < len(b):
+        a, b = b, a
     places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    mask, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = mask, 0, len(a)
+    for at, x in enumerate(a):
+        places.setdefault(x, []).append(at)
+    wanted = set(b)
+    places = {x: _bits(at, len(a)) for x, at in places.items() if x in wanted}
+    mask = (1 << len(a)) - 1
+    up, down = mask, 0
+    find = places.get
     for x in b:
-        match = places.get(x, 0)
+        match = find(x, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
-        more, less = (down | ~(diagonal | up)) & mask, up & diagonal
-        distance += ((more & last) > 0) - ((less & last) > 0)
-        more, less = (more << 1 | 1) & mask, less << 1 & mask
-        up, down = (less | ~(diagonal | more)) & mask, more & diagonal
-    return distance
+        more = ((down | ((diagonal | up) & mask ^ mask)) << 1 | 1) & mask
+        less = (up & diagonal) << 1
+        up, down = (less | (diagonal | more) ^ mask) & mask, more & diagonal
+    # From the last step's column on, each bit is a change more or less.
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+def _bits(at: list[int], n: int) -> int:
+    """The number with these bits."""
+    if len(at) < 8:
+        return sum(1 << i for i in at)
+    whole = np.zeros(n, dtype=np.uint8)
+    whole[at] = 1
+    return int.from_bytes(np.packbits(whole, bitorder="little").tobytes(), "little")
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:
     """Rows with wer and cer, to four places; texts and vocabularies may be of any size. pairs: id, reference, hypothesis."""
 
-    @F.pandas_udf("long")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else edit_distance(x if isinstance(x, str) else list(x), y if isinstance(y, str) else list(y)) for x, y in zip(a, b)], dtype="Int64")
+    # The length is taken there too, so that texts are normalised once.
+    @F.pandas_udf("double")
+    def rate(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = ((None, None) if x is None or y is None else (x, y) if isinstance(x, str) else (list(x), list(y)) for x, y in zip(a, b))
+        return pd.Series([None if x is None else edit_distance(x, y) / max(len(x), 1) for x, y in both], dtype="Float64")
 
     rows = pairs.withColumns({"_r": normal_words(F.col("reference")), "_h": normal_words(F.col("hypothesis"))})
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    wer = distance(words("_r"), words("_h")) / F.greatest(F.size(words("_r")), F.lit(1))
-    r, h = F.replace("_r", F.lit(" "), F.lit("")), F.replace("_h", F.lit(" "), F.lit(""))
-    cer = distance(r, h) / F.greatest(F.length(r), F.lit(1))
+    wer = rate(words("_r"), words("_h"))
+    cer = rate(F.replace("_r", F.lit(" "), F.lit("")), F.replace("_h", F.lit(" "), F.lit("")))
     return rows.withColumns({"wer": F.round(wer, 4), "cer": F.round(cer, 4)}).drop("_r", "_h")
 
 
