@@ -146,6 +146,34 @@ def test_changed_copies_of_a_frequent_passage_are_all_linked(spark, monkeypatch)
     assert {(r.doc_id, r.source_id) for r in chaining.fuzzy_passages(docs).collect()} == found
 
 
+def test_frequent_seeds_link_only_what_can_be_a_passage(spark):
+    """A line that 40 documents share makes no candidates of them, whatever else repeats in them; copies of a passage after it are linked."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, passage = words(12), words(60)
+    bodies = [words(40) + line + (words(1) * 50 if i % 2 else words(50)) for i in range(38)] + [words(40) + line + passage for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc long, text string")
+    every = chaining._sampled(chaining.MIN_WORDS)
+    seeds = docs.mapInArrow(chaining._seeds(every, chaining.MIN_WORDS), "seed long, around long, doc long, place int")
+    assert seeds.groupBy("seed").count().where(f"count > {chaining.FEW}").count()
+    links = chaining._links(seeds, docs, chaining.Scratch(spark, "test"), chaining._common(chaining.MIN_WORDS, chaining.IDENTITY))
+    assert {(r.doc, r.source) for r in links.collect()} == {(39, 38)}
+
+
+def test_starts_of_one_run_are_grown_once(monkeypatch):
+    """The same passages, and two growths for a start instead of six, none for another word of its run."""
+    calls = []
+    grow = chaining._grow
+    monkeypatch.setattr(chaining, "_grow", lambda *a: calls.append(1) or grow(*a))
+    a, b = chaining.np.arange(100, dtype="u4"), chaining.np.arange(100, dtype="u4")
+    b[:45] += 1000
+    b[60:] += 1000
+    assert chaining.align(a, b, [(45, 45), (50, 50), (56, 56)], 50, 0.8) == [] and len(calls) == 2
+    b[30:] = a[30:]
+    b[60] += 1000
+    assert chaining.align(a, b, [(45, 45), (50, 50)], 50, 0.8) == [(30, 100, 30, 100, round(1 - 1 / 70, 6))]
+
+
 def test_smaller_least_lengths(spark):
     rng = random.Random(9)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
