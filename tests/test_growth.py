@@ -26,6 +26,31 @@ def test_sentences_of_a_language_do_not_meet_in_one_task(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_sentence_bounds_read_texts_twice_and_shuffle_none(spark):
+    """What is learned takes one pass for types and one for pairs, whoever reads it; parts of texts meet as numbers, and types are looked up by hash."""
+    rows = [(k, "en", f"Word{k} etc. and so on. The next! A? {'x' * k}") for k in range(200)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    texts = spark.createDataFrame(rows, "id long, lang string, text string").mapInArrow(counted, "id long, lang string, text string")
+    learned = sentence_bounds.learn(texts)
+    found = sentence_bounds.spans(spark.createDataFrame(rows, "id long, lang string, text string"), learned)
+    shown = plan(found)
+    assert "lead(" not in shown and "array_contains" not in shown
+    assert found.count() and read.value == 2 * len(rows)
+
+
+def test_tokens_of_marks_and_periods_stay_places(spark):
+    """A token that is all marks stands between its neighbours; one of periods ends a sentence."""
+    rows = [(k, "en", " !!!  a \u2014 Bb etc. The\n... The x. ??? The") for k in range(40)]
+    (r,) = sentence_bounds.learn(spark.createDataFrame(rows, "id long, lang string, text string")).collect()
+    assert (r.abbreviations, r.starters) == (["etc", "x"], ["the"])
+
+
 def test_far_texts_are_not_compared_in_a_growing_band(monkeypatch):
     rng = random.Random(3)
     text = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
