@@ -160,6 +160,36 @@ def test_frequent_seeds_link_only_what_can_be_a_passage(spark):
     assert {(r.doc, r.source) for r in links.collect()} == {(39, 38)}
 
 
+def test_runs_of_one_word_are_linked_with_the_longest_earlier_one(spark):
+    """As many links as runs, not as pairs of them, whatever the word's hash; a longer run is covered by a shorter one again and again."""
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    found = {}
+    for word in ("and", "of"):
+        sizes = [60, 55, 70, 64, 70, 45, 200] + [rng.randint(52, 66) for _ in range(30)]
+        # 45 words alone are no passage. The last has its word in pieces with another word between them.
+        runs = [[word] * n for n in sizes] + [([word] * 9 + words(1)) * 8]
+        docs = spark.createDataFrame([(i, " ".join(words(40) + r + words(40))) for i, r in enumerate(runs)], "doc_id long, text string")
+        links = chaining._run_links(docs.toDF("doc", "text"), chaining.MIN_WORDS, chaining._common(chaining.MIN_WORDS, chaining.IDENTITY)).collect()
+        assert len(links) <= 4 * len(runs)
+        rows = chaining.fuzzy_passages(docs).collect()
+        found[word] = {(r.doc_id, r.source_id) for r in rows}
+        assert {(i, 0 if i < 3 else 2 if i < 7 else 6) for i in range(1, len(runs)) if i != 5} <= found[word]
+        assert len(found[word]) <= 2 * len(runs) and {r.class_id for r in rows} == {0}
+        covered = {k for r in rows if r.doc_id == 6 for k in range(r.start_word, r.end_word)}
+        assert set(range(40, 240)) <= covered
+
+
+def test_words_beside_runs_link_different_texts(spark):
+    """Documents that share more than a run of one word are linked with each other, not by way of the longest run alone."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    near, far = words(1), words(30)
+    bodies = [words(40) + ["and"] * 99 + words(40)] + [words(40) + near + ["and"] * 60 + words(40) for _ in range(2)] + [words(40) + ["and"] * 60 + far + words(40) for _ in range(2)]
+    found = {(r.doc_id, r.source_id) for r in chaining.fuzzy_passages(spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bodies)], "doc_id long, text string")).collect()}
+    assert {(1, 0), (2, 0), (3, 0), (4, 0), (2, 1), (4, 3)} <= found
+
+
 def test_starts_of_one_run_are_grown_once(monkeypatch):
     """The same passages, and two growths for a start instead of six, none for another word of its run."""
     calls = []
